@@ -11,7 +11,6 @@ table gives an empty one. A text of any length is processed whole; a word of any
 from __future__ import annotations
 
 import heapq
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +19,7 @@ from tersely.llm.common import column_bytes, id_text, per_batch
 
 MARK = "▁"
 #: Entries of the memo of units that each Python worker keeps; it is emptied when full, so its memory is bounded.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 1_000_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -46,58 +45,54 @@ class PieceCounter:
         self.prefix = spec.add_dummy_prefix
         if any(MARK in piece.lstrip(MARK) or (piece[:2] == MARK * 2 and piece.strip(MARK)) for piece in self.rank):
             raise ValueError("a piece spans words")
-        #: Characters of no multi-character piece part what stands around them, so units end there too.
-        joined = {c for piece in self.rank if len(piece) > 1 for c in piece}
-        self.parts = re.compile("[^" + "".join(map(re.escape, sorted(joined))) + "]") if joined else None
+        #: Two characters that no piece holds side by side never merge, so units end between them too.
+        self.beside = {piece[i : i + 2] for piece in self.rank for i in range(len(piece) - 1)}
+        self.costs = {c: 1 for c in self.rank if len(c) == 1}
         self.memo: dict[str, int] = {}
         self.memo_entries = memo_entries
 
     def cost(self, char: str) -> int:
         """Symbols that a character stands for before any merge: its bytes where the vocabulary lacks it."""
-        return 1 if char in self.rank or not self.fallback else len(char.encode())
+        return self.costs.get(char) or (len(char.encode()) if self.fallback else 1)
 
     def merged(self, unit: str) -> int:
         """Tokens of a unit by merging."""
-        symbols: list[str | None] = list(unit)
-        n, rank = len(symbols), self.rank
-        costs = [self.cost(c) for c in unit]
+        n, rank, known, pop, push = len(unit), self.rank, self.costs, heapq.heappop, heapq.heappush
+        symbols: list[str] = list(unit)
+        costs = [known.get(c) or self.cost(c) for c in symbols]
         count = sum(costs)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if (r := rank.get(pair := unit[i : i + 2])) is not None:
-                heap.append((r, i, pair))
+        heap = [(rank[pair], i, pair) for i in range(n - 1) if (pair := unit[i : i + 2]) in rank]
         heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, i, pair = heapq.heappop(heap)
-            left = symbols[i]
-            if left is None or (j := after[i]) >= n or left + symbols[j] != pair:
+            _, i, pair = pop(heap)
+            if not (left := symbols[i]) or (j := after[i]) >= n or left + symbols[j] != pair:
                 continue  # one of the two has been merged meanwhile
             count -= costs[i] + costs[j] - 1
-            symbols[i], symbols[j], costs[i] = pair, None, 1
+            symbols[i], symbols[j], costs[i] = pair, "", 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get(new := pair + symbols[k])) is not None:
-                    heapq.heappush(heap, (r, i, new))
-            if (h := before[i]) >= 0 and (r := rank.get(new := symbols[h] + pair)) is not None:
-                heapq.heappush(heap, (r, h, new))
+                if (new := pair + symbols[k]) in rank:
+                    push(heap, (rank[new], i, new))
+            if (h := before[i]) >= 0 and (new := symbols[h] + pair) in rank:
+                push(heap, (rank[new], h, new))
         return count
 
     def unit(self, unit: str) -> int:
-        """Tokens of a unit, from the memo if it is there."""
-        if (n := self.memo.get(unit)) is not None:
-            return n
-        n = at = 0
-        if self.parts:
-            for m in self.parts.finditer(unit):
-                n += self.cost(m[0]) + (self.merged(unit[at : m.start()]) if m.start() > at else 0)
-                at = m.end()
-        n += self.merged(unit[at:]) if at < len(unit) else 0
-        if len(unit) <= 64:
-            if len(self.memo) >= self.memo_entries:
-                self.memo.clear()
-            self.memo[unit] = n
+        """Tokens of a unit: the sum over its parts, each from the memo if it is there."""
+        n, at, size, memo, beside = 0, 0, len(unit), self.memo, self.beside
+        for i in range(1, size + 1):
+            if i == size or unit[i - 1 : i + 1] not in beside:
+                part = unit[at:i]
+                if (known := memo.get(part)) is None:
+                    known = self.merged(part)
+                    if len(part) <= 64:
+                        if len(memo) >= self.memo_entries:
+                            memo.clear()
+                        memo[part] = known
+                n += known
+                at = i
         return n
 
     def count(self, text: str) -> int:
