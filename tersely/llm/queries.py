@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tersely.llm.common import read_table
 from tersely.llm.secrets import find_secrets
+from tersely.llm.substring_dedup import dedup_substrings
+from tersely.llm.suffix_dedup import dedup_suffixes
 from tersely.llm.token_counts import count_tokens
 
 
@@ -15,10 +17,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(read_table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op7_secret_scans": op7_secret_scans}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_secret_scans": op7_secret_scans,
+}
 
 ORACLE_SQL: dict[str, str] = {}
