@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tersely.llm.common import read_table
+from tersely.llm.jaccard_join import join_similar
 from tersely.llm.secrets import find_secrets
 from tersely.llm.substring_dedup import dedup_substrings
 from tersely.llm.suffix_dedup import dedup_suffixes
@@ -25,6 +26,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(read_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_secret_scans": op7_secret_scans,
 }
 
