@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tersely.llm.chat_format import format_chats
 from tersely.llm.common import read_table
+from tersely.llm.decontaminate import contaminated
 from tersely.llm.jaccard_join import join_similar
+from tersely.llm.mixing import mix_sources
+from tersely.llm.quality_rules import apply_rules
 from tersely.llm.secrets import find_secrets
 from tersely.llm.substring_dedup import dedup_substrings
 from tersely.llm.suffix_dedup import dedup_suffixes
@@ -18,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(read_table(spark, sf_dir, "documents"))
 
@@ -34,12 +42,89 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("rk")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_mix_sources": op2_mix_sources,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_secret_scans": op7_secret_scans,
+    "op8_decontamination": op8_decontamination,
+    "op9_chat_format": op9_chat_format,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op2_mix_sources"] = """
+WITH RECURSIVE docs AS (SELECT doc_id, source, greatest(1, ceil(coalesce(strlen(text), 0) / 4))::BIGINT AS tokens FROM documents),
+per AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM docs GROUP BY source),
+whole AS (SELECT sum(tokens)::DOUBLE AS total, count(*)::DOUBLE AS n, floor(sum(tokens) * 1.0)::BIGINT AS budget FROM per),
+evens(i, low, width) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN (SELECT ln(sum(pow(tokens / total, low + width / 2))) - (low + width / 2) * sum(pow(tokens / total, low + width / 2) * ln(tokens / total)) / sum(pow(tokens / total, low + width / 2)) >= 0.95 * ln(any_value(n)) FROM per, whole)
+    THEN low + width / 2 ELSE low END, width / 2 FROM evens WHERE i < 45),
+withins(i, low, width) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN (SELECT pow(min(tokens / total), low + width / 2 - 1) / sum(pow(tokens / total, low + width / 2)) * any_value(budget) / any_value(total) > 4.0 FROM per, whole)
+    THEN low + width / 2 ELSE low END, width / 2 FROM withins WHERE i < 45),
+one AS (SELECT -sum(tokens / total * ln(tokens / total)) >= 0.95 * ln(any_value(n)) AS even, pow(min(tokens / total), -1) / count(*) * any_value(budget) / any_value(total) <= 4.0 AS within0, any_value(budget) / any_value(total) <= 4.0 AS within1 FROM per, whole),
+exponent AS (SELECT greatest(
+  CASE WHEN even THEN 1.0 ELSE (SELECT low FROM evens WHERE i = 45) END,
+  CASE WHEN NOT within1 THEN 1.0 WHEN within0 THEN 0.0 ELSE (SELECT low + width FROM withins WHERE i = 45) END) AS a FROM one),
+z AS (SELECT sum(pow(tokens / total, a)) AS z FROM per, whole, exponent),
+sources AS (SELECT source, tokens AS all_tokens, least(floor(pow(tokens / total, a) / z * budget + 1e-6), floor(tokens * 4.0))::BIGINT AS budget, ceil(tokens / 262144)::BIGINT AS blocks FROM per, whole, exponent, z),
+planned AS (SELECT *, budget // all_tokens AS whole, budget - budget // all_tokens * all_tokens AS rest FROM sources WHERE budget > 0),
+copies AS (
+  SELECT d.doc_id, d.source, d.tokens, p.*EXCLUDE (source), unnest(range(0, whole + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch
+  FROM docs d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source),
+keyed AS (SELECT *, md5('0|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')) AS key FROM copies),
+dealt AS (SELECT *, ('0x' || substr(key, 1, 15))::BIGINT % blocks AS block FROM keyed),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY block, key, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM dealt)
+SELECT doc_id, source, tokens, epoch::BIGINT AS epoch, block, round((epoch * all_tokens + block * all_tokens / blocks) / budget, 9) AS position, key
+FROM summed WHERE epoch < whole OR upto <= rest
+"""
+
+ORACLE_SQL["op9_chat_format"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+pre AS (SELECT conv_id, place, n, string_agg(role || chr(31) || text, chr(30)) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far FROM placed),
+whole AS (SELECT n, so_far, min(conv_id) AS conv_id, count(*) AS n_copies FROM pre WHERE place = n GROUP BY n, so_far),
+kept AS (SELECT w.* FROM whole w WHERE NOT EXISTS (SELECT 1 FROM pre p WHERE p.place < p.n AND p.place = w.n AND p.so_far = w.so_far))
+SELECT k.conv_id, k.n AS n_turns, k.n_copies, string_agg('<|' || p.role || '|>' || chr(10) || p.text || chr(10) || '<|end|>' || chr(10), '' ORDER BY p.place) AS chat
+FROM kept k JOIN placed p USING (conv_id) GROUP BY k.conv_id, k.n, k.n_copies
+"""
+
+ORACLE_SQL["op10_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+windows AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, text, line FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+norm AS (SELECT doc_id, source, text, array_to_string(regexp_extract_all(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[^\x20\x09-\x0D]+'), ' ') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+frequent AS (SELECT source, line FROM norm GROUP BY source, line HAVING count(DISTINCT text) > 100),
+lost AS (SELECT doc_id, sum(words)::BIGINT AS n FROM norm JOIN frequent f ON norm.line = f.line AND norm.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
+figures AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_line_words
+  FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_line_words) >= 30 * n_words AS kept
+FROM figures
+"""

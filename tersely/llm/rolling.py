@@ -67,6 +67,7 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[:n], a[width - span : width - span + n]) if span < width else a[:n]
 
 
+K_TRIPLE = mix(np.array([11, 12], dtype=np.uint64))
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[SPACE, 9, 10, 11, 12, 13]] = True
 
