@@ -9,6 +9,7 @@ from tersely.llm.common import read_table
 from tersely.llm.decontaminate import contaminated
 from tersely.llm.jaccard_join import join_similar
 from tersely.llm.mixing import mix_sources
+from tersely.llm.quality_classifier import classify
 from tersely.llm.quality_rules import apply_rules
 from tersely.llm.secrets import find_secrets
 from tersely.llm.substring_dedup import dedup_substrings
@@ -26,6 +27,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
