@@ -18,7 +18,7 @@ SETTINGS = {
 
 
 def session(master: str | None = None, app: str = "tersely", **settings: str) -> SparkSession:
-    """A session with SETTINGS; keyword arguments have `_` for `.` nowhere: pass a dict with **{"spark.x": "y"}."""
+    """A session with SETTINGS; more as **{"spark.x": "y"}."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
