@@ -10,7 +10,7 @@ link when 100 * intersection >= percent * union.
 3. Sets connected by shared signatures are compared by signature trees: nodes hold the OR of their sets' bitmaps and their
    range of sizes, and a dual traversal leaves out pairs of nodes whose greatest possible overlap is too small, or whose
    sets are connected already. Leaves are compared exactly. Large groups are dealt in blocks, a task for each pair of
-   blocks, so no task holds a group; spanning links come out, never all pairs.
+   blocks, so no task holds a group; each set and the least one it is connected with come out, never all pairs.
 4. The links' components, and the classes' members, give every document its component.
 
 Null or empty texts have no shingles and link with nothing. A row with a null doc_id links with nothing and has a null
@@ -124,12 +124,9 @@ class Forest:
             i = up[i]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
         self.up[max(i, j)] = min(i, j)
-        return True
 
 
 class Node:
@@ -170,8 +167,8 @@ def possible(a: Node, b: Node, percent: int) -> bool:
     return (100 + percent) * min(overlap, a.high, b.high) >= percent * (a.low + b.low)
 
 
-def compare(a: list[int], b: list[int], sets: list[np.ndarray], percent: int, forest: Forest) -> Iterator[tuple[int, int]]:
-    """Links between the sets of two leaves that connect what was not connected."""
+def compare(a: list[int], b: list[int], sets: list[np.ndarray], percent: int, forest: Forest) -> None:
+    """Join what links between the sets of two leaves."""
     members = sorted({*a, *b})
     _, column = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
     sizes = np.array([len(sets[i]) for i in members])
@@ -182,12 +179,11 @@ def compare(a: list[int], b: list[int], sets: list[np.ndarray], percent: int, fo
     common = (matrix[ra] @ matrix[rb].T).astype(np.int64)
     linked = 100 * common >= percent * (sizes[ra][:, None] + sizes[rb][None, :] - common)
     for i, j in np.argwhere(linked).tolist():
-        if a[i] != b[j] and forest.join(a[i], b[j]):
-            yield a[i], b[j]
+        forest.join(a[i], b[j])
 
 
-def links(left: list[int], right: list[int] | None, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Spanning links within one group of sets, or between two."""
+def linked(left: list[int], right: list[int] | None, sets: list[np.ndarray], percent: int) -> Forest:
+    """The components of the links within one group of sets, or between two."""
     forest = Forest(len(sets))
     most = max(len(s) for s in sets)
     width = 1 << max(9, (min(most, LEAF_SHINGLES) * 16 - 1).bit_length())
@@ -202,13 +198,14 @@ def links(left: list[int], right: list[int] | None, sets: list[np.ndarray], perc
         if len(roots) == 1 and len(x.members) + len(y.members) > 1:
             continue
         if x.below is None and y.below is None:
-            yield from compare(x.members, y.members, sets, percent, forest)
+            compare(x.members, y.members, sets, percent, forest)
         elif x is y:
             stack += [(p, q) for i, p in enumerate(x.below) for q in x.below[i:]]
         elif y.below is None or x.below is not None and len(x.members) > len(y.members):
             stack += [(p, y) for p in x.below]
         else:
             stack += [(x, q) for q in y.below]
+    return forest
 
 
 def digests(docs: DataFrame, k: int) -> DataFrame:
@@ -249,7 +246,7 @@ def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def group_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """`a, b`: spanning links of the groups (`cand, i, j`) of rows that are sorted by group."""
+    """`a, b`: of the groups (`cand, i, j`) of rows that are sorted by group, each set linked with others and the least of them."""
 
     def flush(group: list[tuple[int, int, bytes]], i: int, j: int):
         flat = [g[2] for g in group]
@@ -260,7 +257,9 @@ def group_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
         left = [p for p, g in enumerate(group) if g[1] == i]
         right = None if i == j else [p for p, g in enumerate(group) if g[1] == j]
         if left and (right is None or right):
-            yield from ((group[x][0], group[y][0]) for x, y in links(left, right, sets, percent))
+            forest = linked(left, right, sets, percent)
+            # The rows ascend by doc_id, so a root is the least of its component.
+            yield from ((g[0], group[r][0]) for p, g in enumerate(group) if (r := forest.root(p)) != p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
