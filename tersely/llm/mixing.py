@@ -119,5 +119,5 @@ def mix_sources(
     placed = last.withColumn("upto", F.sum("tokens").over(within))
     taken = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).filter(F.col("start") + F.col("upto") <= F.col("rest"))
     # Of a source's run of blocks over all its epochs, the last cut off where the budget ends.
-    position = (F.col("epoch") * F.col("all_tokens") + F.col("block") * F.col("all_tokens") / F.col("blocks")) / F.col("budget")
+    position = F.least(F.lit(1.0), (F.col("epoch") * F.col("all_tokens") + F.col("block") * F.col("all_tokens") / F.col("blocks")) / F.col("budget"))
     return full.unionByName(taken.select(*full.columns)).select("doc_id", "source", "tokens", "epoch", "block", F.round(position, 9).alias("position"), "key")

@@ -78,8 +78,9 @@ class Reader:
 
 
 def shape(figures: list[float]) -> list[int]:
-    """Features of figures, in steps."""
-    return [feature(f"\x00{name}:{min(12, int(value * (1 if name == 'length' else 10)))}") for name, value in zip(FIGURES, figures, strict=True)]
+    """Features of figures: their votes, and their values in steps."""
+    votes = [feature(f"\x00{name}={v}") for name, v in zip(FIGURES, vote(figures), strict=True)]
+    return votes + [feature(f"\x00{name}:{min(12, int(value * (1 if name == 'length' else 10)))}") for name, value in zip(FIGURES, figures, strict=True)]
 
 
 def vote(figures: list[float]) -> list[int]:
@@ -130,13 +131,15 @@ def fit(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     index = np.concatenate(rows).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     size, n = 1 << BITS, len(rows)
-    rate = 4 * n / max(1, np.bincount(index, minlength=size).max()) / 12  # features of a document overlap
+    share = min(max(float(target.mean()), 0.01), 0.99)
+    weight = target / (2 * share) + (1 - target) / (2 * (1 - share))  # both classes count alike
+    rate = 4 * n / max(1, np.bincount(index, minlength=size).max()) / 12 / weight.max()  # features of a document overlap
     w, before, bias, bias_before, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 1.0
     for _ in range(ROUNDS):
         following = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead, bias_ahead = w + (t - 1) / following * (w - before), bias + (t - 1) / following * (bias - bias_before)
         z = np.bincount(row, weights=ahead[index], minlength=n) + bias_ahead
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
         step = ahead - rate * np.bincount(index, weights=error[row], minlength=size) / n
         before, w = w, np.sign(step) * np.maximum(np.abs(step) - rate * PENALTY, 0)
         bias_before, bias, t = bias, bias_ahead - rate * error.mean(), following
@@ -234,7 +237,7 @@ def unpattern(code: int) -> tuple[int, ...]:
     return tuple(reversed(out))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.37, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: `doc_id, score` (of good), `kept` (score of `threshold` or more). Training jobs run at once."""
     model = train(docs, labels, sample, id_col, text_col)
     return id_text(docs, id_col, text_col).mapInArrow(scored(model, threshold), "doc_id long, score double, kept boolean")
@@ -250,7 +253,7 @@ def scored(model: Classifier | None, threshold: float):
     return step
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.37, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table without the documents that the classifier rejects; no shuffle of texts."""
     model = train(docs, labels, sample, id_col, text_col)
 

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -110,8 +111,6 @@ def apply_rules(
 
 def without(hashes, text):
     """The text without the lines of these hashes."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strip(gone: pd.Series, texts: pd.Series) -> pd.Series:
         def one(own, t: str) -> str:

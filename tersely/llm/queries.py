@@ -101,7 +101,7 @@ copies AS (
 keyed AS (SELECT *, md5('0|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')) AS key FROM copies),
 dealt AS (SELECT *, ('0x' || substr(key, 1, 15))::BIGINT % blocks AS block FROM keyed),
 summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY block, key, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM dealt)
-SELECT doc_id, source, tokens, epoch::BIGINT AS epoch, block, round((epoch * all_tokens + block * all_tokens / blocks) / budget, 9) AS position, key
+SELECT doc_id, source, tokens, epoch::BIGINT AS epoch, block, round(least(1.0::DOUBLE, (epoch * all_tokens + block * all_tokens / blocks) / budget), 9) AS position, key
 FROM summed WHERE epoch < whole OR upto <= rest
 """
 
