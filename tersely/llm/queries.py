@@ -134,3 +134,59 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_line_words) >= 30 * n_words AS kept
 FROM figures
 """
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL["op4_suffix_array_dedup"] = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+windows AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+later AS (SELECT r, i FROM (SELECT r, i, coalesce(doc_id, 9223372036854775807) AS id, min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY k) AS first FROM windows) WHERE id > first),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM later),
+spans AS (SELECT r, count(*) AS n, count(*) FILTER (fresh) AS spans FROM (SELECT r, p, p - 1 IS DISTINCT FROM lag(p) OVER (PARTITION BY r ORDER BY p) AS fresh FROM gone) GROUP BY r),
+bytes AS (SELECT r, unnest(range(0, length(h) // 2)) AS p, h FROM d WHERE r IN (SELECT r FROM spans)),
+kept AS (SELECT b.r, string_agg(substr(b.h, 2 * b.p + 1, 2), '' ORDER BY b.p) AS h FROM bytes b ANTI JOIN gone g ON g.r = b.r AND g.p = b.p GROUP BY b.r)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(s.n, 0)::BIGINT AS n_removed, coalesce(s.spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN s.n IS NULL THEN d.h ELSE coalesce(k.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN spans s ON s.r = d.r LEFT JOIN kept k ON k.r = d.r
+"""
+
+ORACLE_SQL["op5_substring_dedup"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS words FROM documents),
+windows AS (SELECT r, i, array_to_string(words[i:i + 34], ' ') AS k FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM again),
+rows AS (SELECT r, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS word FROM d),
+kept AS (SELECT w.r, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.p) AS text FROM rows w ANTI JOIN gone g ON g.r = w.r AND g.p = w.p GROUP BY w.r)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, (len(d.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.r = d.r
+"""
+
+ORACLE_SQL["op6_ngram_jaccard_join"] = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM d WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+ORACLE_SQL["op8_decontamination"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+places AS (SELECT doc_id AS id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+item_places AS (SELECT item_id AS id, w, unnest(range(1, len(w) + 1)) AS p FROM items WHERE len(w) >= 12),
+seeds AS (
+  SELECT id, p, '0 ' || w[p] || ' ' || w[p + 1] || ' ' || w[p + 3] || ' ' || w[p + 4] || ' ' || w[p + 6] || ' ' || w[p + 7] AS seed FROM places WHERE p + 7 <= len(w)
+  UNION ALL SELECT id, p, '1 ' || w[p] || ' ' || w[p + 1] || ' ' || w[p + 4] || ' ' || w[p + 6] || ' ' || w[p + 8] || ' ' || w[p + 9] FROM places WHERE p + 9 <= len(w)),
+item_seeds AS (
+  SELECT id, p, '0 ' || w[p] || ' ' || w[p + 1] || ' ' || w[p + 3] || ' ' || w[p + 4] || ' ' || w[p + 6] || ' ' || w[p + 7] AS seed FROM item_places WHERE p + 7 <= len(w)
+  UNION ALL SELECT id, p, '1 ' || w[p] || ' ' || w[p + 1] || ' ' || w[p + 4] || ' ' || w[p + 6] || ' ' || w[p + 8] || ' ' || w[p + 9] FROM item_places WHERE p + 9 <= len(w)),
+hits AS (SELECT DISTINCT s.id AS doc_id, i.id AS item_id, s.p - i.p AS shift FROM seeds s JOIN item_seeds i ON s.seed = i.seed),
+pairs AS (SELECT h.doc_id, h.item_id, h.shift, i.p, d.w[i.p + h.shift] = i.w[i.p] AS same FROM hits h JOIN item_places i ON i.id = h.item_id JOIN d ON d.doc_id = h.doc_id WHERE i.p + h.shift BETWEEN 1 AND len(d.w)),
+sums AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER o AS s, sum(same::INT) OVER o AS m FROM pairs WINDOW o AS (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS UNBOUNDED PRECEDING)),
+now AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS UNBOUNDED PRECEDING)) AS now FROM sums),
+since AS (SELECT *, m - coalesce(max(CASE WHEN now = 0 THEN m END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS UNBOUNDED PRECEDING), 0) AS matched, max(now) OVER (PARTITION BY doc_id, item_id, shift) AS best FROM now),
+found AS (SELECT doc_id, item_id, shift, any_value(best) AS best, arg_min(matched, p) AS matched FROM since WHERE now = best GROUP BY doc_id, item_id, shift)
+SELECT doc_id, item_id, max(best)::BIGINT AS score, max(matched)::BIGINT AS n_matched FROM found WHERE best >= 12 GROUP BY doc_id, item_id
+"""
