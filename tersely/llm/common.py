@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,7 +51,10 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
 
 
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage with checkpoint(), in the folder the cluster names; a local one is set only where none is."""
+    """Cut the lineage with checkpoint(), in the folder the cluster names; a local one is set only where none is.
+
+    What the step has shuffled is of no use afterwards, so the driver drops what it no longer refers to: Spark removes
+    the shuffle files of plans that have been collected as garbage, and would otherwise keep them for long."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -60,7 +64,11 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
 
             shared = tempfile.mkdtemp(prefix=f"checkpoint-{name}-")
         context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def input_bytes(df: DataFrame) -> int:
