@@ -4,8 +4,9 @@ Heuristic labellers vote good, bad or nothing on each document, on two questions
 repetition, exclamation marks, word lengths), and is it free of abuse (terms that labelled documents tie to abuse). The given
 labels are one more labeller of each. Votes overlap; expectation-maximisation over the counts of vote patterns (of all
 documents; the number of patterns is bounded, whatever the input) estimates each labeller's accuracy and each
-pattern's posterior. The product of the two posteriors is the target of a logistic scorer with an L1 penalty over hashed words and
-figures. The scorer is fitted on at most SAMPLE labelled documents (those of least hash), and scores every document.
+pattern's posterior. The product of the two posteriors is the target of a logistic scorer with an L1 penalty over hashed words,
+words' prefixes (so a stem counts whatever its endings), prefixes that are found twice or more, and figures. The scorer is fitted
+on at most SAMPLE labelled documents (those of least hash), and scores every document.
 
 Null and empty texts have no words and are scored by their figures alone. Labels that repeat count by their worst; labels
 with a null doc_id or null marks are left out; without labels the least hashes among all documents are the sample. A null
@@ -15,7 +16,9 @@ doc_id is carried along, repeated rows get equal results, an empty table gives a
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,17 @@ from tersely.llm.common import id_text
 
 #: Labelled documents that fit the scorer and the terms, at most.
 SAMPLE = 6000
-BITS = 18
-#: A term is tied to abuse if so many sampled abusive documents hold it, in number and in part of them, and they are so
-#: large a part of all that do.
-TERM_DOCUMENTS, TERM_SHARE, TERM_PRECISION = 4, 0.03, 0.75
+BITS = 20
+#: Characters of the prefixes that are hashed beside whole words.
+PREFIXES = (4, 5, 6)
+#: A term is tied to abuse if so many sampled abusive documents hold it, and they are so large a part of all that do.
+TERM_DOCUMENTS, TERM_PRECISION = 4, 0.75
 PENALTY, ROUNDS = 5e-5, 400
-#: Features that fewer sampled documents hold, in number and in part of them, have no weight.
-FEATURE_DOCUMENTS, FEATURE_SHARE = 4, 0.005
+#: Features that fewer sampled documents hold have no weight.
+FEATURE_DOCUMENTS = 4
 MEMO_ENTRIES = 500_000
+#: Turns a word's or prefix's feature into that of its being found twice or more.
+TWICE = 0x9E375
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
 SYMBOL = np.zeros(128, dtype=bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>^~=+@\\/{}[]_`"]] = True
@@ -48,16 +54,18 @@ def feature(name: str) -> int:
 
 
 class Reader:
-    """Turns texts into figures and hashed words; words' hashes are kept in a bounded memo."""
+    """Turns texts into figures and hashed words and prefixes; words' hashes are kept in a bounded memo."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def word(self, word: str) -> int:
+    def word(self, word: str) -> tuple[int, ...]:
+        """Features of a word: its own, then those of its prefixes."""
         if (f := self.memo.get(word)) is None:
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
-            f = feature(word.strip(STRIP) or word)
+            bare = word.strip(STRIP) or word
+            f = (feature(bare), *(feature(f"\x01{bare[:n]}") for n in PREFIXES if len(bare) >= n))
             if len(word) <= 64:
                 self.memo[word] = f
         return f
@@ -74,7 +82,8 @@ class Reader:
         symbols = int(SYMBOL[points[points < 128]].sum())
         variety = min(1.0, len(distinct) / (4 * math.sqrt(n))) if n >= 20 else 1.0
         figures = [capitals / ink, symbols / max(1, n), variety, text.count("!") / max(1, n), ink / max(1, n)]
-        return figures, set(map(self.word, distinct))
+        count = Counter(chain.from_iterable(map(self.word, words)))
+        return figures, count.keys() | {f ^ TWICE for f, c in count.items() if c > 1}
 
 
 def shape(figures: list[float]) -> list[int]:
@@ -128,12 +137,18 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
 
 def fit(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     """Weights of 2**BITS features and, last, the bias: logistic loss with an L1 penalty, by accelerated proximal steps."""
-    index = np.concatenate(rows).astype(np.int64)
+    present, index = np.unique(np.concatenate(rows), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    size, n = 1 << BITS, len(rows)
+    size, n = len(present), len(rows)
     share = min(max(float(target.mean()), 0.01), 0.99)
     weight = target / (2 * share) + (1 - target) / (2 * (1 - share))  # both classes count alike
-    rate = 4 * n / max(1, np.bincount(index, minlength=size).max()) / 12 / weight.max()  # features of a document overlap
+    # A step for each feature, by a bound on the loss that holds for any speeds: features that tell the classes apart go fastest.
+    told = np.abs(np.bincount(index, weights=(weight * (share - target))[row], minlength=size)) / np.sqrt(np.bincount(index, minlength=size))
+    speed = np.maximum(told, 0.01 * told.max()) if told.any() else np.ones(size)
+    fastest = speed.max(initial=1e-9)
+    load = weight * (np.bincount(row, weights=speed[index], minlength=n) + fastest)
+    rate = 4 * n * speed / np.bincount(index, weights=load[row], minlength=size)
+    bias_rate = 4 * n * fastest / load.sum()
     w, before, bias, bias_before, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 1.0
     for _ in range(ROUNDS):
         following = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -142,8 +157,10 @@ def fit(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
         step = ahead - rate * np.bincount(index, weights=error[row], minlength=size) / n
         before, w = w, np.sign(step) * np.maximum(np.abs(step) - rate * PENALTY, 0)
-        bias_before, bias, t = bias, bias_ahead - rate * error.mean(), following
-    return np.append(w, bias)
+        bias_before, bias, t = bias, bias_ahead - bias_rate * error.mean(), following
+    out = np.zeros((1 << BITS) + 1)
+    out[present], out[-1] = w, bias
+    return out
 
 
 @dataclass
@@ -157,11 +174,20 @@ class Classifier:
     bias: float
 
     def score(self, figures: list[float], words: set[int]) -> float:
-        get = self.weights.get
-        z = self.bias + sum(get(f, 0.0) for f in words) + sum(get(f, 0.0) for f in shape(figures))
+        weights = self.weights
+        z = self.bias + math.fsum(weights[f] for f in weights.keys() & words) + sum(weights.get(f, 0.0) for f in shape(figures))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def abusive_terms(held: np.ndarray, abusive: np.ndarray, share: float) -> frozenset:
+    """Features that so many abusive documents hold, out of all that hold them, that of all features less than one is expected to by
+    chance (Chernoff's bound), where `share` of the documents are abusive."""
+    some = np.flatnonzero((abusive >= TERM_DOCUMENTS) & (abusive >= TERM_PRECISION * held) & (abusive > share * held))
+    p = abusive[some] / held[some]
+    surprise = held[some] * (p * np.log(p / share) + (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - share)))
+    return frozenset(some[surprise >= np.log(max(1, (held >= TERM_DOCUMENTS).sum()))].tolist())
+
+
 def given_labels(labels: DataFrame) -> DataFrame:
     """`label_id, quality, toxic`: one row a document."""
     rows = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
@@ -197,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     toxic = np.array([r.toxic == 1 for r in rows])
     held = np.bincount(np.concatenate(words), minlength=1 << BITS)
     abusive = np.bincount(np.concatenate([w for w, t in zip(words, toxic, strict=True) if t] or [words[0][:0]]), minlength=1 << BITS)
-    terms = frozenset(np.flatnonzero((abusive >= max(TERM_DOCUMENTS, TERM_SHARE * toxic.sum())) & (abusive >= TERM_PRECISION * held)).tolist())
+    terms = abusive_terms(held, abusive, toxic.mean())
 
     def patterns(batches):
         reader = Reader()
@@ -216,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     mine = [vote(r.figures) for r in rows]
     good = quality.posterior(np.array([[*v, -1 if r.quality is None else int(r.quality > 0)] for v, r in zip(mine, rows, strict=True)]))
     clean = abuse.posterior(np.array([[int(not terms.intersection(w.tolist())), -1 if r.toxic is None else int(r.toxic == 0)] for w, r in zip(words, rows, strict=True)]))
-    common = held >= max(FEATURE_DOCUMENTS, FEATURE_SHARE * len(rows))
+    common = held >= FEATURE_DOCUMENTS
     w = fit([x[common[x]] for x in words], good * clean)
     return Classifier(terms, quality, abuse, {int(i): float(w[i]) for i in np.flatnonzero(w[:-1])}, float(w[-1]))
 

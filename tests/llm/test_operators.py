@@ -410,6 +410,28 @@ def test_classifier_rejects_junk_and_abuse_that_has_no_label(spark):
     assert sum(got[i] for i in held_out if i % 7 == 0) == 0
 
 
+def test_classifier_learns_an_abusive_stem_of_many_endings(spark):
+    import random
+
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(2000)]
+    endings = ["".join(r.choices("klmnop", k=3)) for _ in range(150)]
+    rows, labels = [], []
+    for i in range(1600):
+        toxic = i % 10 < 2
+        stems = r.randint(2, 5) if toxic else int(r.random() < 0.1)  # a clean document may hold one
+        text = r.choices(words, k=r.randint(40, 120)) + ["bomente" + r.choice(endings) for _ in range(stems)]
+        r.shuffle(text)
+        rows.append((i, " ".join(text)))
+        if i % 4:
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.kept for x in quality_classifier.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held_out = [i for i in got if i % 4 == 0]
+    toxic, clean = [got[i] for i in held_out if i % 10 < 2], [got[i] for i in held_out if i % 10 >= 2]
+    assert sum(toxic) <= 0.05 * len(toxic) and sum(clean) >= 0.97 * len(clean)
+
+
 def test_expectation_maximisation_finds_accuracies():
     r = np.random.default_rng(2)
     truth = r.random(4000) < 0.7
