@@ -54,9 +54,12 @@ def feature(name: str) -> int:
 
 
 class Reader:
-    """Turns texts into figures and hashed words and prefixes; words' hashes are kept in a bounded memo."""
+    """Turns texts into figures and hashed words and prefixes; words' hashes are kept in a bounded memo.
 
-    def __init__(self):
+    Where `wanted` features are given, the others that a text has may be left out."""
+
+    def __init__(self, wanted: frozenset | None = None):
+        self.wanted = None if wanted is None else wanted | {f ^ TWICE for f in wanted}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -66,6 +69,8 @@ class Reader:
                 self.memo.clear()
             bare = word.strip(STRIP) or word
             f = (feature(bare), *(feature(f"\x01{bare[:n]}") for n in PREFIXES if len(bare) >= n))
+            if self.wanted is not None:
+                f = tuple(x for x in f if x in self.wanted)
             if len(word) <= 64:
                 self.memo[word] = f
         return f
@@ -226,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     terms = abusive_terms(held, abusive, toxic.mean())
 
     def patterns(batches):
-        reader = Reader()
+        reader = Reader(terms)
         for batch in batches:
             code = []
             for text in batch.column("text").to_pylist():
@@ -271,7 +276,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, sample
 
 def scored(model: Classifier | None, threshold: float):
     def step(batches):
-        reader = Reader()
+        reader = Reader(frozenset(model.weights)) if model else None
         for batch in batches:
             scores = [round(model.score(*reader.read(t)), 6) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())], names=["doc_id", "score", "kept"])
@@ -284,7 +289,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, sampl
     model = train(docs, labels, sample, id_col, text_col)
 
     def step(batches):
-        reader = Reader()
+        reader = Reader(frozenset(model.weights))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([model.score(*reader.read(t or "")) >= threshold for t in texts], pa.bool_()))
