@@ -8,6 +8,7 @@
 
 Each stage is written as Parquet and read again by `run` in a folder under spark.checkpoint.dir. Stages take the columns of documents,
 whatever else there is, and all but the last return them. Documents with a null doc_id stay, as groups of their own.
+Rows that share a doc_id are documents of their own if their texts differ; of rows equal in doc_id and text, one stays.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.llm.common import read_table
+from tersely.llm.common import durable, read_table
 from tersely.llm.decontaminate import decontaminate
 from tersely.llm.jaccard_join import join_similar
 from tersely.llm.mixing import mix_sources
@@ -32,9 +33,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    known = docs.filter("doc_id is not null")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.join(others(docs), F.col("doc_id") == F.col("other_id"), "left_anti")
+    # Some ids are shared: each different row gets a number, in the order of doc_id, and is compared by it.
+    keyed = known.withColumn("row_key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "row_key"])
+    numbers = durable(keyed.select(F.col("doc_id").alias("numbered_id"), F.col("row_key").alias("numbered_key")).sort("numbered_id", "numbered_key").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    numbered = durable(keyed.join(numbers, (F.col("doc_id") == F.col("numbered_id")) & (F.col("row_key") == F.col("numbered_key"))), "numbered")
+    gone = others(numbered.select(F.col("number").alias("doc_id"), "text"))
+    kept = numbered.join(gone, F.col("number") == F.col("other_id"), "left_anti").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def others(docs: DataFrame) -> DataFrame:
+    """`other_id`: the documents that are similar to one of a smaller id."""
     groups = join_similar(docs, k=5, percent=80)
-    others = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("other_id"), "left_anti")
+    return groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("other_id")).distinct()
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

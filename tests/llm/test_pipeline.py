@@ -36,3 +36,11 @@ def test_stages(spark, tmp_path):
         else:
             assert set(after) <= set(before) and {"epoch", "block", "position", "key"} <= set(held.columns)
     assert set(pipeline.run(spark, str(tmp_path)).columns) == {*columns, "epoch", "block", "position", "key"}
+
+
+def test_rows_that_share_an_id_are_compared_by_text(spark, tmp_path):
+    words = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, words("a"), "s"), (5, words("a"), "s"), (5, words("b"), "s"), (5, words("b"), "t"), (7, words("c"), "s"), (None, words("a"), "s"), (None, None, "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.similar(spark, frame, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, words("a")), (5, words("b")), (7, words("c")), (None, words("a")), (None, None)], key=str)
