@@ -16,7 +16,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tersely.llm.common import durable, read_table
@@ -60,8 +60,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mix_sources(docs).select(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), F.col("tokens").alias("taken_tokens"), "epoch", "block", "position", "key")
-    return docs.join(taken.dropDuplicates(["taken_id", "epoch"]), F.col("doc_id").eqNullSafe(F.col("taken_id"))).drop("taken_id", "taken_source", "taken_tokens")
+    # A copy goes back to the row it was taken of; rows equal in id, source and text are told apart by number.
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]
+    keyed = docs.withColumn("row_key", F.xxhash64(*(x for c, o in zip(("doc_id", "source", "text"), own, strict=True) for x in (F.col(c).isNull(), o))))
+    rows = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
+    copies = mix_sources(keyed, carry=("row_key",)).select(F.col("row_key").alias("taken_key"), "epoch", "block", "position", "key")
+    taken = copies.withColumn("taken_nth", F.row_number().over(Window.partitionBy("taken_key", "epoch").orderBy("key")))
+    return rows.join(taken, (F.col("row_key") == F.col("taken_key")) & (F.col("nth") == F.col("taken_nth"))).drop("row_key", "nth", "taken_key", "taken_nth")
 
 
 STAGES = [("quality_classifier", quality), ("ngram_jaccard_join", similar), ("decontamination", benchmark), ("secret_scans", secrets), ("mix_sources", mixing)]

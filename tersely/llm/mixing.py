@@ -94,9 +94,10 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per taken copy of a document: `doc_id, source, tokens, epoch, block, position, key`."""
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(source_col).cast("string").alias("source"), tokens_of(quoted(text_col).cast("string")).alias("tokens"))
+    """One row per taken copy of a document: `doc_id, source, tokens, epoch, block, position, key`, and the columns to `carry`."""
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(source_col).cast("string").alias("source"), tokens_of(quoted(text_col).cast("string")).alias("tokens"), *carry)
     sources = budgets(rows, entropy_share, repeats, budget_share).select(
         F.col("source").alias("of"),
         F.col("tokens").alias("all_tokens"),
@@ -115,9 +116,9 @@ def mix_sources(
     sums = last.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("block_tokens").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "tokens", *carry).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = last.withColumn("upto", F.sum("tokens").over(within))
     taken = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).filter(F.col("start") + F.col("upto") <= F.col("rest"))
     # Of a source's run of blocks over all its epochs, the last cut off where the budget ends.
     position = F.least(F.lit(1.0), (F.col("epoch") * F.col("all_tokens") + F.col("block") * F.col("all_tokens") / F.col("blocks")) / F.col("budget"))
-    return full.unionByName(taken.select(*full.columns)).select("doc_id", "source", "tokens", "epoch", "block", F.round(position, 9).alias("position"), "key")
+    return full.unionByName(taken.select(*full.columns)).select("doc_id", "source", "tokens", "epoch", "block", F.round(position, 9).alias("position"), "key", *carry)

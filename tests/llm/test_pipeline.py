@@ -1,5 +1,7 @@
 """The pipeline's stages on small tables, each against what it must leave."""
 
+from collections import Counter
+
 import corpus_pipeline as pipeline
 from tests.llm.corpus import random_texts
 from tests.llm.test_operators import brute_components, brute_contaminated, labelled, sets_of
@@ -44,3 +46,12 @@ def test_rows_that_share_an_id_are_compared_by_text(spark, tmp_path):
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.text) for r in pipeline.similar(spark, frame, str(tmp_path)).collect()), key=str)
     assert got == sorted([(1, words("a")), (5, words("b")), (7, words("c")), (None, words("a")), (None, None)], key=str)
+
+
+def test_mixing_emits_only_the_rows_it_took(spark, tmp_path):
+    rows = [(9, f"{k} " + "x" * 400, "big", k) for k in range(40)] + [(None, f"{k} " + "y" * 400, "small", k) for k in range(4)] + [(9, "same", "small", k) for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    out = pipeline.mixing(spark, frame, str(tmp_path)).collect()
+    taken = pipeline.mix_sources(frame).groupBy("source", "epoch").count().collect()
+    assert {(r.source, r.epoch): r["count"] for r in taken} == dict(Counter((r.source, r.epoch) for r in out))
+    assert max(Counter((r.source, r.text, r.n, r.epoch) for r in out).values()) == 1
