@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,25 +50,33 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
     return run
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="checkpoint-")
+    return shared
+
+
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage with checkpoint(), in the folder the cluster names; a local one is set only where none is.
 
-    What the step has shuffled is of no use afterwards, so the driver drops what it no longer refers to: Spark removes
-    the shuffle files of plans that have been collected as garbage, and would otherwise keep them for long."""
+    What the step has shuffled is of no use afterwards, and Spark removes it as the step ends."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix=f"checkpoint-{name}-")
-        context.setCheckpointDir(shared)
-    out = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    context._jvm.System.gc()
-    return out
+        context.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tersely.llm.common import durable
@@ -18,7 +18,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes take about log n rounds. Nothing but one number a round comes to the driver. A node with very many edges is a
     skewed join key, which adaptive execution splits. No edges give an empty table."""
     pairs = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).distinct()
-    hooked = durable(pairs.withColumn("least", F.min("b").over(Window.partitionBy("a"))), "hooked")
+    pairs = durable(pairs, "pairs")
+    least = pairs.groupBy("a").agg(F.min("b").alias("least"))
+    hooked = durable(pairs.join(least, "a"), "hooked")
     pairs = hooked.select("a", F.col("least").alias("b")).unionByName(hooked.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
     both = durable(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")

@@ -3,15 +3,22 @@
 A document's set holds the hashes of its distinct `k`-word shingles (fewer words: the whole sequence as one). Documents
 link when 100 * intersection >= percent * union.
 
-1. Documents of equal sets form a class; only the class's least doc_id goes on.
-2. Candidates, without loss: sizes fall into classes such that linked sets lie in the same or neighbouring ones. For a
-   pair of neighbouring size classes, linked sets differ in at most D hashes, so of more than D parts of the hash space
-   one is equal in both and not empty; the hash of a part's members is a signature, and linked sets share one.
-3. Sets connected by shared signatures are compared by signature trees: nodes hold the OR of their sets' bitmaps and their
+1. Documents of equal sets form a class; only the class's least doc_id goes on. A class is told by 128 bits, of two
+   independent hashes of the words.
+2. Candidates, without loss: shingles are ordered by how often all documents hold them (counted in a table of fixed size, by
+   hash), rarest first, then by hash. Linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles, whatever
+   the order; with this one, passages that very many documents share hardly ever come first. The documents that have
+   a shingle among their first form a bucket, and the least of them is its pivot.
+3. Buckets of one pivot are compared together by signature trees: nodes hold the OR of their sets' bitmaps and their
    range of sizes, and a dual traversal leaves out pairs of nodes whose greatest possible overlap is too small, or whose
-   sets are connected already. Leaves are compared exactly. Large groups are dealt in blocks, a task for each pair of
-   blocks, so no task holds a group; each set and the least one it is connected with come out, never all pairs.
-4. The links' components, and the classes' members, give every document its component.
+   sets are connected already. Leaves are compared exactly, and a link counts once the words themselves confirm it. A
+   pivot's documents beyond `block_shingles` are dealt in blocks, each with the pivot.
+4. The links' components. What is left of pivots with several blocks are pairs of documents in different blocks that
+   aren't connected yet: documents are dealt anew by component, and only blocks of different components and of sizes that
+   can link meet. So a group of near copies, however large, is done after step 3.
+5. Components of all links, and the classes' members, give every document its component.
+
+No task holds a bucket, a pivot's documents or a component; each set and the least one it is connected with come out, never all pairs.
 
 Null or empty texts have no shingles and link with nothing. A row with a null doc_id links with nothing and has a null
 component. Rows are documents of their own; of rows that share a doc_id, those that are the least of their class count as
@@ -20,34 +27,36 @@ linked. An empty table gives an empty one; other columns are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import column_bytes, durable, id_text, per_batch
+from tersely.llm.common import column_bytes, durable, id_text
 from tersely.llm.components import components
-from tersely.llm.rolling import Prefix, mix, runs
+from tersely.llm.rolling import Prefix, mix, pack, unpack
 from tersely.llm.substring_dedup import Words, slices
 
-#: Shingles that a block of a large group holds, more or less.
-BLOCK_SHINGLES = 60_000
+#: Shingles that a block of a pivot's documents holds, more or less.
+BLOCK_SHINGLES = 250_000
 LEAF_SETS, LEAF_SHINGLES, FANOUT = 64, 20_000, 8
+#: Counters of shingles in all, and in one part; the table (4 bytes a counter) comes to the driver and is broadcast.
+COUNTERS, COUNTER_PARTS, SALTS = 1 << 20, 16, 64
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of several texts: the text of each distinct shingle and its hash, ordered by both."""
-    w = Words([t.translate(LOWER) for t in texts])
-    prefix = Prefix(w.hash)
+def shingles(w: Words, n_texts: int, k: int, stream: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of several texts: the text of each distinct shingle and its hash, ordered by both; two streams of hashes are independent."""
+    prefix = Prefix(w.hash if stream == 0 else w.second())
     hashes = prefix.windows(k)
     text = w.text[: len(hashes)]
     valid = text == w.text[k - 1 :] if len(hashes) else np.zeros(0, dtype=bool)
-    counts = np.bincount(w.text, minlength=len(texts)) if len(w.text) else np.zeros(len(texts), dtype=np.int64)
+    counts = np.bincount(w.text, minlength=n_texts) if len(w.text) else np.zeros(n_texts, dtype=np.int64)
     short = np.flatnonzero((counts > 0) & (counts < k))
     first = (np.cumsum(counts) - counts)[short]
     whole = prefix.of(first, first + counts[short]) + counts[short].astype(np.uint64) * K3
@@ -60,10 +69,17 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return text[new], hashes[new]
 
 
-def per_text(texts: list[bytes], k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """By slice of the texts: (first text, one past the last, text of each shingle counted from the first, hash)."""
+def per_text(texts: list[bytes], k: int) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
+    """By slice of the texts: (first text, one past the last, words, text of each shingle counted from the first, hash)."""
     for a, b in slices(texts):
-        yield (a, b, *shingles(texts[a:b], k))
+        w = Words([t.translate(LOWER) for t in texts[a:b]])
+        yield (a, b, w, *shingles(w, b - a, k))
+
+
+def exact(text: bytes, k: int) -> set[bytes]:
+    """The shingles themselves."""
+    words = text.translate(LOWER).split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
 def sums(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
@@ -73,42 +89,14 @@ def sums(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
-def size_classes(most: int, percent: int) -> np.ndarray:
-    """Lower bounds of classes of sizes: linked sets are at most one class apart."""
-    bounds = [1]
-    while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 100 // percent + 1))
-    return np.array([*bounds, bounds[-1] * 100 // percent + 1], dtype=np.int64)
-
-
-def signatures(text: np.ndarray, hashes: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and value of each signature."""
+def first_shingles(text: np.ndarray, hashes: np.ndarray, n: int, percent: int, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, those of its shingles of which linked texts share one: text and hash, by text."""
+    often = counters[(hashes & np.uint64(len(counters) - 1)).astype(np.int64)].astype(np.int64)
+    order = np.argsort(text.astype(np.int64) << 32 | often, kind="stable")  # within a text and count, by hash as before
     sizes = np.bincount(text, minlength=n)
-    bounds = size_classes(int(sizes.max(initial=1)), percent)
-    own = np.searchsorted(bounds, sizes, side="right") - 1
-    found = []
-    for family in (own, own - 1):  # as the smaller and as the larger of a pair
-        family = np.where(sizes > 0, family, -1)
-        at = np.maximum(family, 0)
-        differ = np.where(family >= 0, (100 - percent) * (bounds[at + 1] + bounds[at + 2] - 2) // (100 + percent), 0)
-        number = np.where(differ > 0, differ + 2 + differ // 8, 0)  # sets that may not differ are equal, and so one class
-        use = number[text] > 0
-        t, h = text[use], hashes[use]
-        if not len(t):
-            continue
-        part = ((h >> np.uint64(32)) * number[t].astype(np.uint64)) >> np.uint64(32)  # ascends with the hash
-        begin, _ = runs((t[1:] == t[:-1]) & (part[1:] == part[:-1]))
-        value = np.add.reduceat(mix(h ^ K2), begin)
-        t, part = t[begin], part[begin]
-        full = np.bincount(t, minlength=n)
-        few = np.flatnonzero((number > 0) & (full <= differ))  # too many empty parts: they count as well
-        for i in few.tolist():
-            missing = np.setdiff1d(np.arange(number[i], dtype=np.uint64), part[t == i])
-            t, part, value = np.append(t, np.full(len(missing), i)), np.append(part, missing), np.append(value, np.zeros(len(missing), dtype=np.uint64))
-        found.append((t, mix(value + mix(family[t].astype(np.uint64) * K1 + part * K3))))
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = place < (sizes + (-percent * sizes // 100) + 1)[text]
+    return text[first], hashes[order][first]
 
 
 class Forest:
@@ -167,8 +155,8 @@ def possible(a: Node, b: Node, percent: int) -> bool:
     return (100 + percent) * min(overlap, a.high, b.high) >= percent * (a.low + b.low)
 
 
-def compare(a: list[int], b: list[int], sets: list[np.ndarray], percent: int, forest: Forest) -> None:
-    """Join what links between the sets of two leaves."""
+def compare(a: list[int], b: list[int], sets: list[np.ndarray], percent: int, forest: Forest, confirm: Callable[[int, int], bool] | None = None) -> None:
+    """Join what links between the sets of two leaves and, where asked, is confirmed by the words."""
     members = sorted({*a, *b})
     _, column = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
     sizes = np.array([len(sets[i]) for i in members])
@@ -179,10 +167,11 @@ def compare(a: list[int], b: list[int], sets: list[np.ndarray], percent: int, fo
     common = (matrix[ra] @ matrix[rb].T).astype(np.int64)
     linked = 100 * common >= percent * (sizes[ra][:, None] + sizes[rb][None, :] - common)
     for i, j in np.argwhere(linked).tolist():
-        forest.join(a[i], b[j])
+        if forest.root(a[i]) != forest.root(b[j]) and (confirm is None or confirm(a[i], b[j])):
+            forest.join(a[i], b[j])
 
 
-def linked(left: list[int], right: list[int] | None, sets: list[np.ndarray], percent: int) -> Forest:
+def linked(left: list[int], right: list[int] | None, sets: list[np.ndarray], percent: int, confirm: Callable[[int, int], bool] | None = None) -> Forest:
     """The components of the links within one group of sets, or between two."""
     forest = Forest(len(sets))
     most = max(len(s) for s in sets)
@@ -198,7 +187,7 @@ def linked(left: list[int], right: list[int] | None, sets: list[np.ndarray], per
         if len(roots) == 1 and len(x.members) + len(y.members) > 1:
             continue
         if x.below is None and y.below is None:
-            compare(x.members, y.members, sets, percent, forest)
+            compare(x.members, y.members, sets, percent, forest, confirm)
         elif x is y:
             stack += [(p, q) for i, p in enumerate(x.below) for q in x.below[i:]]
         elif y.below is None or x.below is not None and len(x.members) > len(y.members):
@@ -209,62 +198,102 @@ def linked(left: list[int], right: list[int] | None, sets: list[np.ndarray], per
 
 
 def digests(docs: DataFrame, k: int) -> DataFrame:
-    """`doc_id, n_shingles, k1, k2`: size and 128-bit digest of each document's set; unique for documents without one."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = column_bytes(batch, "text")
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
-        n, one, two = [], [], []
-        for a, b, text, hashes in per_text(texts, k):
-            size = np.bincount(text, minlength=b - a)
-            empty = size == 0
-            n.append(size)
-            one.append(np.where(empty, mix(ids[a:b] ^ K1), sums(mix(hashes ^ K1), text, b - a)))
-            two.append(np.where(empty, mix(ids[a:b] ^ K2), sums(mix(hashes ^ K2), text, b - a)))
-        columns = [np.concatenate(n).astype(np.int64), np.concatenate(one).view(np.int64), np.concatenate(two).view(np.int64)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "n_shingles", "k1", "k2"])
-
-    return docs.mapInArrow(per_batch(lambda: step), "doc_id long, n_shingles long, k1 long, k2 long")
-
-
-def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """`doc_id, n, sigs`: each document's size and signatures."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = column_bytes(batch, "text")
-        values, counts, sizes = [], [], []
-        for a, b, text, hashes in per_text(texts, k):
-            owner, sig = signatures(text, hashes, b - a, percent)
-            values.append(sig[np.argsort(owner, kind="stable")])
-            counts.append(np.bincount(owner, minlength=b - a))
-            sizes.append(np.bincount(text, minlength=b - a))
-        offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
-        sigs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(sizes).astype(np.int64)), sigs], names=["doc_id", "n", "sigs"])
-
-    return docs.mapInArrow(per_batch(lambda: step), "doc_id long, n long, sigs array<long>")
+    """A row per document: `doc_id, n_shingles, k1, k2`, its set's size and 128-bit digest (without shingles, of its doc_id).
+
+    And of each task `part, task, counts`: how often shingles of each counter were found; the other columns are null there."""
+    names = ["doc_id", "n_shingles", "k1", "k2", "part", "task", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            texts = column_bytes(batch, "text")
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
+            for a, b, w, text, hashes in per_text(texts, k):
+                counters += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                size = np.bincount(text, minlength=b - a)
+                text2, hashes2 = shingles(w, b - a, k, 1)
+                empty = size == 0
+                one = np.where(empty, mix(ids[a:b] ^ K1), sums(mix(hashes ^ K1), text, b - a))
+                two = np.where(empty, mix(ids[a:b] ^ K2), sums(mix(hashes2 ^ K2), text2, b - a))
+                own = [batch.column("doc_id").slice(a, b - a), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(b - a, t) for t in kinds[4:])], names=names)
+        if counters.any():
+            parts = [pack(p) for p in np.split(counters, COUNTER_PARTS)]
+            task = [TaskContext.get().partitionId()] * COUNTER_PARTS
+            own = [pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(task, pa.int32()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(COUNTER_PARTS, t) for t in kinds[:4]), *own], names=names)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, part int, task int, counts binary")
+
+
+def counted(rows: DataFrame) -> np.ndarray:
+    """The counters of all tasks, added up in two steps; a task holds one part of the table at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                totals[part] = totals.get(part, 0) + unpack(blob, np.int64)[0]
+        if totals:
+            blobs = [pa.array(list(totals), pa.int32()), pa.array(map(pack, totals.values()), pa.binary())]
+            yield pa.RecordBatch.from_arrays(blobs, names=["part", "counts"])
+
+    tables = rows.filter("part is not null").select("part", F.pmod("task", F.lit(SALTS)).alias("salt"), "counts")
+    tables = tables.repartition("part", "salt").mapInArrow(add, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
+    out = np.zeros((COUNTER_PARTS, COUNTERS // COUNTER_PARTS), dtype=np.int64)
+    for r in tables.collect():
+        out[r.part] = unpack(r.counts, np.int64)[0]
+    return np.minimum(out.reshape(-1), (1 << 31) - 1).astype(np.int32)
+
+
+def indexed(docs: DataFrame, k: int, percent: int, counters: np.ndarray) -> DataFrame:
+    """`doc_id, n, sigs`: each document's number of shingles, and the first of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, _, text, hashes in per_text(column_bytes(batch, "text"), k):
+                owner, sig = first_shingles(text, hashes, b - a, percent, counters)
+                offsets = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
+                sigs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.bincount(text, minlength=b - a)), sigs], names=["doc_id", "n", "sigs"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, sigs array<long>")
 
 
 def group_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """`a, b`: of the groups (`cand, i, j`) of rows that are sorted by group, each set linked with others and the least of them."""
+    """`a, b`: of the groups (`pivot, i, j`) of rows `pivot, i, j, doc_id, block, text` that are sorted by group and doc_id, each
+    set linked with others and the least of them. Where i = j, all of a group are compared, else those of two blocks."""
 
     def flush(group: list[tuple[int, int, bytes]], i: int, j: int):
         flat = [g[2] for g in group]
         sets = []
-        for a, b, text, hashes in per_text(flat, k):
+        for a, b, _, text, hashes in per_text(flat, k):
             edge = np.searchsorted(text, np.arange(b - a + 1))
             sets += [hashes[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         left = [p for p, g in enumerate(group) if g[1] == i]
         right = None if i == j else [p for p, g in enumerate(group) if g[1] == j]
+        words: dict[int, set[bytes]] = {}
+
+        def confirm(p: int, q: int) -> bool:
+            for x in (p, q):
+                if x not in words:
+                    if len(words) > LEAF_SETS:
+                        words.clear()
+                    words[x] = exact(flat[x], k)
+            one, two = words.get(p) or exact(flat[p], k), words[q]
+            common = len(one & two)
+            return 100 * common >= percent * (len(one) + len(two) - common)
+
         if left and (right is None or right):
-            forest = linked(left, right, sets, percent)
+            forest = linked(left, right, sets, percent, confirm)
             # The rows ascend by doc_id, so a root is the least of its component.
             yield from ((g[0], group[r][0]) for p, g in enumerate(group) if (r := forest.root(p)) != p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cand", "i", "j", "doc_id", "block")]
+            columns = [batch.column(c).to_pylist() for c in ("pivot", "i", "j", "doc_id", "block")]
             for c, i, j, d, block, text in zip(*columns, column_bytes(batch, "text"), strict=True):
                 if (c, i, j) != key:
                     if group:
@@ -282,33 +311,68 @@ def group_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
     def edges(out):
         return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    dealt = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def candidates(sigs: DataFrame, percent: int) -> DataFrame:
+    """`pivot, doc_id, n`: each document and the least of each bucket it is in."""
+    rows = sigs.select("doc_id", "n", F.explode("sigs").alias("sig"))
+    least = F.min(F.struct("doc_id", "n"))
+    heads = rows.groupBy("sig").agg(least.alias("head"), F.count("*").alias("held")).filter("held > 1")
+    heads = heads.select("sig", F.col("head.doc_id").alias("pivot"), F.col("head.n").alias("pivot_n"), "held")
+    fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    # Of a bucket of two whose sizes don't fit, nothing can link; larger ones may link within.
+    return rows.join(heads, "sig").filter((F.col("doc_id") != F.col("pivot")) & ((F.col("held") > 2) | fits)).select("pivot", "doc_id", "n").distinct()
+
+
+def left_over(members: DataFrame, links: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """`pivot, i, j, doc_id, block` of documents (`pivot, doc_id, n`) that are dealt in blocks and not connected yet."""
+    labels = components(links).withColumnRenamed("component", "label")
+    known = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    apart = known.groupBy("pivot").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("pivot")
+    known = durable(known.join(apart, "pivot", "left_semi"), "apart")
+    volume = known.groupBy("pivot", "label").agg(F.sum("n").alias("volume"))
+    # A component of a block or more has blocks of its own; the others are put together whole.
+    large = F.col("volume") >= block_shingles
+    small = volume.filter(~large).groupBy("pivot").agg(F.ceil(F.sum("volume") / block_shingles).cast("int").alias("together"))
+    volume = volume.join(small, "pivot", "left").select(
+        "pivot", "label", F.when(large, F.col("label")).alias("own"), F.when(large, F.ceil(F.col("volume") / block_shingles)).otherwise(F.col("together")).cast("int").alias("blocks")
+    )
+    dealt = known.join(volume, ["pivot", "label"]).withColumn("nth", F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("doc_id"))), F.col("blocks")))
+    dealt = durable(dealt.select("pivot", "doc_id", "n", "own", F.xxhash64("own", "nth").alias("block")), "dealt")
+    blocks = dealt.groupBy("pivot", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("own").alias("own"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    fits = (100 * F.least("a.high", "b.high") >= percent * F.greatest("a.low", "b.low")) & ~F.coalesce(F.col("a.own") == F.col("b.own"), F.lit(False))
+    meet = a.join(b, (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.block") <= F.col("b.block"))).filter(fits).select(F.col("a.pivot").alias("pivot"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
+    either = meet.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return dealt.join(either, ["pivot", "block"]).select("pivot", "i", "j", "doc_id", "block")
 
 
 def join_similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: `doc_id, n_shingles, component_id` (the smallest doc_id reachable by links)."""
     rows = id_text(docs, id_col, text_col)
+    read = durable(digests(rows, k), "digests")
+    sized = read.filter("part is null").select("doc_id", "n_shingles", "k1", "k2")
+    counters = counted(read)
+    classes = durable(sized.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     known = rows.filter("doc_id is not null")
-    sized = digests(known, k)
-    classes = durable(sized.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    texts = known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sigs = signed(texts, k, percent).select("doc_id", "n", F.explode("sigs").alias("sig"))
-    least = F.min("doc_id").over(Window.partitionBy("sig"))
-    shared = sigs.withColumn("least", least).filter("doc_id <> least").groupBy("doc_id", "least").agg(F.first("n").alias("n"))
-    shared = durable(shared, "shared")
-    groups = components(shared, "doc_id", "least").select(F.col("node").alias("doc_id"), F.col("component").alias("cand"))
-    # A group's volume: its sets lie within the sizes of those that share a signature, so the known sizes tell it.
-    volume = groups.join(shared.groupBy("doc_id").agg(F.first("n").alias("n")), "doc_id", "left").groupBy("cand").agg(
-        F.ceil((F.sum(F.coalesce("n", F.lit(0))) * F.count("*") / F.greatest(F.count("n"), F.lit(1))) / block_shingles).cast("int").alias("blocks")
-    )
-    dealt = groups.join(volume, "cand").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "cand", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    together = texts.join(dealt, "doc_id").repartition("cand", "i", "j").sortWithinPartitions("cand", "i", "j", "doc_id")
-    found = components(group_links(together, k, percent))
-    reps = durable(
-        classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "reps"
+    sigs = durable(indexed(known, k, percent, counters).join(reps, "doc_id", "left_semi"), "sigs")
+    pairs = durable(candidates(sigs, percent), "pairs")
+    blocks = pairs.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.lit(1)).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "pivot").select("pivot", "doc_id", "n", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long").alias("block"))
+    everywhere = blocks.select("pivot", F.col("pivot").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
+    grouped = dealt.select("pivot", "doc_id", "block").unionByName(everywhere).withColumn("i", F.col("block")).withColumn("j", F.col("block"))
+    links = durable(group_links(known.join(grouped, "doc_id"), k, percent), "links")
+    hot = dealt.filter("blocks > 1").select("pivot", "doc_id", "n")
+    if not hot.isEmpty():
+        more = left_over(hot, links, percent, block_shingles)
+        links = links.unionByName(durable(group_links(known.join(more, "doc_id"), k, percent), "more"))
+    found = components(links)
+    groups = durable(
+        classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "groups"
     )
-    out = sized.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    missing = digests(rows.filter("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")), k)
-    return out.unionByName(missing.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    out = sized.filter("doc_id is not null").join(groups, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    missing = sized.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(missing)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tersely.llm.chunks import BLOBS, Spans, blob_table, by_bucket, chunked, covered, documents, parts
-from tersely.llm.rolling import Prefix, mix, pack, ranges, runs, sliding_min, unpack, words
+from tersely.llm.rolling import Prefix, hash_words, mix, pack, ranges, runs, sliding_min, unpack, words
 
 WIDTH = 35
 GRAM = 3
@@ -47,13 +47,19 @@ class Words:
         self.start = self.end - lengths
         flat[self.end] = 32
         self.bytes = flat.tobytes()
-        self.hash = mix(Prefix(flat).of(self.start, self.end) + lengths.astype(np.uint64)) if len(start) else np.zeros(0, dtype=np.uint64)
+        self.hash = hash_words(flat, self.start, lengths)
+        self.flat, self.lengths = flat, lengths
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.text = np.searchsorted(offsets, start, side="right") - 1
         first = np.searchsorted(self.text, np.arange(len(texts)))
         self.place = np.arange(len(start)) - first[self.text] if len(start) else start
 
 
+    def second(self) -> np.ndarray:
+        """Other hashes of the words, independent of the first."""
+        return hash_words(self.flat, self.start, self.lengths, 1)
+
+
 def super_kmers(w: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First windows, numbers of windows and minimisers."""
     n = len(w.hash) - width + 1

@@ -12,7 +12,7 @@ from tests.llm.corpus import LONG, edge_rows, edge_table, empty_table, random_te
 from tersely.llm import chunks, decontaminate, mixing, quality_classifier, quality_rules, secrets
 from tersely.llm.chat_format import format_chats
 from tersely.llm.components import components
-from tersely.llm.jaccard_join import join_similar, linked
+from tersely.llm.jaccard_join import first_shingles, join_similar, linked
 from tersely.llm.substring_dedup import dedup_substrings
 from tersely.llm.suffix_dedup import Suffixes, dedup_suffixes
 from tersely.llm.token_counts import PieceCounter, count_tokens
@@ -164,6 +164,61 @@ def test_jaccard_join(spark, k, percent, block):
     assert got == {i: (len(sets[i]), expected[i]) for i in sets}
 
 
+def passages(n, seed):
+    """Texts half of which hold one passage, beside near copies of a few."""
+    import random
+
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage, other = ([word() for _ in range(40)] for _ in range(2))
+    near = [word() for _ in range(70)]
+    out = []
+    for i in range(n):
+        if i % 3 == 0:
+            w = list(near)
+            for _ in range(r.randint(1, 3)):
+                w[r.randrange(len(w))] = word()
+        else:
+            w = [word() for _ in range(r.randint(3, 40))] + passage + (other if i % 3 == 2 else [])
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("k", "percent", "block"), [(5, 80, 250_000), (5, 80, 400), (3, 50, 300), (3, 90, 700)])
+def test_jaccard_join_with_passages_that_half_of_all_documents_share(spark, k, percent, block):
+    texts = passages(120, k + percent)
+    sets = sets_of(list(enumerate(texts)), k)
+    expected = brute_components(sets, percent)
+    got = {r.doc_id: r.component_id for r in join_similar(table(spark, texts), k, percent, block_shingles=block).collect()}
+    assert got == expected
+
+
+def test_jaccard_join_tells_words_apart_that_polynomials_confuse(spark):
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    texts = [thue + " end of text", thue.translate(str.maketrans("ab", "ba")) + " end of text"]
+    assert [r.component_id for r in join_similar(table(spark, texts), 3, 90).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_first_shingles_share_one_for_every_linked_pair():
+    r = np.random.default_rng(8)
+    counters = r.integers(0, 9, 64).astype(np.int32)
+    for percent in (50, 80, 90, 100):
+        for _ in range(200):
+            n, d = int(r.integers(1, 60)), float(r.random() * 0.4)
+            one = r.integers(0, 1 << 60, n).astype(np.uint64)
+            two = np.concatenate((one[r.random(n) > d], r.integers(0, 1 << 60, int(r.integers(0, 5))).astype(np.uint64)))
+            one, two = np.unique(one), np.unique(two)
+            if not len(two):
+                continue
+            common = len(np.intersect1d(one, two))
+            text = np.repeat([0, 1], [len(one), len(two)])
+            owner, sig = first_shingles(text, np.concatenate((one, two)), 2, percent, counters)
+            if 100 * common >= percent * (len(one) + len(two) - common):
+                assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
+
+
 def test_jaccard_join_edges(spark):
     rows = join_similar(edge_table(spark), 3, 90).collect()
     assert len(rows) == len(edge_rows())
