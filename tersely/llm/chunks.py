@@ -15,16 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import NULL_ID, input_bytes, keyed
+from tersely.llm.common import NULL_ID, keyed, quoted
 from tersely.llm.rolling import pack, unpack
 
-#: Bytes of stored input that a chunk or a bucket stands for.
+#: Bytes of text that a chunk or a bucket stands for.
 CHUNK_BYTES = 2 << 20
 BLOBS = "bucket long, chunk long, kind int, blob binary"
 
 
-def parts(docs: DataFrame, each: int = CHUNK_BYTES) -> int:
-    return max(1, math.ceil(input_bytes(docs) / each))
+def parts(docs: DataFrame, text_col: str, each: int = CHUNK_BYTES) -> int:
+    """Into how many parts of so many bytes the texts go, by their counted bytes."""
+    size = docs.agg(F.sum(F.octet_length(quoted(text_col).cast("string")).cast("long"))).first()[0]
+    return max(1, math.ceil((size or 0) / each))
 
 
 def chunked(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -79,10 +79,5 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
         spark.conf.set(CLEAN_UP, before)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes a plan reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

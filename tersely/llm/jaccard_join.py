@@ -5,11 +5,12 @@ link when 100 * intersection >= percent * union.
 
 1. Documents of equal sets form a class; only the class's least doc_id goes on. A class is told by 128 bits, of two
    independent hashes of the words.
-2. Candidates, without loss: shingles are ordered by how often all documents hold them (counted in a table of fixed size, by
-   hash), rarest first, then by hash. Linked sets share one of their first n - ceil(percent * n / 100) + 1 shingles, whatever
-   the order; with this one, passages that very many documents share hardly ever come first. The documents that have
-   a shingle among their first form a bucket, and the least of them is its pivot.
-3. Buckets of one pivot are compared together by signature trees: nodes hold the OR of their sets' bitmaps and their
+2. Candidates, without loss: shingles are ordered by how many documents hold them, rarest first, then by hash. Linked sets share
+   one of their first n - ceil(percent * n / 100) + 1 shingles, whatever the order; with this one, passages that many
+   documents share hardly ever come first, and shingles that one document holds need no further look. To count, chunks of
+   documents send their shingles, each once with its count, in order and packed, to buckets by hash, which answer with those that
+   more than one document holds. The documents that have a shingle among their first meet, and the least of them is its pivot.
+3. The documents of one pivot are compared together by signature trees: nodes hold the OR of their sets' bitmaps and their
    range of sizes, and a dual traversal leaves out pairs of nodes whose greatest possible overlap is too small, or whose
    sets are connected already. Leaves are compared exactly, and a link counts once the words themselves confirm it. A
    pivot's documents beyond `block_shingles` are dealt in blocks, each with the pivot.
@@ -18,7 +19,7 @@ link when 100 * intersection >= percent * union.
    can link meet. So a group of near copies, however large, is done after step 3.
 5. Components of all links, and the classes' members, give every document its component.
 
-No task holds a bucket, a pivot's documents or a component; each set and the least one it is connected with come out, never all pairs.
+No task holds all of a pivot's documents or a component; each set and the least one it is connected with come out, never all pairs.
 
 Null or empty texts have no shingles and link with nothing. A row with a null doc_id links with nothing and has a null
 component. Rows are documents of their own; of rows that share a doc_id, those that are the least of their class count as
@@ -35,16 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tersely.llm.chunks import parts
 from tersely.llm.common import column_bytes, durable, id_text
 from tersely.llm.components import components
-from tersely.llm.rolling import Prefix, mix, pack, unpack
+from tersely.llm.rolling import Prefix, mix, pack, ranges, runs, unpack
 from tersely.llm.substring_dedup import Words, slices
 
 #: Shingles that a block of a pivot's documents holds, more or less.
 BLOCK_SHINGLES = 250_000
 LEAF_SETS, LEAF_SHINGLES, FANOUT = 64, 20_000, 8
-#: Counters of shingles in all, and in one part; the table (4 bytes a counter) comes to the driver and is broadcast.
-COUNTERS, COUNTER_PARTS, SALTS = 1 << 20, 16, 64
+#: Bytes of text whose shingles are sorted and packed at once, and those that a bucket stands for.
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+LOW = np.uint64(0xFFFFFFFF)
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -89,14 +92,18 @@ def sums(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
-def first_shingles(text: np.ndarray, hashes: np.ndarray, n: int, percent: int, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text, those of its shingles of which linked texts share one: text and hash, by text."""
-    often = counters[(hashes & np.uint64(len(counters) - 1)).astype(np.int64)].astype(np.int64)
-    order = np.argsort(text.astype(np.int64) << 32 | often, kind="stable")  # within a text and count, by hash as before
-    sizes = np.bincount(text, minlength=n)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = place < (sizes + (-percent * sizes // 100) + 1)[text]
-    return text[first], hashes[order][first]
+def first_shingles(text: np.ndarray, often: np.ndarray, keys: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's first shingles, those that others hold too: text and key, by text.
+
+    Given are all shingles that others hold too (text, count of documents, key) and the sizes of all the texts' sets."""
+    order = np.lexsort((keys, often, text))
+    text, keys = text[order], keys[order]
+    shared = np.bincount(text, minlength=len(sizes))
+    alone = sizes - shared  # these come first
+    place = np.arange(len(text)) - np.repeat(np.cumsum(shared) - shared, shared)
+    first = place < (sizes + (-percent * sizes // 100) + 1 - alone)[text]
+    first[1:] |= first[:-1] & (text[1:] == text[:-1]) & (keys[1:] == keys[:-1])
+    return text[first], keys[first]
 
 
 class Forest:
@@ -197,68 +204,103 @@ def linked(left: list[int], right: list[int] | None, sets: list[np.ndarray], per
     return forest
 
 
-def digests(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document: `doc_id, n_shingles, k1, k2`, its set's size and 128-bit digest (without shingles, of its doc_id).
-
-    And of each task `part, task, counts`: how often shingles of each counter were found; the other columns are null there."""
-    names = ["doc_id", "n_shingles", "k1", "k2", "part", "task", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            texts = column_bytes(batch, "text")
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
-            for a, b, w, text, hashes in per_text(texts, k):
-                counters += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                size = np.bincount(text, minlength=b - a)
-                text2, hashes2 = shingles(w, b - a, k, 1)
-                empty = size == 0
-                one = np.where(empty, mix(ids[a:b] ^ K1), sums(mix(hashes ^ K1), text, b - a))
-                two = np.where(empty, mix(ids[a:b] ^ K2), sums(mix(hashes2 ^ K2), text2, b - a))
-                own = [batch.column("doc_id").slice(a, b - a), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(b - a, t) for t in kinds[4:])], names=names)
-        if counters.any():
-            parts = [pack(p) for p in np.split(counters, COUNTER_PARTS)]
-            task = [TaskContext.get().partitionId()] * COUNTER_PARTS
-            own = [pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(task, pa.int32()), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(COUNTER_PARTS, t) for t in kinds[:4]), *own], names=names)
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, part int, task int, counts binary")
-
-
-def counted(rows: DataFrame) -> np.ndarray:
-    """The counters of all tasks, added up in two steps; a task holds one part of the table at a time."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                totals[part] = totals.get(part, 0) + unpack(blob, np.int64)[0]
-        if totals:
-            blobs = [pa.array(list(totals), pa.int32()), pa.array(map(pack, totals.values()), pa.binary())]
-            yield pa.RecordBatch.from_arrays(blobs, names=["part", "counts"])
-
-    tables = rows.filter("part is not null").select("part", F.pmod("task", F.lit(SALTS)).alias("salt"), "counts")
-    tables = tables.repartition("part", "salt").mapInArrow(add, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
-    out = np.zeros((COUNTER_PARTS, COUNTERS // COUNTER_PARTS), dtype=np.int64)
-    for r in tables.collect():
-        out[r.part] = unpack(r.counts, np.int64)[0]
-    return np.minimum(out.reshape(-1), (1 << 31) - 1).astype(np.int32)
-
-
-def indexed(docs: DataFrame, k: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """`doc_id, n, sigs`: each document's number of shingles, and the first of them."""
+SURVEY = "kind int, doc_id long, n_shingles long, k1 long, k2 long, bucket long, chunk long, blob binary"
+DIGEST, OFFER, LOCAL = 0, 1, 2
+
+
+def survey(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """Rows of three kinds, in one pass over the texts.
+
+    DIGEST: `doc_id, n_shingles, k1, k2` of each document: its set's size and 128-bit digest (without shingles, of its doc_id).
+    OFFER: of a chunk, the keys in a bucket (their lower halves, in order), how many documents hold each, and the place of the first.
+    LOCAL: of a chunk, its documents and their sizes, and which documents hold the key at each place. The key of a shingle is
+    its bucket and half of its hash: shingles that share a key only make more candidates."""
+    names = [c.split()[0] for c in SURVEY.split(", ")]
+    kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
+
+    def rows(n: int, kind: int, **columns) -> pa.RecordBatch:
+        given = columns | {"kind": [kind] * n}
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
+
+    def chunk(number: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        numbers = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(np.uint64)
+        sizes, owners, keys = [], [], []
+        for a, b, w, text, hashes in per_text(texts, k):
+            size = np.bincount(text, minlength=b - a)
+            text2, hashes2 = shingles(w, b - a, k, 1)
+            one = np.where(size == 0, mix(numbers[a:b] ^ K1), sums(mix(hashes ^ K1), text, b - a))
+            two = np.where(size == 0, mix(numbers[a:b] ^ K2), sums(mix(hashes2 ^ K2), text2, b - a))
+            yield rows(b - a, DIGEST, doc_id=ids[a:b], n_shingles=size, k1=one.view(np.int64), k2=two.view(np.int64))
+            sizes.append(size)
+            owners.append((text + a).astype(np.int32))
+            keys.append(((hashes >> np.uint64(32)) * np.uint64(buckets)) & ~LOW | (hashes & LOW))
+        owner, key = np.concatenate(owners), np.concatenate(keys)
+        if not len(key):
+            return
+        order = np.argsort(key, kind="stable")
+        owner, key = owner[order], key[order]
+        begin, end = runs(key[1:] == key[:-1])
+        key, held = key[begin], (end - begin).astype(np.int32)
+        del order
+        yield rows(1, LOCAL, chunk=[number], blob=[pack(np.array([-1 if i is None else i for i in ids]), np.array([i is None for i in ids]), np.concatenate(sizes), held, owner)])
+        bucket = (key >> np.uint64(32)).astype(np.int64)
+        first, last = runs(bucket[1:] == bucket[:-1])
+        low = (key & LOW).astype(np.uint32)
+        blobs = [pack(np.array([a], dtype=np.int64), np.diff(low[a:b], prepend=np.uint32(0)), held[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        yield rows(len(blobs), OFFER, bucket=bucket[first], chunk=[number] * len(blobs), blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            for a, b, _, text, hashes in per_text(column_bytes(batch, "text"), k):
-                owner, sig = first_shingles(text, hashes, b - a, percent, counters)
-                offsets = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
-                sigs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.bincount(text, minlength=b - a)), sigs], names=["doc_id", "n", "sigs"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, sigs array<long>")
+            for i, t in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t) + 1
+                if size >= CHUNK_BYTES:
+                    yield from chunk(number, ids, texts)
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield from chunk(number, ids, texts)
+
+    return docs.mapInArrow(run, SURVEY)
+
+
+def shared_keys(table: pa.Table) -> pa.Table:
+    """Of a bucket's offers: for each chunk, the places of keys that more than one document holds, the keys, their counts."""
+    bucket = table["bucket"][0].as_py()
+    offers = [unpack(b, np.int64, np.uint32, np.int32) for b in table["blob"].to_pylist()]
+    low = [np.cumsum(o[1], dtype=np.uint32) for o in offers]
+    known, index = np.unique(np.concatenate(low), return_inverse=True)
+    often = np.bincount(index, weights=np.concatenate([o[2] for o in offers])).astype(np.int64)
+    chunks, blobs, at = [], [], 0
+    for chunk, (start, _, _), own in zip(table["chunk"].to_pylist(), offers, low, strict=True):
+        count = often[index[at : at + len(own)]]
+        at += len(own)
+        pick = np.flatnonzero(count > 1)
+        if len(pick):
+            chunks.append(chunk)
+            blobs.append(pack((pick + start[0]).astype(np.int32), own[pick], np.minimum(count[pick], (1 << 31) - 1).astype(np.int32)))
+    return pa.table({"bucket": pa.array([bucket] * len(chunks), pa.int64()), "chunk": pa.array(chunks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+def first_of_chunk(local: pa.Table, answers: pa.Table, percent: int) -> pa.Table:
+    """`doc_id, n, sigs` of the documents of a chunk that have first shingles which others hold too."""
+    ids, null, sizes, held, owner = unpack(local["blob"][0].as_py(), np.int64, np.bool_, np.int64, np.int32, np.int32) if len(local) else (np.zeros(0, np.int64),) * 5
+    told = [(b, *unpack(blob, np.int32, np.uint32, np.int32)) for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True)]
+    out_ids, out_sizes, offsets, sigs = ids[:0], sizes[:0], np.zeros(1, np.int32), np.zeros(0, np.uint64)
+    if told:
+        place, often = (np.concatenate([t[i] for t in told]) for i in (1, 3))
+        keys = np.concatenate([(np.uint64(b) << np.uint64(32)) | low.astype(np.uint64) for b, _, low, _ in told])
+        n = held[place].astype(np.int64)
+        start = (np.cumsum(held, dtype=np.int64) - held)[place]
+        text, sigs = first_shingles(owner[np.repeat(start, n) + ranges(n)], np.repeat(often, n), np.repeat(keys, n), sizes, percent)
+        keep = ~null[text]
+        text, sigs = text[keep], sigs[keep]
+        some = np.unique(text)
+        out_ids, out_sizes = ids[some], sizes[some]
+        offsets = np.append(np.searchsorted(text, some), len(text)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sigs.view(np.int64)))
+    return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "n": pa.array(out_sizes, pa.int64()), "sigs": lists})
 
 
 def group_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -352,13 +394,15 @@ def left_over(members: DataFrame, links: DataFrame, percent: int, block_shingles
 def join_similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: `doc_id, n_shingles, component_id` (the smallest doc_id reachable by links)."""
     rows = id_text(docs, id_col, text_col)
-    read = durable(digests(rows, k), "digests")
-    sized = read.filter("part is null").select("doc_id", "n_shingles", "k1", "k2")
-    counters = counted(read)
+    read = durable(survey(rows, k, parts(rows, "text", BUCKET_BYTES)), "survey")
+    sized = read.filter(f"kind = {DIGEST}").select("doc_id", "n_shingles", "k1", "k2")
     classes = durable(sized.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     known = rows.filter("doc_id is not null")
-    sigs = durable(indexed(known, k, percent, counters).join(reps, "doc_id", "left_semi"), "sigs")
+    answers = read.filter(f"kind = {OFFER}").select("bucket", "chunk", "blob").groupBy("bucket").applyInArrow(lambda table: shared_keys(table), "bucket long, chunk long, blob binary")
+    local = read.filter(f"kind = {LOCAL}").select("chunk", "blob")
+    first = local.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda left, right: first_of_chunk(left, right, percent), "doc_id long, n long, sigs array<long>")
+    sigs = durable(first.join(reps, "doc_id", "left_semi"), "sigs")
     pairs = durable(candidates(sigs, percent), "pairs")
     blocks = pairs.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.lit(1)).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "pivot").select("pivot", "doc_id", "n", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long").alias("block"))

@@ -180,7 +180,7 @@ def verified(w: Words, window: np.ndarray, kmer: np.ndarray, rep: np.ndarray, ma
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", return_text: bool = False) -> DataFrame:
     """One row per document: words, words removed and the digest of the kept ones; `kept`, their text, on request."""
-    n = parts(docs)
+    n = parts(docs, text_col)
     inputs = chunked(docs, n, id_col, text_col)
 
     def sent(key, table):

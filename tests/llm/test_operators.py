@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.corpus import LONG, edge_rows, edge_table, empty_table, random_texts, table
-from tersely.llm import chunks, decontaminate, mixing, quality_classifier, quality_rules, secrets
+from tersely.llm import chunks, decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secrets
 from tersely.llm.chat_format import format_chats
 from tersely.llm.components import components
 from tersely.llm.jaccard_join import first_shingles, join_similar, linked
@@ -185,7 +185,9 @@ def passages(n, seed):
 
 
 @pytest.mark.parametrize(("k", "percent", "block"), [(5, 80, 250_000), (5, 80, 400), (3, 50, 300), (3, 90, 700)])
-def test_jaccard_join_with_passages_that_half_of_all_documents_share(spark, k, percent, block):
+def test_jaccard_join_with_passages_that_half_of_all_documents_share(spark, monkeypatch, k, percent, block):
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BYTES", 5000)
     texts = passages(120, k + percent)
     sets = sets_of(list(enumerate(texts)), k)
     expected = brute_components(sets, percent)
@@ -203,19 +205,19 @@ def test_jaccard_join_tells_words_apart_that_polynomials_confuse(spark):
 
 def test_first_shingles_share_one_for_every_linked_pair():
     r = np.random.default_rng(8)
-    counters = r.integers(0, 9, 64).astype(np.int32)
     for percent in (50, 80, 90, 100):
         for _ in range(200):
             n, d = int(r.integers(1, 60)), float(r.random() * 0.4)
             one = r.integers(0, 1 << 60, n).astype(np.uint64)
             two = np.concatenate((one[r.random(n) > d], r.integers(0, 1 << 60, int(r.integers(0, 5))).astype(np.uint64)))
             one, two = np.unique(one), np.unique(two)
-            if not len(two):
+            common = np.intersect1d(one, two)
+            if not len(common):
                 continue
-            common = len(np.intersect1d(one, two))
-            text = np.repeat([0, 1], [len(one), len(two)])
-            owner, sig = first_shingles(text, np.concatenate((one, two)), 2, percent, counters)
-            if 100 * common >= percent * (len(one) + len(two) - common):
+            sizes = np.array([len(one), len(two)])
+            often = (common % np.uint64(5)).astype(np.int64) + 2
+            owner, sig = first_shingles(np.repeat([0, 1], len(common)), np.tile(often, 2), np.tile(common, 2), sizes, percent)
+            if 100 * len(common) >= percent * (len(one) + len(two) - len(common)):
                 assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
