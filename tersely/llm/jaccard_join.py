@@ -43,7 +43,7 @@ from tersely.llm.rolling import Prefix, mix, pack, ranges, runs, unpack
 from tersely.llm.substring_dedup import Words, slices
 
 #: Shingles that a block of a pivot's documents holds, more or less.
-BLOCK_SHINGLES = 250_000
+BLOCK_SHINGLES = 60_000
 LEAF_SETS, LEAF_SHINGLES, FANOUT = 64, 20_000, 8
 #: Bytes of text whose shingles are sorted and packed at once, and those that a bucket stands for.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
@@ -279,7 +279,7 @@ def shared_keys(table: pa.Table) -> pa.Table:
         pick = np.flatnonzero(count > 1)
         if len(pick):
             chunks.append(chunk)
-            blobs.append(pack((pick + start[0]).astype(np.int32), own[pick], np.minimum(count[pick], (1 << 31) - 1).astype(np.int32)))
+            blobs.append(pack(np.diff(pick + start[0], prepend=0).astype(np.int32), np.diff(own[pick], prepend=np.uint32(0)), np.minimum(count[pick], (1 << 31) - 1).astype(np.int32)))
     return pa.table({"bucket": pa.array([bucket] * len(chunks), pa.int64()), "chunk": pa.array(chunks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -289,8 +289,9 @@ def first_of_chunk(local: pa.Table, answers: pa.Table, percent: int) -> pa.Table
     told = [(b, *unpack(blob, np.int32, np.uint32, np.int32)) for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True)]
     out_ids, out_sizes, offsets, sigs = ids[:0], sizes[:0], np.zeros(1, np.int32), np.zeros(0, np.uint64)
     if told:
-        place, often = (np.concatenate([t[i] for t in told]) for i in (1, 3))
-        keys = np.concatenate([(np.uint64(b) << np.uint64(32)) | low.astype(np.uint64) for b, _, low, _ in told])
+        place = np.concatenate([np.cumsum(t[1], dtype=np.int64) for t in told])
+        keys = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.cumsum(low, dtype=np.uint32).astype(np.uint64) for b, _, low, _ in told])
+        often = np.concatenate([t[3] for t in told])
         n = held[place].astype(np.int64)
         start = (np.cumsum(held, dtype=np.int64) - held)[place]
         text, sigs = first_shingles(owner[np.repeat(start, n) + ranges(n)], np.repeat(often, n), np.repeat(keys, n), sizes, percent)

@@ -114,8 +114,10 @@ def runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(*parts: np.ndarray | bytes) -> bytes:
-    """Arrays and byte strings as one compressed string; `unpack` with the arrays' types gives them back."""
-    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
+    """Arrays and byte strings as one compressed string; `unpack` with the arrays' types gives them back.
+
+    Of an array the first bytes of all numbers come first, then the second ones: small numbers leave runs of zeros."""
+    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p).view(np.uint8).reshape(-1, p.dtype.itemsize).T.tobytes() for p in parts]
     head = np.array([len(r) for r in raw], dtype=np.int64).tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(raw))
 
@@ -126,6 +128,11 @@ def unpack(blob: bytes, *kinds: type | None) -> list:
     sizes = np.frombuffer(raw, dtype=np.int64, count=len(kinds))
     out, at = [], 8 * len(kinds)
     for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(raw[at : at + size] if kind is None else np.frombuffer(raw, dtype=kind, count=size // np.dtype(kind).itemsize, offset=at))
+        part = raw[at : at + size]
+        if kind is None:
+            out.append(part)
+        else:
+            wide = np.dtype(kind).itemsize
+            out.append(np.ascontiguousarray(np.frombuffer(part, dtype=np.uint8).reshape(wide, -1).T).view(kind).reshape(-1))
         at += size
     return out
