@@ -7,7 +7,8 @@ matching word scores 1, a substituted one -SUBSTITUTION, and the best segment mu
 
 Items of fewer than MIN_SCORE words are too short to tell and never match; null texts count as empty; null ids are
 carried; repeated rows give the same result once; empty tables give an empty one; other columns are left alone.
-Built-in functions only. The benchmark's seeds are broadcast up to BROADCAST_SEEDS, beyond that joined by shuffle.
+Built-in functions only. The benchmark is broadcast up to BROADCAST_SEEDS and BROADCAST_BYTES of words, beyond that joined by
+shuffle. Seeds travel without words; hits bring the words of their documents back.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import keyed, quoted
+from tersely.llm.common import durable, keyed, quoted
 
 #: Places of each mask that count, from 0.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 4, 6, 8, 9))
 SUBSTITUTION = 2
 MIN_SCORE = 12
-BROADCAST_SEEDS = 500_000
+BROADCAST_SEEDS, BROADCAST_BYTES = 500_000, 16 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -37,11 +38,10 @@ def seeds_of(hashes: Column, mask: int) -> Column:
 
 
 def seeded(table: DataFrame, text: str, *keep: str) -> DataFrame:
-    """`keep, words, n0, p, seed`: each window's seed; p counts through the masks, the first of which has n0 windows."""
-    worded = table.select(*keep, words_of(F.col(text)).alias("words"))
-    hashed = worded.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    both = hashed.select(*keep, "words", *(seeds_of(F.col("h"), m).alias(f"s{m}") for m in range(len(MASKS))))
-    return both.select(*keep, "words", F.size("s0").alias("n0"), F.posexplode(F.concat(*(F.col(f"s{m}") for m in range(len(MASKS))))).alias("p", "seed"))
+    """`keep, mask, p, seed`: each window's seed and place; words stay behind."""
+    hashed = table.select(*keep, F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
+    both = hashed.select(*keep, F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), seeds_of(F.col("h"), m).alias("seeds")) for m in range(len(MASKS))))).alias("of"))
+    return both.select(*keep, F.col("of.mask").alias("mask"), F.posexplode("of.seeds").alias("p", "seed"))
 
 
 def score(pairs: Column) -> Column:
@@ -61,27 +61,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """`doc_id, rk, item_id, score, n_matched`: the best overlap of each document with each item it contains."""
     items = benchmark.select(quoted(item_col).cast("long").alias("item_id"), F.coalesce(quoted(item_text_col).cast("string"), F.lit("")).alias("item_text"))
     items = items.withColumn("item_key", F.xxhash64("item_id", "item_text")).distinct()
-    item_seeds = seeded(items, "item_text", "item_id", "item_key").filter(F.size("words") >= MIN_SCORE)
-    item_seeds = item_seeds.select(
-        "item_id", "item_key", F.size("words").alias("length"), "seed", F.when(F.col("p") < F.col("n0"), 0).otherwise(1).alias("mask"), F.when(F.col("p") < F.col("n0"), F.col("p")).otherwise(F.col("p") - F.col("n0")).alias("at")
-    )
-    few = item_seeds.count() <= BROADCAST_SEEDS
-    side = F.broadcast if few else lambda table: table
-    hits = seeded(keyed(docs, id_col, text_col), "text", "doc_id", "rk").join(side(item_seeds), "seed")
-    shift = F.col("p") - F.when(F.col("mask") == 0, 0).otherwise(F.col("n0")) - F.col("at")
-    aligned = hits.select("doc_id", "rk", "item_id", "item_key", "length", shift.alias("shift"), "words")
+    items = items.withColumn("item_words", words_of(F.col("item_text"))).filter(F.size("item_words") >= MIN_SCORE).drop("item_text")
+    known = seeded(items.select("item_key", F.size("item_words").alias("length"), F.array_join("item_words", " ").alias("t")), "t", "item_key", "length")
+    known = known.select("item_key", "length", "mask", F.col("p").alias("at"), "seed")
+    n_seeds, n_bytes = known.agg(F.count("*")).first()[0], items.agg(F.sum(F.octet_length(F.array_join("item_words", " ")).cast("long"))).first()[0] or 0
+    few = (lambda table: F.broadcast(table)) if n_seeds <= BROADCAST_SEEDS and n_bytes <= BROADCAST_BYTES else (lambda table: table)
+    rows = keyed(docs, id_col, text_col)
+    hits = seeded(rows, "text", "doc_id", "rk").join(few(known), ["mask", "seed"])
+    once = hits.select("doc_id", "rk", "item_key", "length", (F.col("p") - F.col("at")).alias("shift")).distinct()
+    # The words come back for the rows with hits only. Rows that are equal in id and text are taken once.
+    found = durable(once.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("item_key", "length", "shift")).alias("hits")), "hits")
+    own = found.select(F.col("doc_id").alias("id"), F.col("rk").alias("key"), "hits")
+    texts = rows.join(own, (F.col("rk") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("doc_id", "rk").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
+    worded = texts.select("doc_id", "rk", words_of(F.col("text")).alias("words"), "hits")
     # The document's words beside the item's; where the item runs out of the document, only those that are there.
-    part = F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("length") + F.least(F.col("shift"), F.lit(0)))
-    once = aligned.select("doc_id", "rk", "item_id", "item_key", "shift", part.alias("part")).groupBy("doc_id", "rk", "item_id", "item_key", "shift").agg(F.first("part").alias("part"))
-    texts = items.select("item_key", words_of(F.col("item_text")).alias("item_words"))
-    beside = F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("part"))
-    compared = once.join(side(texts), "item_key").select("doc_id", "rk", "item_id", score(F.zip_with("part", beside, lambda a, b: a == b)).alias("found"))
+    beside = lambda h: F.slice(F.col("words"), F.greatest(h["shift"], F.lit(0)) + 1, h["length"] + F.least(h["shift"], F.lit(0)))
+    parts = worded.select("doc_id", "rk", F.explode(F.transform("hits", lambda h: F.struct(h["item_key"].alias("item_key"), h["shift"].alias("shift"), beside(h).alias("part")))).alias("hit"))
+    compared = parts.select("doc_id", "rk", "hit.item_key", "hit.shift", "hit.part").join(few(items), "item_key")
+    own = F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("part"))
+    compared = compared.select("doc_id", "rk", "item_id", score(F.zip_with("part", own, lambda a, b: a == b)).alias("found"))
     return compared.filter(F.col("found.best") >= MIN_SCORE).groupBy("doc_id", "rk", "item_id").agg(F.max("found.best").cast("long").alias("score"), F.max("found.matched").cast("long").alias("n_matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The table without the documents that contain an item."""
-    found = contaminated(docs, benchmark, id_col, text_col, **columns).select(F.col("doc_id").alias("found_id"), F.col("rk").alias("found_rk")).distinct()
+    found = contaminated(docs, benchmark, id_col, text_col, **columns).select("doc_id", "rk").distinct()
     own = quoted(id_col).cast("long")
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    return docs.join(found, own.eqNullSafe(F.col("found_id")) & (F.xxhash64(own, text) == F.col("found_rk")), "left_anti")
+    rows = docs.select(own.alias("own_id"), F.xxhash64(own, text).alias("own_rk"), F.struct("*").alias("row"))
+    return rows.join(found, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_rk") == F.col("rk")), "left_anti").select("row.*")

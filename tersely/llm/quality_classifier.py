@@ -9,7 +9,8 @@ words' prefixes (so a stem counts whatever its endings), prefixes that are found
 on at most SAMPLE labelled documents (those of least hash), and scores every document.
 
 Null and empty texts have no words and are scored by their figures alone. Labels that repeat count by their worst; labels
-with a null doc_id or null marks are left out; without labels the least hashes among all documents are the sample. A null
+with a null doc_id or null marks are left out; without labels of documents at hand the least hashes among all documents are the
+sample. Where no document has an id there is nothing to learn from: scores are null and all documents are kept. A null
 doc_id is carried along, repeated rows get equal results, an empty table gives an empty one; other columns are left alone.
 """
 
@@ -18,7 +19,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import id_text
+from tersely.llm.common import id_text, keyed
 
 #: Labelled documents that fit the scorer and the terms, at most.
 SAMPLE = 6000
@@ -77,17 +77,21 @@ class Reader:
 
     def read(self, text: str) -> tuple[list[float], set[int]]:
         lower = text.lower()
-        words = lower.split()
-        distinct = set(words)
-        n = len(words)
+        words = Counter(lower.split())
+        n = words.total()
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         changed = np.frombuffer(lower.encode("utf-32-le"), dtype=np.uint32)
         capitals = int((points != changed).sum()) if len(points) == len(changed) else sum(map(str.isupper, text))
-        ink = max(1, sum(map(len, words)))
+        ink = max(1, sum(len(w) * c for w, c in words.items()))
         symbols = int(SYMBOL[points[points < 128]].sum())
-        variety = min(1.0, len(distinct) / (4 * math.sqrt(n))) if n >= 20 else 1.0
+        variety = min(1.0, len(words) / (4 * math.sqrt(n))) if n >= 20 else 1.0
         figures = [capitals / ink, symbols / max(1, n), variety, text.count("!") / max(1, n), ink / max(1, n)]
-        count = Counter(chain.from_iterable(map(self.word, words)))
+        count: dict[int, int] = {}
+        memo = self.memo
+        for word, c in words.items():
+            features = memo.get(word)
+            for f in self.word(word) if features is None else features:
+                count[f] = count.get(f, 0) + c
         return figures, count.keys() | {f ^ TWICE for f, c in count.items() if c > 1}
 
 
@@ -201,7 +205,7 @@ def given_labels(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Classifier | None:
     """A classifier, or None where there are no documents."""
-    texts = id_text(docs, id_col, text_col)
+    texts = keyed(docs, id_col, text_col)
     known = given_labels(labels)
 
     def least(ids: DataFrame) -> DataFrame:
@@ -215,12 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g for g, _ in read], pa.list_(pa.float64())), pa.array(words, pa.binary())], names=["doc_id", "figures", "words"])
 
     def sampled(ids: DataFrame) -> list:
-        # The sample's size is a parameter, so broadcasting its ids is bounded, and so is what comes to the driver.
-        rows = texts.join(F.broadcast(ids.withColumnRenamed("id", "sample_id")), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text")
+        # The sample's size is a parameter, so broadcasting its ids is bounded, and so are the rows: of rows that share an id, those of least hash.
+        picked = texts.select("doc_id", "rk").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("id"), F.col("rk").alias("key")).distinct()
+        picked = F.broadcast(picked.orderBy(F.xxhash64("id"), "id", "key").limit(sample))
+        rows = texts.join(picked, (F.col("doc_id") == F.col("id")) & (F.col("rk") == F.col("key"))).select("doc_id", "rk", "text").groupBy("doc_id", "rk").agg(F.first("text").alias("text")).select("doc_id", "text")
         rows = rows.mapInArrow(features, "doc_id long, figures array<double>, words binary")
         return rows.join(F.broadcast(known.join(F.broadcast(ids), F.col("label_id") == F.col("id"), "left_semi")), F.col("doc_id") == F.col("label_id"), "left").collect()
 
-    rows = sampled(least(known.select(F.col("label_id").alias("id")))) or sampled(least(texts.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()))
+    rows = sampled(least(known.select(F.col("label_id").alias("id")).join(texts.select(F.col("doc_id").alias("id")), "id", "left_semi"))) or sampled(least(texts.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()))
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.words))
@@ -239,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 code.append(pattern([*vote(figures), 0 if found & terms else 1]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(code, pa.int32())], names=["doc_id", "votes"])
 
-    voted = texts.mapInArrow(patterns, "doc_id long, votes int").join(known, F.col("doc_id") == F.col("label_id"), "left")
+    voted = texts.select("doc_id", "text").mapInArrow(patterns, "doc_id long, votes int").join(known, F.col("doc_id") == F.col("label_id"), "left")
     counted = [(list(unpattern(r.votes)), r.quality, r.toxic, r.n) for r in voted.groupBy("votes", "quality", "toxic").agg(F.count("*").alias("n")).collect()]
     counts = np.array([c[3] for c in counted], dtype=float)
     quality = expectation_maximisation(np.array([[*v[:-1], -1 if q is None else int(q > 0)] for v, q, _, _ in counted]), counts)
@@ -278,8 +284,8 @@ def scored(model: Classifier | None, threshold: float):
     def step(batches):
         reader = Reader(frozenset(model.weights)) if model else None
         for batch in batches:
-            scores = [round(model.score(*reader.read(t)), 6) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())], names=["doc_id", "score", "kept"])
+            scores = [round(model.score(*reader.read(t)), 6) if model else None for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s is None or s >= threshold for s in scores], pa.bool_())], names=["doc_id", "score", "kept"])
 
     return step
 
