@@ -1,8 +1,8 @@
 """Quality rules: base rules of a document, and line frequency across documents.
 
-Lines are normalised (lower case, digits as 0, single spaces) and hashed. For each host and line, the documents of
-different content that hold the line are counted, so exact copies of a document count once. Lines above the limit are
-removed, and documents of which too few words are left are rejected.
+Lines are normalised (lower case, digits as 0, single spaces) and hashed. For each host and line, the documents that hold
+the line are counted (partly before the shuffle). Lines above the limit are removed, and documents of which too few words
+are left are rejected.
 
 Words are runs of bytes other than ASCII white space. Null and empty texts have none (and fail the base rules); a null
 host is a host of its own; a null doc_id is carried along; repeated rows give repeated results; an empty table gives an
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tersely.llm.common import column_bytes, durable, per_batch, quoted
 from tersely.llm.rolling import K_TRIPLE, mix
 
-#: Documents of a host, of different content, that may hold a line.
+#: Documents of a host that may hold a line.
 MAX_DOCUMENTS = 100
 #: Percent of a document's words that must be left.
 MIN_LEFT = 30
@@ -93,8 +93,8 @@ def apply_rules(
     inputs = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(host_col).cast("string").alias("host"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     base = durable(inputs.mapInArrow(per_batch(lambda: step), SCHEMA + (", text string" if cleaned else "")), "lines")
     lines = base.select("doc_id", "host", "content", F.explode("lines").alias("line")).select("doc_id", "host", "content", "line.h", "line.words")
-    each = lines.select("host", "h", "content").distinct()
-    frequent = durable(each.groupBy("host", "h").agg(F.count("*").alias("documents")).filter(F.col("documents") > max_documents).select(F.col("host").alias("at"), F.col("h").alias("line")), "frequent")
+    # A document's lines are distinct, so rows are documents.
+    frequent = durable(lines.groupBy("host", "h").agg(F.count("*").alias("documents")).filter(F.col("documents") > max_documents).select(F.col("host").alias("at"), F.col("h").alias("line")), "frequent")
     hit = lines.join(frequent, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("at")))
     removed = hit.groupBy(F.col("doc_id").alias("id"), F.col("content").alias("ch")).agg(F.collect_set(F.struct("h", "words")).alias("gone"))
     out = base.join(removed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("ch")), "left")

@@ -352,6 +352,8 @@ def test_chat_format(spark):
     base = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
     rows = [(c, i, r, t) for c, n in ((1, 1), (2, 2), (3, 4), (4, 4), (5, 3)) for i, (r, t) in enumerate(base[:n])]
     rows += [(6, 0, "user", "a"), (6, 1, "assistant", "x"), (7, 0, None, None), (7, 0, None, None), (None, 0, "user", "a"), (8, None, "user", "z"), (8, 1, "user", ""), (9, 5, "user", "a"), (9, 9, "assistant", "x"), (9, 11, "user", "y")]
+    rows += [(10, 1, r, t) for r, t in (("tool", "m"), ("user", "z"), ("user", "a"), ("assistant", "q"))] + [(11, 1, "assistant", "q"), (11, 1, "tool", "m")]
+    rows += [(12, None, "user", t) for t in ("b" * 5000, "a")] + [(13, 0, "user", "a"), (13, 0, "user", "a")]
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, n long, h1 string")
     assert {tuple(r) for r in format_chats(frame).select("conv_id", "n_turns", "n_copies", "chat").collect()} == brute_chats(rows)
     assert format_chats(frame.limit(0)).count() == 0
@@ -376,10 +378,11 @@ def test_quality_rules_figures_and_lines(spark):
     assert cleaned[0] == filler(0) and cleaned[100] == rows[-2][1]
 
 
-def test_exact_copies_count_once(spark):
+def test_exact_copies_are_documents(spark):
     text = "one line of words\n" + " ".join(f"w{k}" for k in range(60))
     frame = spark.createDataFrame([(i, text, "h") for i in range(50)], "doc_id long, text string, source string")
-    assert quality_rules.apply_rules(frame, max_documents=5).filter("kept").count() == 50
+    assert quality_rules.apply_rules(frame, max_documents=49).filter("not kept").count() == 50
+    assert quality_rules.apply_rules(frame, max_documents=50).filter("kept").count() == 50
 
 
 def test_quality_rules_edges(spark):

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from tests.llm.corpus import random_texts
+from tests.llm.corpus import edge_rows, random_texts
 from tests.llm.test_operators import brute_components, brute_contaminated, labelled, sets_of
 
 
@@ -55,3 +55,22 @@ def test_mixing_emits_only_the_rows_it_took(spark, tmp_path):
     taken = pipeline.mix_sources(frame).groupBy("source", "epoch").count().collect()
     assert {(r.source, r.epoch): r["count"] for r in taken} == dict(Counter((r.source, r.epoch) for r in out))
     assert max(Counter((r.source, r.text, r.n, r.epoch) for r in out).values()) == 1
+
+
+def test_stages_keep_columns_of_any_name_and_take_edge_rows(spark, tmp_path):
+    names = "other_id long, taken_id long, epoch string, key string, position int, block int, found_id long, found_rk long, row string, row_key long, nth int, rk long, own_id long, number long"
+    fill = tuple(x if kind == "string" else 7 for _, kind in (c.split() for c in names.split(", ")) for x in ["x"])
+    rows = [(i, t, "en", s, len(t or "")) + fill for i, t, _, s in edge_rows()]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    spark.createDataFrame([(5, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for data, folder in ((frame, "some"), (frame.limit(0), "none"), (frame.filter("doc_id is null"), "nulls")):
+        held = data
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            stage(spark, held, str(tmp_path)).write.parquet(f"{tmp_path}/{folder}/{k}")
+            held = spark.read.parquet(f"{tmp_path}/{folder}/{k}")
+            if k < 4:
+                assert held.columns == frame.columns
+        assert {*held.columns} == {*frame.columns} and (folder != "none" or held.count() == 0)
+    kept = Counter((r.doc_id, r.text) for r in pipeline.similar(spark, frame, str(tmp_path)).collect() if r.doc_id is not None)
+    assert max(kept.values()) == 1 and (6, rows[7][1]) not in kept and (5, rows[6][1]) in kept
