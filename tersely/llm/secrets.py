@@ -1,9 +1,12 @@
 """Secret scans by assignment-aware lexing.
 
 Three base patterns (assign, access, hex) give spans. Beyond them, source and configuration syntax is lexed into
-name-literal pairs; constants are propagated (`k = "..."; password = k`, and sums of literals), and each literal is scored by how
-sensitive its target names are and by how much it looks like key material. Literals scoring at least `MIN_SCORE` add a
-span of kind `lexed`, unless a base span covers them.
+name-literal pairs: assignments and typed declarations, keyword arguments, entries of maps, elements and key-value
+attributes, unquoted values and block scalars of configuration files. Of a value, the string literals count (plain,
+tripled, formatted, joined by operators, arguments of calls but for what names a variable or an entry to look up), and the
+names in it are looked up, wherever in the text they are set, until nothing changes. Each literal is scored by
+how sensitive its target names are and by how much it looks like key material. Literals scoring at least `MIN_SCORE` add a
+span of kind `lexed`, unless a base span covers them. Comments are lexed as code.
 
 Null text counts as empty, a null doc_id is carried along, repeated rows give repeated results, an empty table gives an
 empty one, other columns are left alone. Texts are scanned whole, in one pass without a shuffle.
@@ -38,13 +41,28 @@ SENSITIVE = {
 PLACEHOLDERS = {"none", "null", "true", "false", "changeme", "example", "placeholder", "undefined", "redacted", "required", "optional", "string", "yourpassword"}
 MIN_SCORE = 0.45
 
-LITERAL = r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"""
+LITERAL = r'''[rbuf]{0,2}(?:"""(?:[^"\\]|\\.|"(?!""))*+"""|\'\'\'(?:[^'\\]|\\.|'(?!''))*+\'\'\'|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)'''
+STRING = re.compile(LITERAL, re.A | re.S | re.I)
+#: A target, its type where one is declared, and what sets it.
 PAIR = re.compile(
-    rf"""(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]*+)["'`]?\]?[\x20\t]*+(?P<op>:=|=>|=(?!=)|:)[\x20\t]*+(?P<value>{LITERAL}|[^\s"'`,;(){{}}\[\]<>]++)""",
+    r"""(?<![\w.\-])(?:(?P<quote>["'`])(?P<key>[\w.\-]+)(?P=quote)\]?|(?P<name>[A-Za-z_][\w.\-]*+))(?:\x20*:\x20*[A-Za-z_][\w.<>\[\]|?]*+(?=\x20*=[^=>]))?[\x20\t]*+(?P<op>:=|=>|=(?![=>])|:(?!:))[\x20\t]*+""",
     re.A,
 )
-MORE = re.compile(rf"[\x20\t]*+(?:\+|\.\.)[\x20\t]*+(?P<value>{LITERAL}|[A-Za-z_][\w.]*+)", re.A)
-NAME = re.compile(r"[A-Za-z_][\w.]*", re.A)
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*+)[^<>]*+>(?P<value>[^<>\n]++)</(?P=name)>", re.A)
+ATTRIBUTES = re.compile(r"""\b(?:key|name)=(["'])(?P<name>[\w.\-]+)\1\s++value=(["'])(?P<value>[^"'\n]+)\3""", re.A | re.I)
+NAME = re.compile(r"[A-Za-z_][\w.]*+", re.A)
+JOINS = re.compile(r"\s*+(?:\+|\.\.|\|\||\?\?|\bor\b)\s*+")
+OPENED = re.compile(r"(?:await|new)\x20+")
+#: An unquoted value ends its line, but for a comment, and its target begins it.
+BARE = re.compile(r"(?P<value>[^\s\"'`,;(){}\[\]<>|&]++)[\x20\t]*+(?=\n|\r|\Z|#|//)")
+BEGINS = re.compile(r"(?:^|\n)[\x20\t]*+(?:-\x20++|export\x20++|set\x20++|(?:#|//)\x20*+)?[\"']?\Z")
+BLOCK = re.compile(r"[|>][+\-]?[\x20\t]*\n(?P<lines>(?P<indent>[\x20\t]++)[^\n]*+(?:\n(?P=indent)[^\n]*+)*+)")
+FIELDS = re.compile(r"\{([A-Za-z_][\w.]*)[^{}]*\}", re.A)
+#: Calls whose first argument names what is looked up. Fixed values.
+GETTERS = {"getenv", "get", "env", "environ", "lookup", "getproperty", "getstring", "config", "var", "fetch"}
+#: Words before a credential. Fixed values.
+SCHEMES = {"bearer", "basic", "token", "digest"}
+MOST_ARGUMENTS = 2000  # characters of a call that are looked at
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -57,34 +75,117 @@ def sensitivity(name: str) -> float:
 
 def strength(value: str) -> float:
     """From 0 to 1, how much a literal looks like key material: its length, its kinds of characters, its entropy."""
-    if len(value) < 6 or re.search(r"\s", value) or value.lower().strip("<>${}%_-") in PLACEHOLDERS or value[:2] in ("${", "{{", "<%") or len(set(value)) < 4:
+    if len(parts := value.split()) > 1:  # of a phrase, the part that looks most like a key
+        return max((strength(p) for p in parts if p.lower() not in SCHEMES), default=0.0)
+    if len(value) < 6 or value != value.strip() or value.lower().strip("<>${}%_-") in PLACEHOLDERS or value[:2] in ("${", "{{", "<%") or len(set(value)) < 4:
         return 0.0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.15 * kinds + 0.1 * entropy + 0.01 * min(len(value), 40))
 
 
+def inner(m: re.Match) -> tuple[int, int]:
+    """Span of what stands in a literal's quotes."""
+    whole = m.group()
+    start = len(whole) - len(whole.lstrip("rbufRBUF"))
+    quotes = 3 if whole[start : start + 3] in ('"""', "'''") and len(whole) >= start + 6 else 1
+    return m.start() + start + quotes, m.end() - quotes
+
+
+def arguments(text: str, at: int, callee: str) -> tuple[list[tuple[int, int]], int]:
+    """Literals of the call whose bracket opens before `at`, but for what it looks up; and where the call ends."""
+    found, depth, end = [], 1, min(len(text), at + MOST_ARGUMENTS)
+    while at < end and depth:
+        if m := STRING.match(text, at):
+            found.append(inner(m))
+            at = m.end()
+            continue
+        depth += (text[at] in "([{") - (text[at] in ")]}")
+        at += 1
+    return (found[1:] if callee.rpartition(".")[2].lower() in GETTERS else found), at
+
+
+def value_at(text: str, at: int) -> tuple[list[tuple[int, int]], list[str]]:
+    """Literals and names of the value that begins here."""
+    spans, names = [], []
+    while True:
+        if m := OPENED.match(text, at):
+            at = m.end()
+        if m := STRING.match(text, at):
+            spans.append(inner(m))
+            if m.group()[:2].lower().strip("\"'`rbu").startswith("f") or m.group()[0] == "`":
+                names += FIELDS.findall(m.group())
+            at = m.end()
+        elif m := NAME.match(text, at):
+            at = m.end()
+            if text[at : at + 1] == "(":
+                own, at = arguments(text, at + 1, m.group())
+                spans += own
+            elif text[at : at + 1] == "[":  # an entry that is looked up
+                _, at = arguments(text, at + 1, m.group())
+            else:
+                names.append(m.group())
+        else:
+            return spans, names
+        if not (m := JOINS.match(text, at)):
+            return spans, names
+        at = m.end()
+
+
+def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[str], bool]]:
+    """(target, literals' spans, names, whether the value may be one of its own) of everything that is set."""
+    out = []
+    for m in PAIR.finditer(text):
+        name, at = m["key"] or m["name"], m.end()
+        spans, names = value_at(text, at)
+        if not spans and m["op"] in (":", "=") and BEGINS.search(text, max(0, m.start() - 200), m.start() + (1 if m["key"] else 0)):
+            if m["op"] == ":" and (block := BLOCK.match(text, at)):
+                start = block.start("lines")
+                spans = [(start + x.start(), start + x.end()) for x in re.finditer(r"[^\s][^\n]*", block["lines"])]
+            elif bare := BARE.match(text, at):
+                out.append((name, [bare.span("value")], names, True))
+                continue
+        out.append((name, spans, names, False))
+    for pattern in (ELEMENT, ATTRIBUTES):
+        out += [(m["name"], [m.span("value")], [], False) for m in pattern.finditer(text)]
+    return out
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that a sensitive name gets, directly or by a constant."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    """Spans of the literals that a sensitive name gets, directly or by constants."""
     found: set[tuple[int, int]] = set()
-    for m in PAIR.finditer(text):
-        parts, at, word = [], m.end(), m
-        while word:
-            value, start = word["value"], word.start("value")
-            if value[0] in "\"'`":
-                parts.append((start + 1, start + len(value) - 1))
-            elif NAME.fullmatch(value) and value in constants:
-                parts += constants[value]
-            elif word is m:
-                parts.append((start, start + len(value)))
-            word = MORE.match(text, at)
-            at = word.end() if word else at
-        name = m["name"]
-        constants[name] = parts
+    every = pairs(text)
+    own: dict[str, list[tuple[list[tuple[int, int]], list[str], bool]]] = {}
+    for name, spans, names, bare in every:
+        own.setdefault(name, []).append((spans, names, bare))
+        if "." in name:
+            own.setdefault(name.rpartition(".")[2], []).append((spans, names, bare))
+
+    def resolved(names: list[str], bare: bool, spans: list[tuple[int, int]], seen: frozenset) -> list[tuple[int, int]]:
+        refs = [r for n in names if (r := n if n in own else n.rpartition(".")[2]) in own and r not in seen]
+        if not refs:
+            return spans
+        more = [] if bare else list(spans)
+        for r in refs:
+            for s, n, b in own[r]:
+                more += known_of(r, s, n, b, seen | {r})
+        return list(dict.fromkeys(more))
+
+    memo: dict[tuple, list[tuple[int, int]]] = {}
+
+    def known_of(name: str, spans: list[tuple[int, int]], names: list[str], bare: bool, seen: frozenset) -> list[tuple[int, int]]:
+        if not names or len(seen) > 20:
+            return spans
+        key = (name, tuple(spans), tuple(names))
+        if key not in memo:
+            memo[key] = spans  # a ring of names ends here
+            memo[key] = resolved(names, bare, spans, seen)
+        return memo[key]
+
+    for name, spans, names, bare in every:
         if weight := sensitivity(name):
-            joined = "".join(text[a:b] for a, b in parts)
-            if weight * strength(joined) >= MIN_SCORE:
+            parts = known_of(name, spans, names, bare, frozenset((name,)))
+            if parts and weight * strength("".join(text[a:b] for a, b in parts)) >= MIN_SCORE:
                 found.update((a, b) for a, b in parts if b > a)
     return sorted(found)
 
@@ -92,7 +193,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of every span in code points, ordered by start, then kind."""
     spans = []
-    named = "=" in text or ":" in text
+    named = "=" in text or ":" in text or "</" in text
     if named:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]

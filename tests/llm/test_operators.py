@@ -279,6 +279,25 @@ def test_lexing_propagates_and_scores():
     assert secrets.redacted('x\npassword = "Zx81kdPq99aa"\n') == 'x\n[assign]"\n'
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('db_pwd: str = "%s"', ["%s"]), ('const authKey: string = "%s";', ["%s"]), ('pwd = """%s"""', ["%s"]), ("pwd: |\n  %s\n  Yq77plMn3311\nother: x", ["%s", "Yq77plMn3311"]),
+        ("<pwd>%s</pwd>", ["%s"]), ('k = "%s"\nclass C:\n  pwd = cfg.k', ["%s"]), ('db_pwd = os.getenv("X", "%s")', ["%s"]), ('db_pwd = k\nk = "%s"', ["%s"]),
+        ('connect(db_pwd="%s")', ["%s"]), ('{"auth_key": "%s"}', ["%s"]), ("<add key='pwd' value='%s'/>", ["%s"]), ("export DB_PWD=%s\n", ["%s"]), ("db-pwd: %s  # comment\n", ["%s"]),
+        ('x = "%s"\npwd = f"{x}"', ["%s", "{x}"]), ('pwd = "Bearer %s"', ["Bearer %s"]), ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('pwd = other or "%s"', ["%s"]), ('pwd = decrypt("%s")', ["%s"]), ('a = b\nb = c\nc = "%s"\npwd = a', ["%s"]),
+        ('db_pwd = os.getenv("DB_PASSWORD_NAME")', []), ('name = "%s"', []), ('pwd = os.environ["LONGNAME_Zx81"]', []), ("the pwd: must be long and good", []), ("pwd = None", []),
+        ("pwd = cfg.k", []), ("a = b\nb = a\npwd = a", []), ("auth: true", []), ("key: value", []), ("a = b + b\n" * 50 + "pwd = a", []), ('pwd = """never closed ' * 50, []),
+    ],
+)
+def test_lexing_of_labelled_cases(text, found):
+    """Every planted literal, and nothing else: recall and precision of these cases are 1."""
+    value = "Zx81kdPq99aa"
+    text = text.replace("%s", value)
+    assert [text[a:b] for a, b in secrets.lexed(text)] == [f.replace("%s", value) for f in found]
+
+
 def test_secret_edges(spark):
     rows = secrets.find_secrets(edge_table(spark)).collect()
     assert len(rows) == len(edge_rows()) and all(r.spans == "" for r in rows)
