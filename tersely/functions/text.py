@@ -160,9 +160,9 @@ def is_diff(text: Column) -> Column:
 
 
 def is_log(text: Column) -> Column:
-    lines = lines_of(text)
-    dated = share_over(lines, lambda x: left_trimmed(x).rlike(r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}"), 30)
-    return dated | share_over(lines, lambda x: any_of([left_trimmed(x).startswith(p) for p in fixed.LEVELS]), 30)
+    lines = F.transform(lines_of(text), left_trimmed)
+    dated = share_over(lines, lambda x: x.rlike(r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}"), 30)
+    return dated | share_over(lines, lambda x: any_of([x.startswith(p) for p in fixed.LEVELS]), 30)
 
 
 def detect(text: Column) -> Column:
@@ -181,5 +181,8 @@ def route(text: Column, command: Column, max_bytes: int = fixed.MAX_INPUT_BYTES)
 
 
 def capped(text: Column, most: int = fixed.HARD_CAP_BYTES) -> Column:
-    """The text; where it has more bytes than the cap, its first characters that surely fit (a quarter of the cap)."""
-    return F.when(F.octet_length(text) > most, F.substring(text, 1, most // 4)).otherwise(text)
+    """The text's first bytes up to the cap, without a character that the cap would cut."""
+    data = F.encode(text, "UTF-8")
+    goes_on = lambda k: F.hex(F.substring(data, most + 1 - k, 1)).rlike("^[89AB]")
+    end = F.when(~goes_on(0), most).when(~goes_on(1), most - 1).when(~goes_on(2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) > most, F.substring(data, F.lit(1), end).cast("string")).otherwise(text)

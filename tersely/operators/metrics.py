@@ -109,9 +109,10 @@ def first_word(command: str = "command") -> Column:
 def command_chart(records: DataFrame, n: int = 8) -> DataFrame:
     """The n commands that saved most (by name where level), with their share of all savings."""
     by = records.groupBy(first_word().alias("name")).agg(F.sum(saved("original_tokens", "compressed_tokens")).alias("tokens_saved"), F.count("*").alias("runs"))
-    total = F.sum("tokens_saved").over(Window.partitionBy())
-    by = by.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("tokens_saved").cast("double"), total.cast("double")), F.lit(0.0)), 9))
-    return by.orderBy(F.desc("tokens_saved"), "name").limit(n)
+    total = by.agg(F.sum("tokens_saved").alias("all_saved")).withColumn("k", F.lit(1))
+    top = by.orderBy(F.desc("tokens_saved"), "name").limit(n).withColumn("k", F.lit(1)).join(total, "k")
+    share = F.round(F.coalesce(F.try_divide(F.col("tokens_saved").cast("double"), F.col("all_saved").cast("double")), F.lit(0.0)), 9)
+    return top.select("name", "tokens_saved", "runs", share.alias("share")).orderBy(F.desc("tokens_saved"), "name")
 
 
 def layer_distribution(records: DataFrame) -> DataFrame:

@@ -58,10 +58,10 @@ records AS (SELECT *, floor(original_tokens * (id % 11) / 8)::BIGINT AS compress
   CASE WHEN id % 3 <> 0 THEN floor(original_tokens * 8 / 10)::BIGINT END AS tokens_after_l2 FROM base)"""
 RATIO = "CASE WHEN original_tokens = 0 THEN 0.0 ELSE greatest(original_tokens - compressed_tokens, 0) / original_tokens::DOUBLE END"
 KEY = "sha256(doc_id || ':' || text || chr(31) || 'generic' || chr(31) || 'm' || chr(31) || '')"
-CACHE = f"{DOCS}, cache AS (SELECT {KEY} AS hash, 'out ' || doc_id AS output, TIMESTAMP '2001-08-01' - to_days((doc_id % 14)::INT) AS created_at FROM docs WHERE doc_id % 3 = 0)"
+CACHE = f"{DOCS}, cache AS (SELECT {KEY} AS hash, 'out ' || doc_id AS output, TIMESTAMP '2001-08-01' - to_days((doc_id % 14)::INT) AS created_at FROM docs)"
 RATIOS = f"{RECORDS}, ratios AS (SELECT 's' || (id % 40) AS stem, round(avg({RATIO}), 9) AS ratio FROM records GROUP BY 1)"
 META = "meta AS (SELECT 's' || p AS stem, 'c' || (p % 4) AS category, (p % 10) / 10.0::DOUBLE AS min_ratio, (p % 4)::INT AS expected_layer FROM range(40) t(p) WHERE p % 6 <> 0)"
-RUNS = f"{RECORDS}, runs AS (SELECT ['prefix','xml','goal','json'][(id % 4 + 1)::INT] AS format, 's' || (id % 9) AS stem, id % 2 = 0 AS context, round({RATIO}, 6) AS ratio, layer_used, CASE WHEN id % 50 = 0 THEN 'timeout' END AS error FROM records)"
+RUNS = f"{RECORDS}, runs AS (SELECT ['prefix','xml','goal','json'][(id % 4 + 1)::INT] AS format, 's' || (id % 9) AS stem, id // 8 % 2 = 0 AS context, round({RATIO}, 6) AS ratio, layer_used, CASE WHEN id % 50 = 0 THEN 'timeout' END AS error FROM records)"
 TURNS = """turns AS (SELECT conv_id AS session, turn AS place, role, length(text)::BIGINT AS input_tokens, CASE WHEN turn % 3 = 0 THEN length(text) * 2 END AS cache_creation_tokens, length(text) * 3 AS cache_read_tokens, length(text) // 2 AS output_tokens FROM conversations)"""
 USAGE = ("input_tokens", "cache_creation_tokens", "cache_read_tokens", "output_tokens")
 MESSAGES = r"""told AS (SELECT conv_id AS session, turn AS n, role, text, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS turns_ago FROM conversations),
@@ -195,6 +195,23 @@ SELECT session, CASE WHEN n = 1 THEN one WHEN length(t) > 500 THEN t[:497] || '.
         "meta_category": f"WITH {RATIOS}, {META} SELECT stem, ratio, coalesce(category, 'unknown') AS category FROM ratios LEFT JOIN meta USING (stem)",
         "usage_rollup": f"""WITH {TURNS}, r AS (SELECT session, {', '.join(f'coalesce({u}, 0)::BIGINT AS {u}' for u in USAGE)}, row_number() OVER (PARTITION BY session ORDER BY place) AS turn FROM turns WHERE role = 'assistant')
 SELECT session, turn, {', '.join(f'sum({u})::BIGINT AS {u}' for u in USAGE)}, sum({total})::BIGINT AS total FROM r GROUP BY GROUPING SETS ((session, turn), (session))""",
+        "flagged_runs": f"WITH {RUNS} SELECT 'low' AS reason, stem, format, layer_used, ratio, error FROM runs WHERE ratio < 0.2 AND stem <> 's0' UNION ALL SELECT 'high', stem, format, layer_used, ratio, error FROM runs WHERE ratio > 0.85 UNION ALL SELECT 'error', stem, format, layer_used, ratio, error FROM runs WHERE error <> ''",
+        "gain": f"WITH {RECORDS}, s AS (SELECT count(*) AS runs, sum(original_tokens - compressed_tokens)::BIGINT AS tokens_saved, avg((original_tokens - compressed_tokens) / nullif(original_tokens, 0)::DOUBLE) AS ratio FROM records) SELECT tokens_saved, runs, floor(round(ratio, 9) * 100 + 0.5)::BIGINT AS pct, greatest(runs - 50, 0) AS not_shown, tokens_saved || ' tokens saved across ' || runs || ' compressions (' || floor(round(ratio, 9) * 100 + 0.5)::BIGINT || '% avg)' AS line FROM s",
+        **{
+            f"{name}_chart": f"WITH {RECORDS}, b AS (SELECT string_split(command, ' ')[1] AS name, sum(greatest(original_tokens - compressed_tokens, 0))::BIGINT AS tokens_saved, count(*) AS runs FROM (SELECT * FROM records ORDER BY id DESC LIMIT {n}) GROUP BY 1) SELECT name, tokens_saved, runs, round(coalesce(tokens_saved / nullif(sum(tokens_saved) OVER (), 0)::DOUBLE, 0), 9) AS share FROM b ORDER BY tokens_saved DESC, name LIMIT 8"
+            for name, n in (("gain", 50), ("graph", 100))
+        },
+        "graph_summary": f"WITH {RECORDS} SELECT count(*) AS n, coalesce(sum(original_tokens - compressed_tokens), 0)::BIGINT AS tokens_saved, round(avg((original_tokens - compressed_tokens) / nullif(original_tokens, 0)::DOUBLE), 9) AS average_ratio FROM records WHERE created_at >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY",
+        "history_table": f"WITH {RECORDS} SELECT id, command, original_tokens, compressed_tokens, layer_used, floor({RATIO} * 100 + 0.5)::BIGINT AS pct FROM records ORDER BY id DESC LIMIT 50",
+        "layer_steps": f"""WITH {RECORDS} SELECT id, 1 AS layer, original_tokens AS tokens_before, tokens_after_l1 AS tokens_after, original_tokens - tokens_after_l1 AS delta FROM records WHERE tokens_after_l1 IS NOT NULL
+UNION ALL SELECT id, 2, coalesce(tokens_after_l1, original_tokens), coalesce(tokens_after_l2, compressed_tokens), coalesce(tokens_after_l1, original_tokens) - coalesce(tokens_after_l2, compressed_tokens) FROM records WHERE layer_used >= 2
+UNION ALL SELECT id, 3, coalesce(tokens_after_l2, compressed_tokens), compressed_tokens, coalesce(tokens_after_l2, compressed_tokens) - compressed_tokens FROM records WHERE layer_used >= 3""",
+        "state_view": f"WITH {RECORDS} SELECT count(*) AS total_compressions, sum(greatest(original_tokens - compressed_tokens, 0))::BIGINT AS total_tokens_saved, (SELECT string_agg(id::VARCHAR, ',' ORDER BY id) FROM (SELECT id FROM records ORDER BY id DESC LIMIT 3)) AS ids FROM records",
+        "metrics_json": f"""WITH {RECORDS} SELECT '{{"max_id":' || max(id) || ',"kind":"report"}}' AS value FROM records""",
+        "floor_check": f"""WITH {DOCS}, r AS (SELECT doc_id AS name, text || CASE WHEN doc_id % 2 = 0 THEN ' error' ELSE '' END AS before, text AS after, doc_id % 10 / 10.0::DOUBLE AS ratio FROM docs),
+f AS (SELECT name, ratio, NOT regexp_matches(before, 'error|Error|ERROR|FAILED|panic') OR regexp_matches(after, 'error|Error|ERROR|FAILED|panic') AS error_kept, ratio >= 0.5 AS at_floor FROM r) SELECT *, error_kept AND at_floor AS passed FROM f""",
+        "text_cap": f"WITH {DOCS}, c AS (SELECT doc_id, text, hex(text) AS h FROM docs), e AS (SELECT *, CASE WHEN substr(h, 203, 1) NOT IN ('8', '9', 'A', 'B') THEN 101 WHEN substr(h, 201, 1) NOT IN ('8', '9', 'A', 'B') THEN 100 WHEN substr(h, 199, 1) NOT IN ('8', '9', 'A', 'B') THEN 99 ELSE 98 END AS n FROM c) SELECT doc_id, CASE WHEN length(h) > 202 THEN decode(unhex(substr(h, 1, 2 * n))) ELSE text END AS text FROM e",
+        "text_helpers": f"WITH {DOCS}, u AS (SELECT doc_id, source, doc_id * 97 AS s FROM docs) SELECT doc_id, chr(27) || '[1m' || substr(source, 1, 9) || chr(27) || '[0m' || repeat(' ', (12 - length(substr(source, 1, 9)))::BIGINT) AS padded, format('{{:,}}', doc_id * 1234) AS number, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' WHEN s >= 60 THEN (s // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE s || 's' END AS uptime FROM u",
         "layer_tally": f"WITH {RUNS} SELECT layer_used, count(*) AS runs, count(*) FILTER (ratio < 0.2 AND stem <> 's0') AS low, count(*) FILTER (ratio > 0.85) AS high, count(error) AS errors FROM runs GROUP BY 1",
         "ab_delta": f"""WITH {TURNS}, {sums("a0", "session % 2 = 0")}, {sums("b0", "session % 2 = 1")},
 a AS (SELECT *, {total} AS total, round((input_tokens * 3.0::DOUBLE + cache_creation_tokens * 3.75::DOUBLE + cache_read_tokens * 0.3::DOUBLE + output_tokens * 15.0::DOUBLE) / 1000000, 9) AS cost FROM a0),

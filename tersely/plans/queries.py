@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tersely.functions import text as x
 from tersely.functions import tokens
 from tersely.functions.lines import assemble, explode_lines, lines_of
-from tersely.operators import arrow, benchmarks, cache, context, metrics, windows
+from tersely.operators import arrow, benchmarks, cache, context, metrics, reports, windows
 from tersely.operators.rules import Rule, apply_rules, line_form
 from tersely.plans.compaction import compact, discover
 
@@ -72,7 +72,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).filter("doc_id % 3 = 0")
+    d = documents(spark, sf_dir)
     stamp = F.timestamp_seconds(F.lit(996624000) - (F.col("doc_id") % 14) * 86400)
     return d.select(document_key().alias("hash"), F.concat(F.lit("out "), F.col("doc_id").cast("string")).alias("output"), F.lit("m").alias("model"), stamp.alias("created_at")).dropDuplicates(["hash"])
 
@@ -99,7 +99,7 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
-    return r.select(F.element_at(F.array(*map(F.lit, context.FORMATS)), (F.col("id") % 4 + 1).cast("int")).alias("format"), F.concat(F.lit("s"), (F.col("id") % 9).cast("string")).alias("stem"), (F.col("id") % 2 == 0).alias("context"), F.round(metrics.ratio(), 6).alias("ratio"), "layer_used", F.when(F.col("id") % 50 == 0, "timeout").alias("error"))
+    return r.select(F.element_at(F.array(*map(F.lit, context.FORMATS)), (F.col("id") % 4 + 1).cast("int")).alias("format"), F.concat(F.lit("s"), (F.col("id") % 9).cast("string")).alias("stem"), (F.floor(F.col("id") / 8) % 2 == 0).alias("context"), F.round(metrics.ratio(), 6).alias("ratio"), "layer_used", F.when(F.col("id") % 50 == 0, "timeout").alias("error"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,12 +145,12 @@ def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tail_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record stream, run over what there is: its rows, gathered by foreachBatch in a folder under the checkpoint's."""
-    import tempfile
     import uuid
 
+    from tersely.session import shared_folder
     from tersely.streaming.tail import record_stream, tail
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tail-')}/tail-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/tail-{uuid.uuid4().hex}"
     records(spark, sf_dir).write.parquet(f"{base}/records")
     query = tail(record_stream(spark, f"{base}/records"), f"{base}/cursor", lambda rows: rows.write.mode("append").parquet(f"{base}/out"), after=100, command="cmd3", once=True)
     query.awaitTermination()
@@ -241,6 +241,18 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ab_delta": ab_delta,
         "format_average": lambda s, d: benchmarks.by_format(runs(s, d), "format", "context"),
         "format_pivot": lambda s, d: benchmarks.context_gain(runs(s, d)),
+        "flagged_runs": lambda s, d: reports.flagged(runs(s, d), "s0"),
+        "gain": on_records(lambda r: reports.gain(r, now())),
+        "gain_chart": on_records(reports.gain_chart),
+        "graph_chart": on_records(reports.graph_chart),
+        "graph_summary": on_records(lambda r: reports.graph_summary(r, 30, now())),
+        "history_table": on_records(reports.history_table),
+        "layer_steps": on_records(reports.layers),
+        "state_view": on_records(lambda r: reports.state(r).select("total_compressions", "total_tokens_saved", F.transform("recent", lambda x: x["id"]).alias("ids")).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))),
+        "metrics_json": on_records(lambda r: reports.as_json(metrics.max_record_id(r), kind="report")),
+        "floor_check": lambda s, d: reports.floors(documents(s, d).select(F.col("doc_id").alias("name"), F.concat(text, F.when(F.col("doc_id") % 2 == 0, " error").otherwise("")).alias("before"), text.alias("after"), (F.col("doc_id") % 10 / 10).alias("ratio"), F.lit(0.5).alias("floor"))),
+        "text_cap": on_documents(x.capped(text, 101).alias("text")),
+        "text_helpers": on_documents(reports.padded(F.concat(F.lit("\x1b[1m"), F.substring("source", 1, 9), F.lit("\x1b[0m")), 12).alias("padded"), reports.thousands(F.col("doc_id") * 1234).alias("number"), reports.uptime(F.col("doc_id") * 97).alias("uptime")),
         "discover_top10": lambda s, d: discover(documents(s, d).select(F.col("source").alias("command"), F.col("text").alias("output"))),
         "tail_stream": tail_once,
         "block_dedup": lambda s, d: documents(s, d).select("doc_id", arrow.block_dedup(text).alias("text")),
@@ -262,7 +274,8 @@ NAMES = """
     layer_distribution weekly_series weighted_ratio latency_stats model_speed cache_key cache_lookup_ttl cache_stale cache_upsert
     intent_recent intent_decay intent_format meta_gate meta_missing meta_category usage_rollup layer_tally ab_delta format_average
     format_pivot discover_top10 tail_stream block_dedup prefix_factor suffix_factor rules_fold line_diff token_count pipeline_compress
-    lines_per_document
+    lines_per_document flagged_runs gain gain_chart graph_chart graph_summary history_table layer_steps state_view metrics_json floor_check text_cap
+    text_helpers
 """.split()
 
 

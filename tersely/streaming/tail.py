@@ -10,19 +10,36 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tersely.operators import metrics
 
-PAGE, LEAST_POLL_MS, POLL_MS = 500, 200, 2000
+FIRST, PAGE, LEAST_POLL_MS, POLL_MS = 50, 500, 200, 2000
 
 
 def record_stream(spark: SparkSession, path: str, schema: str = metrics.RECORD, files_a_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
+def first_page(records: DataFrame, n: int = FIRST) -> tuple[DataFrame, int]:
+    """What a follower shows first: the last records of all commands, and the id after which it goes on."""
+    return metrics.history(records, n), metrics.max_record_id(records).first()[0]
+
+
+def pages(rows: DataFrame, emit: Callable[[DataFrame], None], page: int = PAGE) -> None:
+    """Give rows to `emit` by id, at most a page at a time; only the last id of a page comes to the driver."""
+    rows = rows.persist()
+    try:
+        left = rows
+        while (end := left.orderBy("id").limit(page).agg(F.max("id")).first()[0]) is not None:
+            emit(left.filter(F.col("id") <= end).orderBy("id"))
+            left = rows.filter(F.col("id") > end)
+    finally:
+        rows.unpersist()
+
+
 def tail(stream: DataFrame, checkpoint: str, emit: Callable[[DataFrame], None], after: int = 0, command: str | None = None, poll_ms: int = POLL_MS, once: bool = False) -> StreamingQuery:
     """Give new records (by id) to `emit` as they come. The checkpoint is the cursor, so a restart goes on where it stopped."""
     wanted = stream.filter(F.col("id") > after)
     if command is not None:
         wanted = wanted.filter((F.col("command") == command) | F.col("command").ilike(f"{command} %"))
-    writer = wanted.writeStream.foreachBatch(lambda rows, _: emit(rows.orderBy("id"))).option("checkpointLocation", checkpoint)
+    writer = wanted.writeStream.foreachBatch(lambda rows, _: pages(rows, emit)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(poll_ms, LEAST_POLL_MS)} milliseconds")
     return writer.start()
 
