@@ -10,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tersely.functions import fixed
-from tersely.functions.lines import left_trimmed, lines_of, trimmed
+from tersely.functions.lines import left_trimmed, trimmed
 
 WORD = "0-9A-Za-z_"
+#: White space within a line, by Unicode.
+INDENT = r"(?U:[\s&&[^\n]]*+)"
 
 
 def dialect(pattern: str, unicode: bool) -> str:
@@ -150,19 +152,29 @@ def is_build(text: Column) -> Column:
     return any_of([h(p) for p in ("error[E", "error TS", "warning TS", "warning[", "Compiling ", "Building ", "eslint", "Creating an optimized production build", "Route (app)")]) | h("error", "warning", "problem")
 
 
-def share_over(lines: Column, test, percent: int) -> Column:
-    """More than three lines, and more than this percent of them pass the test."""
-    return (F.size(lines) > 3) & (F.size(F.filter(lines, test)) * 100 > F.size(lines) * percent)
+def line_starts(text: Column, pattern: str) -> Column:
+    """Lines that the pattern begins, by one pass over the text; the lines are never built."""
+    return F.regexp_count(F.concat(F.lit("\n"), text), F.lit(rf"\n(?:{pattern})"))
+
+
+def line_count(text: Column) -> Column:
+    """How many lines `lines_of` has: a final line end starts none."""
+    ends = F.regexp_count(text, F.lit("\n"))
+    return F.when(text == "", 0).otherwise(ends + F.when(text.endswith("\n"), 0).otherwise(1))
+
+
+def share_over(text: Column, pattern: str, percent: int) -> Column:
+    """More than three lines, and more than this percent of them begin, after white space, with the pattern."""
+    n, hits = line_count(text), line_starts(text, rf"{INDENT}(?:{pattern})")
+    return (hits > 0) & (n > 3) & (hits * 100 > n * percent)
 
 
 def is_diff(text: Column) -> Column:
-    return any_of([text.startswith(p) for p in ("diff --git", "--- ", "+++ ")]) | (F.size(F.filter(lines_of(text), lambda x: x.startswith("@@ "))) >= 2)
+    return any_of([text.startswith(p) for p in ("diff --git", "--- ", "+++ ")]) | (line_starts(text, "@@ ") >= 2)
 
 
 def is_log(text: Column) -> Column:
-    lines = F.transform(lines_of(text), left_trimmed)
-    dated = share_over(lines, lambda x: x.rlike(r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}"), 30)
-    return dated | share_over(lines, lambda x: any_of([x.startswith(p) for p in fixed.LEVELS]), 30)
+    return share_over(text, "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", 30) | share_over(text, "|".join(re.escape(v) for v in fixed.LEVELS), 30)
 
 
 def detect(text: Column) -> Column:

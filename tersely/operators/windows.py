@@ -72,32 +72,41 @@ def merge_prefixes(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.select(key, "n", merged.alias("line"))
 
 
+def shared(a: Column, b: Column) -> Column:
+    """Characters of the common prefix of two strings, bit by bit from the highest: as many comparisons as the length has bits."""
+    most = F.least(F.length(a), F.length(b))
+    bits = F.sequence(F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+    def longer(size: Column, bit: Column) -> Column:
+        more = size + F.pow(F.lit(2), bit).cast("int")
+        return F.when((more <= most) & (F.substring(a, F.lit(1), more) == F.substring(b, F.lit(1), more)), more).otherwise(size)
+
+    return F.aggregate(bits, F.lit(0), longer)
+
+
 def common_prefix(lines: DataFrame, least_lines: int = 4, key: str = "doc_id") -> DataFrame:
     """`key, lines, prefix`: what all lines of a document begin with, if there are enough lines and two characters of it.
 
     Of strings in order, the common prefix of all is that of the least and the greatest."""
     ends = lines.groupBy(key).agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("lines"))
-    upto = F.sequence(F.lit(1), F.least(F.length("a"), F.length("b")))
-    same = F.when(F.least(F.length("a"), F.length("b")) > 0, F.size(F.filter(upto, lambda i: F.substring("a", F.lit(1), i) == F.substring("b", F.lit(1), i)))).otherwise(0)
-    out = ends.withColumn("size", same)
+    out = ends.withColumn("size", shared(F.col("a"), F.col("b")))
     return out.filter((F.col("lines") >= least_lines) & (F.col("size") >= 2)).select(key, "lines", F.substring("a", F.lit(1), F.col("size")).alias("prefix"))
 
 
 def best_prefix(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """`key, prefix, saved`: the prefix that the first round of prefix factoring picks: neighbours in order, least common prefixes.
 
-    It is `kernels.clusters` cut to one round, as windows."""
-    usable = lines.filter(~is_blank(F.col("line")) & ~text.is_marker(F.col("line")))
-    w = Window.partitionBy(key).orderBy("line", "n")
+    It is `kernels.clusters` cut to one round, as windows: lines are sorted within their document and never joined with prefixes.
+    A prefix's lines end where its bytes followed by FF, which no text holds, would stand among them."""
+    usable = lines.filter(~is_blank(F.col("line")) & ~text.is_marker(F.col("line"))).select(key, "n", "line", F.encode("line", "UTF-8").alias("bytes"))
+    w = Window.partitionBy(key).orderBy("bytes", "n")
     ahead = usable.withColumn("at", F.row_number().over(w)).withColumn("last", F.lead("line", fixed.CLUSTER_LINES - 1).over(w)).filter("last is not null")
-    upto = F.sequence(F.lit(1), F.least(F.length("line"), F.length("last")))
-    size = F.when(F.least(F.length("line"), F.length("last")) > 0, F.size(F.filter(upto, lambda i: F.substring("line", F.lit(1), i) == F.substring("last", F.lit(1), i)))).otherwise(0)
-    made = ahead.withColumn("prefix", F.substring("line", F.lit(1), size)).filter(F.octet_length("prefix") >= fixed.CLUSTER_BYTES)
+    made = ahead.withColumn("prefix", F.substring("line", F.lit(1), shared(F.col("line"), F.col("last")))).filter(F.octet_length("prefix") >= fixed.CLUSTER_BYTES)
     starts = made.groupBy(key, "prefix").agg(F.min("at").alias("at"))
-    # A window's prefix covers all lines from it on that begin so.
-    rows = usable.select(F.col(key).alias("k"), F.col("line").alias("row"), "n").withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("row", "n")))
-    covered = starts.join(rows, (F.col(key) == F.col("k")) & F.col("row").startswith(F.col("prefix")) & (F.col("place") >= F.col("at")))
-    saved = covered.groupBy(key, "prefix", "at").agg((F.octet_length(F.first("prefix")) * F.count("*")).alias("saved"))
+    ends = starts.select(key, F.concat(F.encode("prefix", "UTF-8"), F.unhex(F.lit("FF"))).alias("bytes"), "prefix", "at")
+    both = usable.select(key, "bytes").unionByName(ends, allowMissingColumns=True)
+    upto = F.count(F.when(F.col("prefix").isNull(), 1)).over(Window.partitionBy(key).orderBy("bytes").rowsBetween(Window.unboundedPreceding, 0))
+    saved = both.withColumn("upto", upto).filter("prefix is not null").withColumn("saved", (F.octet_length("prefix") * (F.col("upto") - F.col("at") + 1)).cast("long"))
     worth = saved.filter(F.col("saved") > F.octet_length("prefix") + fixed.CLUSTER_OVERHEAD)
     first = worth.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("saved"), "at"))).filter("rank = 1")
     return first.select(key, "prefix", "saved")

@@ -2,47 +2,74 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersely.functions import text as expressions
-from tersely.functions.tokens import token_count, token_estimate
-from tersely.operators import arrow
-from tersely.operators.rules import Rule, apply_rules
+from tersely.functions.tokens import encoder, token_count, token_estimate
+from tersely.operators import kernels
+from tersely.operators.rules import Rule, compiled, fold
 
 
 def counter(path: str | None):
     return (lambda c: token_count(c, path)) if path else token_estimate
 
 
+PASS = "output string, l1_rules array<string>, applied array<string>, rejected array<string>, tokens_before int, tokens_after_l1 int, tokens_after_l2 int"
+
+
+def passed(text: Column, accepted: Column, rules: list[Rule], vocabulary: str | None) -> Column:
+    """Layer 1, rules, layer 2 and the counts between them, in one crossing to Python; texts not accepted are only counted."""
+
+    @F.pandas_udf(PASS)
+    def run(texts: pd.Series, oks: pd.Series) -> pd.DataFrame:
+        steps = [(r, compiled(r)) for r in rules]
+        encode = encoder(vocabulary).encode_ordinary if vocabulary else None
+
+        def count(t: str) -> int:
+            return len(encode(t)) if encode else -(-len(t) // 4)
+
+        def row(t: str, ok: bool) -> tuple:
+            before = count(t)
+            if not ok:
+                return None, [], [], [], before, None, None
+            one, _, _, fired = kernels.layer1(t)
+            ruled, applied, rejected = fold(one, steps)
+            two, rewritten = kernels.layer2(ruled)
+            after_one = before if one == t else count(one)
+            return two, fired, [*applied, *rewritten], rejected, before, after_one, after_one if two == one else count(two)
+
+        out = pd.DataFrame([row(t, ok) for t, ok in zip(texts, oks, strict=True)], columns=[c.split()[0] for c in PASS.split(", ")])
+        return out.astype({c: "Int32" for c in out.columns if c.startswith("tokens")})
+
+    return run(text, accepted)
+
+
 def compact(requests: DataFrame, files: list[list[Rule]] | None = None, vocabulary: str | None = None, output: str = "output", command: str = "command") -> DataFrame:
     """Requests with `compressed, route, class, layer, pre_filtered, tokens_before, tokens_after_l1, tokens_after_l2, tokens_after,
-    ratio, applied_rules`. One pass without a shuffle; routed-away requests keep their text (rejected ones lose it), on layer 0.
+    ratio, applied_rules`. One pass without a shuffle, and one Arrow UDF; routed-away requests keep their text (rejected ones lose it), on layer 0.
 
     Tokens after layer 1 are counted before the rules, so the rules' savings go to layer 2."""
-    tokens = counter(vocabulary)
     text = F.coalesce(F.col(output), F.lit(""))
     cmd: Column = F.col(command) if command in requests.columns else F.lit(None).cast("string")
-    routed = requests.withColumn("route", expressions.route(text, cmd))
     ok = F.col("route") == "accepted"
-    one = routed.withColumn("l1", F.when(ok, arrow.layer1(F.when(ok, text))))
-    ruled = one.withColumn("rules", apply_rules(F.col("l1.output"), files)) if files else one.withColumn("rules", F.struct(F.col("l1.output").alias("output"), F.array().cast("array<string>").alias("applied"), F.array().cast("array<string>").alias("rejected")))
-    two = ruled.withColumn("l2", arrow.layer2(F.col("rules.output")))
-    counted = two.withColumn("tokens_before", tokens(text)).withColumn("tokens_after_l1", tokens(F.col("l1.output"))).withColumn("tokens_after_l2", tokens(F.col("l2.output")))
-    after = F.coalesce("tokens_after_l2", "tokens_before")
-    ratio = F.when(F.col("tokens_before") > 0, F.greatest(F.col("tokens_before") - after, F.lit(0)) / F.col("tokens_before")).otherwise(0.0)
-    layer = F.when(~ok, 0).when(F.col("tokens_before") - F.col("tokens_after_l1") > F.greatest(F.col("tokens_after_l1") - F.col("tokens_after_l2"), F.lit(0)), 1).otherwise(2)
-    return counted.select(
+    done = requests.withColumn("route", expressions.route(text, cmd)).withColumn("pass", passed(text, ok, [r for f in files or [] for r in f], vocabulary))
+    before, after_one, after_two = (F.col(f"pass.tokens_{c}") for c in ("before", "after_l1", "after_l2"))
+    after = F.coalesce(after_two, before)
+    ratio = F.when(before > 0, F.greatest(before - after, F.lit(0)) / before).otherwise(0.0)
+    layer = F.when(~ok, 0).when(before - after_one > F.greatest(after_one - after_two, F.lit(0)), 1).otherwise(2)
+    return done.select(
         *requests.columns,
-        F.when(F.col("route") == "bypassed", text).otherwise(F.col("l2.output")).alias("compressed"),
+        F.when(F.col("route") == "bypassed", text).otherwise(F.col("pass.output")).alias("compressed"),
         "route",
         expressions.detect(text).alias("class"),
         layer.alias("layer"),
         expressions.is_prefiltered(text, cmd).alias("pre_filtered"),
-        "tokens_before", "tokens_after_l1", "tokens_after_l2", after.alias("tokens_after"),
+        before.alias("tokens_before"), after_one.alias("tokens_after_l1"), after_two.alias("tokens_after_l2"), after.alias("tokens_after"),
         F.round(ratio, 9).alias("ratio"),
-        F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in (F.col("l1.applied_rules"), F.col("rules.applied"), F.col("l2.applied_rules")))).alias("applied_rules"),
-        F.coalesce("rules.rejected", F.array().cast("array<string>")).alias("rejected_rules"),
+        F.concat("pass.l1_rules", "pass.applied").alias("applied_rules"),
+        F.col("pass.rejected").alias("rejected_rules"),
     )
 
 

@@ -166,3 +166,47 @@ def test_layer1_invariants(rows):
 def test_any_text_is_fine(text):
     out = kernels.layer2(kernels.layer1(text)[0])[0]
     out.encode()
+
+
+VOLATILE = st.one_of(st.text(alphabet="0123456789abcdefABCDEF.-_:@/ v<>HEX[()+TZ?=&\\\t٣é", max_size=60), st.sampled_from(["deadbeef-abcd-abcd-abcd-abcdefabcdef up", "<HEX>-abcde", "> Task :a UP", "eyJabcdefghij.klmnopqrstuv.wxyzabcdefghi", "?" + "a=1&" * 6, "f" * 33, "A" * 41 + "=", "     x    y  ", "a/b/c\\d:3"]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(VOLATILE, max_size=4).map(" ".join))
+def test_guarded_steps_equal_all_steps(line):
+    assert kernels.template(line) == kernels.replaced(line, kernels.TEMPLATE)
+    assert kernels.opaque(line) == kernels.replaced(line, kernels.OPAQUE)
+    assert kernels.tidy_whitespace(line) == "\n".join(kernels.replaced(r, kernels.WHITESPACE) for r in kernels.lines(line))
+    assert kernels.shorten_paths(line) == kernels.PATH_TOKEN.sub(lambda m: kernels.short_path(m[0]), line)
+
+
+def test_shares_of_lines_without_lines(spark):
+    stamps, levels = "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", r"\[INFO\]|INFO "
+    cases = [*SAMPLES, "2024-01-01 a\n  2024/01/02 b\n\u3000[INFO] c\n\x85INFO d\n e", "\n\n 2024-01-01\n\n", "\r\n2024-01-01\r\nb\rc\n[INFO]\n\r[INFO] x"]
+    frame = spark.createDataFrame([(c,) for c in cases], "t string")
+    t = F.col("t")
+    for r in frame.select("t", x.line_count(t).alias("n"), x.line_starts(t, f"{x.INDENT}(?:{stamps})").alias("d"), x.line_starts(t, f"{x.INDENT}(?:{levels})").alias("l")).collect():
+        rows = [y.lstrip(kernels.WHITE) for y in kernels.lines(r.t)]
+        assert (r.n, r.d, r.l) == (len(rows), sum(bool(re.match(stamps, y)) for y in rows), sum(bool(re.match(levels, y)) for y in rows))
+
+
+def test_first_prefix_by_windows_is_the_kernels(spark):
+    texts = [f"/usr/share/lib-é\U0001f600/{n}" for n in ("a", "b", "bc", "c", "\U0010ffff", "d")] + ["/usr/share/other"] * 7 + ["short"] * 9
+    docs = [(1, "\n".join(texts)), (2, "\n".join(texts[:3])), (3, "\n".join(f"{i % 3} long common part {i}" for i in range(40))), (4, "")]
+    got = {r.doc_id: r.prefix for r in windows.best_prefix(explode_lines(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    for i, text in docs:
+        one = first_cluster(kernels.lines(text))
+        assert got.get(i) == one
+
+
+def first_cluster(rows):
+    """By brute force: of all windows of five lines in order, the prefix that saves most, the earliest of equals."""
+    usable, best = sorted((r for r in rows if not kernels.blank(r) and not kernels.marker(r)), key=str.encode), (0, None)
+    for i in range(len(usable) - fixed.CLUSTER_LINES + 1):
+        a, b = usable[i], usable[i + fixed.CLUSTER_LINES - 1]
+        prefix = a[: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))]
+        size = len(prefix.encode())
+        saved = size * sum(u.startswith(prefix) for u in usable[i:])
+        if size >= fixed.CLUSTER_BYTES and saved > size + fixed.CLUSTER_OVERHEAD and saved > best[0]:
+            best = (saved, prefix)
+    return best[1]
