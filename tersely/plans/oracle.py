@@ -90,6 +90,64 @@ shown AS (SELECT doc_id, n, CASE WHEN hit AND c >= {least} THEN first || chr(10)
 {ASSEMBLED.format("shown")}"""
 
 
+def blocks(lines: str, docs: str) -> str:
+    """Repeated blocks. For each size, a place reaches as far as lines equal those one size on; a walk from line 0 takes the best size each time."""
+    low, high = fixed.BLOCK_SIZES
+    return f"""WITH RECURSIVE {lines}, keyed AS (SELECT *, {replaced("line", fixed.TEMPLATE_STEPS)} AS k, count(*) OVER (PARTITION BY doc_id) AS total,
+  coalesce(min(CASE WHEN {MARKER} THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), count(*) OVER (PARTITION BY doc_id)) - n AS clear FROM lines),
+pairs AS (SELECT a.doc_id, a.n, a.clear, a.total, s.size, b.k IS NOT DISTINCT FROM a.k AND b.n IS NOT NULL AS same FROM keyed a CROSS JOIN (SELECT unnest(range({low}, {high + 1})) AS size) s LEFT JOIN keyed b ON b.doc_id = a.doc_id AND b.n = a.n + s.size),
+reached AS (SELECT *, min(CASE WHEN NOT same THEN n END) OVER (PARTITION BY doc_id, size ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - n AS reach FROM pairs),
+fits AS (SELECT doc_id, n, size, 1 + reach // size AS c FROM reached WHERE size <= clear AND reach // size >= {fixed.BLOCK_RUN - 1}),
+best AS (SELECT * FROM fits WHERE (c - 1) * size - 1 > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY (c - 1) * size DESC, size) = 1),
+steps AS (SELECT l.doc_id, l.n, b.size, b.c, l.n + coalesce(b.size * b.c, 1) AS next FROM lines l LEFT JOIN best b USING (doc_id, n)),
+walk AS (SELECT * FROM steps WHERE n = 0 UNION ALL SELECT s.* FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.n = w.next),
+shown AS (SELECT w.doc_id, l.n * 2 AS n, l.line FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.n >= w.n AND l.n < w.n + coalesce(w.size, 1)
+  UNION ALL SELECT doc_id, (n + size - 1) * 2 + 1, {literal(fixed.BLOCK_HEADER)} || (c - 1) || ' more ' || size || '-line block(s) omitted ──' FROM walk WHERE size IS NOT NULL),
+texts AS ({ASSEMBLED.format("shown")}) SELECT d.doc_id, coalesce(t.text, '') AS text FROM {docs} d LEFT JOIN texts t USING (doc_id)"""
+
+
+def factored(reverse: bool) -> str:
+    """Lines under headers with the prefixes (or suffixes, on reversed lines) that a round each picks, and its lines leave the next round."""
+    turned = "reverse({})" if reverse else "{}"
+    header, row = (fixed.SUFFIX_HEADER, fixed.SUFFIX_ROW) if reverse else (fixed.PREFIX_HEADER, fixed.PREFIX_ROW)
+    width = fixed.CLUSTER_LINES - 1
+    rounds = [f"u0 AS MATERIALIZED (SELECT doc_id, n, {turned.format('line')} AS line FROM lines WHERE NOT {BLANK} AND NOT {MARKER})"]
+    for i in range(fixed.CLUSTERS):
+        rounds.append(f"""p{i} AS MATERIALIZED (SELECT *, row_number() OVER w AS pos, lead(line, {width}) OVER w AS last FROM u{i} WINDOW w AS (PARTITION BY doc_id ORDER BY line, n)),
+m{i} AS (SELECT doc_id, pos, line[:len(list_filter(range(1, least(length(line), length(last)) + 1), lambda i: line[:i] = last[:i]))] AS prefix FROM p{i} WHERE last IS NOT NULL),
+s{i} AS (SELECT doc_id, prefix, min(pos) AS pos FROM m{i} WHERE strlen(prefix) >= {fixed.CLUSTER_BYTES} GROUP BY doc_id, prefix),
+v{i} AS (SELECT s.doc_id, s.prefix, s.pos, strlen(s.prefix) * count(*) AS saved FROM s{i} s JOIN p{i} p ON p.doc_id = s.doc_id AND p.pos >= s.pos AND starts_with(p.line, s.prefix) GROUP BY s.doc_id, s.prefix, s.pos),
+c{i} AS MATERIALIZED (SELECT doc_id, prefix, {i} AS round FROM v{i} WHERE saved > strlen(prefix) + {fixed.CLUSTER_OVERHEAD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY saved DESC, pos) = 1),
+u{i + 1} AS MATERIALIZED (SELECT u.doc_id, u.n, u.line FROM u{i} u JOIN c{i} c ON u.doc_id = c.doc_id WHERE NOT starts_with(u.line, c.prefix))""")
+    found = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(fixed.CLUSTERS))
+    whole = "reverse(prefix)" if reverse else "prefix"
+    rest = f"reverse(substr({turned.format('line')}, length(prefix) + 1))" if reverse else "substr(line, length(prefix) + 1)"
+    return f"""WITH {event_lines()}, {", ".join(rounds)}, found AS ({found}),
+own AS (SELECT l.doc_id, l.n, l.line, f.prefix FROM lines l LEFT JOIN found f ON l.doc_id = f.doc_id AND NOT {MARKER} AND starts_with({turned.format("l.line")}, f.prefix)
+  QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.n ORDER BY strlen(f.prefix) DESC, f.round) = 1),
+told AS (SELECT *, row_number() OVER (PARTITION BY doc_id, prefix ORDER BY n) = 1 AS leads FROM own),
+shown AS (SELECT doc_id, n, CASE WHEN prefix IS NULL THEN line ELSE CASE WHEN leads THEN {literal(header + " ")} || {whole} || {literal(" ──")} || chr(10) ELSE '' END || {literal(row)} || {rest} END AS line FROM told)
+{ASSEMBLED.format("shown")}"""
+
+
+def rules_fold() -> str:
+    """Frame runs, then runs of equal lines; the other rules find nothing in these lines, of which a document begins with two kinds at least."""
+    from tersely.plans import queries as q
+
+    signals = lambda t: f"len(regexp_extract_all({t}, {literal(fixed.ERROR_SIGNAL)}))"
+    frames = folded("starts_with(ltrim(line), 'at org.springframework.')", 2, "'... [' || (c - 2) || ' frames omitted]'", True)
+    return f"""WITH {event_lines(kinds(q.STACK, "ValueError: x"))}, before AS ({ASSEMBLED.format("lines")}),
+{frames.split(ASSEMBLED.format("shown"))[0]}, framed AS ({ASSEMBLED.format("shown")}),
+one AS (SELECT doc_id, b.text <> f.text AND {signals("f.text")} >= {signals("b.text")} AS fired, {signals("f.text")} < {signals("b.text")} AS lost, CASE WHEN lost THEN b.text ELSE f.text END AS text FROM before b JOIN framed f USING (doc_id)),
+again AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM one),
+keyed2 AS (SELECT *, regexp_replace(line, '[0-9]+', '§', 'g') AS k FROM again),
+starts2 AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY n) <> k, true) AS s FROM keyed2),
+numbered2 AS (SELECT *, sum(s::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM starts2),
+grouped2 AS (SELECT doc_id, min(n) AS n, CASE WHEN count(*) >= 3 THEN '[×' || count(*) || '] ' || arg_min(line, n) ELSE string_agg(line, chr(10) ORDER BY n) END AS line FROM numbered2 GROUP BY doc_id, run),
+two AS ({ASSEMBLED.format("grouped2")})
+SELECT o.doc_id, t.text AS output, concat_ws(',', CASE WHEN fired THEN 'frames' END, CASE WHEN t.text <> o.text THEN 'dedup' END) AS applied, CASE WHEN lost THEN 'frames' ELSE '' END AS rejected FROM one o JOIN two t USING (doc_id)"""
+
+
 def sums(prefix: str, where: str) -> str:
     return f"{prefix} AS (SELECT count(*) AS turns, {', '.join(f'coalesce(sum({u}), 0)::BIGINT AS {u}' for u in USAGE)} FROM turns WHERE role = 'assistant' AND {where})"
 
@@ -150,6 +208,11 @@ sized AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) + 1), l
 SELECT doc_id, CASE WHEN any_value(c) >= 4 AND any_value(k) >= 2 THEN 'prefix: ' || any_value(a[:k]) || chr(10) || string_agg('  ' || substr(line, k + 1), chr(10) ORDER BY n) ELSE string_agg(line, chr(10) ORDER BY n) END AS text
 FROM lines JOIN sized USING (doc_id) GROUP BY doc_id""",
         "error_signal_count": f"WITH {event_lines(kinds(q.SIGNALS, 'E0123: x'))}, t AS ({ASSEMBLED.format('lines')}) SELECT doc_id, len(regexp_extract_all(text, {literal(fixed.ERROR_SIGNAL)}))::BIGINT AS signals FROM t",
+        "block_dedup": blocks(text_lines(), "docs"),
+        "block_dedup_logs": blocks(event_lines(kinds(q.BLOCKS, "INFO idle")), "(SELECT DISTINCT doc_id FROM lines)"),
+        "prefix_factor": factored(False),
+        "suffix_factor": factored(True),
+        "rules_fold": rules_fold(),
         "prefix_first_round": f"""WITH {event_lines()}, placed AS (SELECT *, row_number() OVER w AS pos, lead(line, 4) OVER w AS last FROM lines WHERE NOT {BLANK} AND NOT {MARKER} WINDOW w AS (PARTITION BY doc_id ORDER BY line, n)),
 made AS (SELECT doc_id, pos, line[:len(list_filter(range(1, least(length(line), length(last)) + 1), lambda i: line[:i] = last[:i]))] AS prefix FROM placed WHERE last IS NOT NULL),
 starts AS (SELECT doc_id, prefix, min(pos) AS pos FROM made WHERE strlen(prefix) >= 12 GROUP BY doc_id, prefix),

@@ -51,6 +51,7 @@ STACK = {"error": "  at org.springframework.web.Dispatcher.run", "view": "at nod
 NOISE = {"error": "      ~~~^^^", "view": "index 12ab34..99cd00 100644", "click": "--- a/src/x.py", "signup": "+++ b/src/x.py"}
 PROGRESS = {"error": "   Compiling serde v1.0.1", "view": "[####    ] 40%", "click": "Compiling by hand", "signup": "⠋ resolving"}
 TESTS = {"error": "test a::b ... ok", "view": "test a::c ... FAILED", "click": "  test a::d ... ignored ", "signup": "running"}
+BLOCKS = {"error": "ERROR retry 1", "view": "GET page", "click": "ERROR retry 2"}
 SIGNALS = {"error": "ValueError: bad", "view": "path exception.py", "click": "build FAILED here", "signup": "warning: unused"}
 
 
@@ -256,9 +257,10 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "discover_top10": lambda s, d: discover(documents(s, d).select(F.col("source").alias("command"), F.col("text").alias("output"))),
         "tail_stream": tail_once,
         "block_dedup": lambda s, d: documents(s, d).select("doc_id", arrow.block_dedup(text).alias("text")),
+        "block_dedup_logs": line_query(typed(BLOCKS, "INFO idle"), lambda t: assemble(t).select("doc_id", arrow.block_dedup(text).alias("text"))),
         "prefix_factor": line_query(None, lambda t: assemble(t).select("doc_id", arrow.factor_prefix(text).alias("text"))),
         "suffix_factor": line_query(None, lambda t: assemble(t).select("doc_id", arrow.factor_suffix(text).alias("text"))),
-        "rules_fold": line_query(typed(STACK, "ValueError: x"), lambda t: assemble(t).select("doc_id", apply_rules(text, [list(RULES.values())]).alias("r")).select("doc_id", "r.*")),
+        "rules_fold": line_query(typed(STACK, "ValueError: x"), lambda t: assemble(t).select("doc_id", apply_rules(text, [list(RULES.values())]).alias("r")).select("doc_id", "r.output", *(F.array_join(f"r.{c}", ",").alias(c) for c in ("applied", "rejected")))),
         "line_diff": on_documents(arrow.line_diff(text, arrow.block_dedup(text)).alias("diff")),
         "token_count": lambda s, d: documents(s, d).select("doc_id", tokens.token_count(text, vocabulary()).alias("tokens")),
         "pipeline_compress": compaction,
@@ -275,7 +277,7 @@ NAMES = """
     intent_recent intent_decay intent_format meta_gate meta_missing meta_category usage_rollup layer_tally ab_delta format_average
     format_pivot discover_top10 tail_stream block_dedup prefix_factor suffix_factor rules_fold line_diff token_count pipeline_compress
     lines_per_document flagged_runs gain gain_chart graph_chart graph_summary history_table layer_steps state_view metrics_json floor_check text_cap
-    text_helpers
+    text_helpers block_dedup_logs
 """.split()
 
 
