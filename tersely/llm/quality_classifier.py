@@ -38,7 +38,7 @@ TERM_DOCUMENTS, TERM_PRECISION = 4, 0.75
 PENALTY, ROUNDS = 5e-5, 400
 #: Features that fewer sampled documents hold have no weight.
 FEATURE_DOCUMENTS = 4
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES, STEM_ENTRIES = 500_000, 100_000
 #: Turns a word's or prefix's feature into that of its being found twice or more.
 TWICE = 0x9E375
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -56,11 +56,24 @@ def feature(name: str) -> int:
 class Reader:
     """Turns texts into figures and hashed words and prefixes; words' hashes are kept in a bounded memo.
 
-    Where `wanted` features are given, the others that a text has may be left out."""
+    Where `wanted` features are given, the others that a text has may be left out, and words that have none are set aside as idle."""
 
     def __init__(self, wanted: frozenset | None = None):
         self.wanted = None if wanted is None else wanted | {f ^ TWICE for f in wanted}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.idle: set[str] = set()
+        self.stems: dict[str, tuple[int, ...]] = {}
+
+    def stem(self, stem: str) -> tuple[int, ...]:
+        """Features of the prefixes of all words that begin so."""
+        if (f := self.stems.get(stem)) is None:
+            if len(self.stems) >= STEM_ENTRIES:
+                self.stems.clear()
+            f = tuple(feature(f"\x01{stem[:n]}") for n in PREFIXES if len(stem) >= n)
+            if self.wanted is not None:
+                f = tuple(x for x in f if x in self.wanted)
+            self.stems[stem] = f
+        return f
 
     def word(self, word: str) -> tuple[int, ...]:
         """Features of a word: its own, then those of its prefixes."""
@@ -68,28 +81,34 @@ class Reader:
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
             bare = word.strip(STRIP) or word
-            f = (feature(bare), *(feature(f"\x01{bare[:n]}") for n in PREFIXES if len(bare) >= n))
-            if self.wanted is not None:
-                f = tuple(x for x in f if x in self.wanted)
-            if len(word) <= 64:
+            f, own = self.stem(bare[: PREFIXES[-1]]), feature(bare)
+            if self.wanted is None or own in self.wanted:
+                f = (own, *f)
+            if len(word) <= 64 and f:
                 self.memo[word] = f
+            elif len(word) <= 64:
+                if len(self.idle) >= MEMO_ENTRIES:
+                    self.idle.clear()
+                self.idle.add(word)
         return f
 
     def read(self, text: str) -> tuple[list[float], set[int]]:
         lower = text.lower()
-        words = Counter(lower.split())
-        n = words.total()
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        changed = np.frombuffer(lower.encode("utf-32-le"), dtype=np.uint32)
+        found = lower.split()
+        words = Counter(found)
+        n = len(found)
+        code, width = ("ascii", np.uint8) if text.isascii() else ("utf-32-le", np.uint32)
+        points = np.frombuffer(text.encode(code), dtype=width)
+        changed = np.frombuffer(lower.encode(code), dtype=width)
         capitals = int((points != changed).sum()) if len(points) == len(changed) else sum(map(str.isupper, text))
-        ink = max(1, sum(len(w) * c for w, c in words.items()))
+        ink = max(1, sum(map(len, found)))
         symbols = int(SYMBOL[points[points < 128]].sum())
         variety = min(1.0, len(words) / (4 * math.sqrt(n))) if n >= 20 else 1.0
         figures = [capitals / ink, symbols / max(1, n), variety, text.count("!") / max(1, n), ink / max(1, n)]
         count: dict[int, int] = {}
         memo = self.memo
-        for word, c in words.items():
-            features = memo.get(word)
+        for word in words.keys() - self.idle:
+            features, c = memo.get(word), words[word]
             for f in self.word(word) if features is None else features:
                 count[f] = count.get(f, 0) + c
         return figures, count.keys() | {f ^ TWICE for f, c in count.items() if c > 1}
