@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tersely.llm.ball_kmeans import cluster_vectors
 from tersely.llm.chat_format import format_chats
 from tersely.llm.common import read_table
 from tersely.llm.decontaminate import contaminated
+from tersely.llm.impact_search import search
 from tersely.llm.jaccard_join import join_similar
 from tersely.llm.mixing import mix_sources
 from tersely.llm.quality_classifier import classify
@@ -59,6 +61,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
@@ -70,6 +80,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -190,3 +202,40 @@ since AS (SELECT *, m - coalesce(max(CASE WHEN now = 0 THEN m END) OVER (PARTITI
 found AS (SELECT doc_id, item_id, shift, any_value(best) AS best, arg_min(matched, p) AS matched FROM since WHERE now = best GROUP BY doc_id, item_id, shift)
 SELECT doc_id, item_id, max(best)::BIGINT AS score, max(matched)::BIGINT AS n_matched FROM found WHERE best >= 12 GROUP BY doc_id, item_id
 """
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL["op11_ranked_search"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS words FROM documents),
+whole AS (SELECT count(*) AS n, sum(len(words))::BIGINT AS l FROM d WHERE len(words) > 0),
+q AS MATERIALIZED (SELECT item_id, text, unnest(list_distinct({TERMS})) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term),
+scores AS (
+  SELECT q.item_id, q.text, tf.r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(d.words) * n) // l))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN weights USING (term) JOIN d ON d.r = tf.r, whole GROUP BY q.item_id, q.text, tf.r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scores JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def kmeans_sql(rounds: int = 10) -> str:
+    """Every vector against every centroid, round by round."""
+    near = "a{0} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, sum((e.x - k.x) * (e.x - k.x))::BIGINT AS d FROM e JOIN k{0} k USING (p) GROUP BY r, c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"
+    move = "k{1} AS MATERIALIZED (SELECT c, p, coalesce(m.x, k.x) AS x FROM k{0} k LEFT JOIN (SELECT c, p, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS x FROM e JOIN a{0} USING (r) GROUP BY c, p) m USING (c, p))"
+    steps = ",\n".join(f"{near.format(i)},\n{move.format(i, i + 1)}" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
+whole AS (SELECT r FROM (SELECT r, unnest(embedding)::DOUBLE AS x FROM v) GROUP BY r HAVING count(x) = 64 AND bool_and(isfinite(x))),
+e AS MATERIALIZED (SELECT r, p, floor(1024 * x)::BIGINT AS x FROM (SELECT r, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS p FROM v SEMI JOIN whole USING (r))),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v SEMI JOIN whole USING (r) QUALIFY c < 8),
+k0 AS MATERIALIZED (SELECT c, p, x FROM first JOIN e USING (r)),
+{steps},
+{near.format(rounds)},
+digests AS (SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM k{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN digests USING (c)
+"""
+
+
+ORACLE_SQL["op13_ball_kmeans"] = kmeans_sql()
