@@ -10,6 +10,7 @@ from tersely.llm.common import read_table
 from tersely.llm.decontaminate import contaminated
 from tersely.llm.impact_search import search
 from tersely.llm.jaccard_join import join_similar
+from tersely.llm.media import text_media
 from tersely.llm.mixing import mix_sources
 from tersely.llm.quality_classifier import classify
 from tersely.llm.quality_rules import apply_rules
@@ -65,6 +66,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(read_table(spark, sf_dir, "documents"))
+
+
 def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
     "op11_ranked_search": op11_ranked_search,
+    "op12_media_columns": op12_media_columns,
     "op13_ball_kmeans": op13_ball_kmeans,
 }
 
@@ -239,3 +245,43 @@ FROM a{rounds} JOIN v USING (r) JOIN digests USING (c)
 
 
 ORACLE_SQL["op13_ball_kmeans"] = kmeans_sql()
+
+
+def media_sql() -> str:
+    """The file of each text in hexadecimal, box by box, and the CRC by its table."""
+
+    def name(kind: str) -> str:
+        return f"'{kind.encode().hex()}'"
+
+    def u32(*values: object) -> str:
+        return " || ".join(f"printf('%08x', {v})" for v in values)
+
+    def box(kind: str, body: str) -> str:
+        return f"printf('%08x', length({body}) // 2 + 8) || {name(kind)} || {body}"
+
+    matrix = u32(65536, 0, 0, 0, 65536, 0, 0, 0, 1073741824)
+    entry = u32(86) + " || " + name("raw ") + " || '0000000000000001' || repeat('00', 16) || '0010000c0048000000480000000000000001' || repeat('00', 32) || '0028ffff'"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+sized AS (SELECT *, length(h) // 2 AS n_bytes, greatest(1, (length(h) // 2 + 191) // 192) AS n FROM d),
+p AS MATERIALIZED (SELECT r, doc_id, n_bytes, n, h || repeat('20', 192 * n - n_bytes) AS payload, (n + 7) // 8 AS chunks, n % 8 AS rest, (n + 11) // 12 AS keys, (n >= 8)::INT + (n % 8 > 0)::INT AS runs,
+  593 + 4 * ((n + 11) // 12) + 12 * ((n >= 8)::INT + (n % 8 > 0)::INT) + 4 * ((n + 7) // 8) AS start FROM sized),
+lists AS (SELECT r, (SELECT string_agg(printf('%08x', 12 * i + 1), '' ORDER BY i) FROM unnest(range(keys)) t(i)) AS key_list, (SELECT string_agg(printf('%08x', start + 1536 * i), '' ORDER BY i) FROM unnest(range(chunks)) t(i)) AS places,
+  (SELECT string_agg(start + 2304 * i || '+192', ',' ORDER BY i) FROM unnest(range(keys)) t(i)) AS ranges FROM p),
+stbl AS (SELECT *, {box("stsd", f"({u32(0, 1)} || {entry})")} || {box("stts", f"({u32(0, 1, 'n', 1)})")} || {box("stss", f"({u32(0, 'keys')} || key_list)")}
+  || {box("stsc", f"({u32(0, 'runs')} || CASE WHEN n >= 8 THEN {u32(1, 8, 1)} ELSE '' END || CASE WHEN rest > 0 THEN {u32('chunks', 'rest', 1)} ELSE '' END)")} || {box("stsz", f"({u32(0, 192, 'n')})")} || {box("stco", f"({u32(0, 'chunks')} || places)")} AS stbl FROM p JOIN lists USING (r)),
+minf AS (SELECT *, {box("vmhd", f"({u32(1, 0, 0)})")} || {box("dinf", f"({u32(28)} || {name('dref')} || {u32(0, 1, 12)} || {name('url ')} || {u32(1)})")} || {box("stbl", "stbl")} AS minf FROM stbl),
+mdia AS (SELECT *, {box("mdhd", f"({u32(0, 0, 0, 25, 'n', 0x55C40000)})")} || {box("hdlr", f"({u32(0, 0)} || {name('vide')} || {u32(0, 0, 0)} || {name('frames')} || '00')")} || {box("minf", "minf")} AS mdia FROM minf),
+trak AS (SELECT *, {box("tkhd", f"({u32(7, 0, 0, 1, 0, 'n', 0, 0, 0, 0)} || {matrix} || {u32(16 << 16, 12 << 16)})")} || {box("mdia", "mdia")} AS trak FROM mdia),
+moov AS (SELECT *, {box("mvhd", f"({u32(0, 0, 0, 25, 'n', 65536)} || '0100' || repeat('00', 10) || {matrix} || repeat('00', 24) || {u32(2)})")} || {box("trak", "trak")} AS moov FROM trak),
+media AS (SELECT *, {u32(24)} || {name("ftyp")} || {name("qt  ")} || {u32(0)} || {name("qt  isom")} || {box("moov", "moov")} || {box("mdat", "payload")} AS media FROM moov),
+crcs(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crcs WHERE k < 8),
+crc(r, i, c) AS (SELECT r, 0, 4294967295::BIGINT FROM p UNION ALL
+  SELECT crc.r, crc.i + 1, xor(c >> 8, v) FROM crc JOIN p USING (r) JOIN crcs ON k = 8 AND crcs.i = xor(c & 255, ('0x' || substr(payload, length(payload) - 31 + 2 * crc.i, 2))::BIGINT) WHERE crc.i < 16)
+SELECT doc_id, n_bytes, 192 * n AS payload_bytes, sha256(unhex(payload)) AS payload_sha256, xor(c, 4294967295) AS tail_crc32, length(media) // 2 AS media_bytes, sha256(unhex(media)) AS media_sha256,
+  'raw :' || 40 * n || ':' || n || ':' || ranges AS feature, 'raw ' AS codec, 40 * n AS duration_ms, keys AS n_keyframes
+FROM media JOIN crc USING (r) WHERE i = 16
+"""
+
+
+ORACLE_SQL["op12_media_columns"] = media_sql()

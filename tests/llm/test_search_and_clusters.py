@@ -4,15 +4,18 @@ import hashlib
 import math
 import random
 import re
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tests.llm.corpus import FILL, EXTRA, edge_rows, edge_table, empty_table, random_texts, table
-from tersely.llm import ball_kmeans, impact_search
+from tests.llm.corpus import EXTRA, FILL, LONG, edge_rows, edge_table, empty_table, random_texts, table
+from tersely.llm import ball_kmeans, impact_search, media
 from tersely.llm.ball_kmeans import Balls, cluster_vectors
 from tersely.llm.impact_search import search
+from tersely.llm.media import box, full, media_columns, store, text_media
 
 # ---- ranked search
 
@@ -148,3 +151,111 @@ def test_balls_compare_few_and_miss_none():
     assert home.tolist() == every.argmin(axis=0).tolist() and distance.tolist() == every.min(axis=0).tolist()
     again, _, compared = balls.assign(grid, home)
     assert again.tolist() == home.tolist() and len(grid) <= compared < 2 * len(grid) < all_compared
+
+
+# ---- media columns
+
+
+def media_rows(texts):
+    out = []
+    for i, text in texts:
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        out.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])))
+    return Counter(out)
+
+
+def test_media_of_texts(spark):
+    texts = [(i, "é" * i + "x" * (37 * i)) for i in range(120)]
+    rows = text_media(table(spark, [t for _, t in texts]).repartition(2)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == media_rows(texts)
+    for r in rows:
+        codec, ms, n, ranges = r.feature.split(":")
+        places = [tuple(map(int, x.split("+"))) for x in ranges.split(",")]
+        first = r.media_bytes - r.payload_bytes
+        assert (codec, int(ms), int(n)) == ("raw ", r.payload_bytes // 192 * 40, r.payload_bytes // 192)
+        assert places == [(first + 192 * k, 192) for k in range(0, int(n), 12)] and r.n_keyframes == len(places)
+
+
+def test_media_of_texts_edges(spark, monkeypatch):
+    monkeypatch.setattr(media, "BATCH_BYTES", 2000)
+    rows = text_media(edge_table(spark)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == media_rows([(i, t) for i, t, *_ in edge_rows()])
+    assert len({(r.media_sha256, r.feature) for r in rows if r.n_bytes == len(LONG)}) == 1
+    assert text_media(empty_table(spark)).count() == 0
+
+
+def u32(*values):
+    return struct.pack(f">{len(values)}I", *values)
+
+
+def two_tracks(first):
+    """A film of five frames of given sizes in chunks of 2, 2 and 1, and sound of constant size in two chunks between them."""
+    sizes, at = [10, 20, 30, 40, 50], first
+    picture = [at, at + 30 + 16, at + 30 + 16 + 70 + 16]
+    sound = [at + 30, at + 30 + 16 + 70]
+    video = box(b"stbl", full(b"stsd", u32(1), box(b"avc1", bytes(24), struct.pack(">HH", 640, 360), bytes(50))), full(b"stts", u32(1, 5, 512)), full(b"stss", u32(2, 1, 4)), full(b"stsc", u32(2, 1, 2, 1, 3, 1, 1)), full(b"stsz", u32(0, 5, *sizes)), full(b"stco", u32(3, *picture)))
+    audio = box(b"stbl", full(b"stsd", u32(1), box(b"twos", bytes(28))), full(b"stts", u32(1, 8, 1)), full(b"stsc", u32(1, 1, 4, 1)), full(b"stsz", u32(4, 8)), full(b"co64", u32(2), struct.pack(">2Q", *sound)))
+    track = lambda n, kind, mdhd, stbl: box(b"trak", full(b"tkhd", u32(0, 0, n, 0, 0)), box(b"mdia", mdhd, full(b"hdlr", u32(0), kind, bytes(12)), box(b"minf", stbl)))
+    long_mdhd = box(b"mdhd", bytes([1, 0, 0, 0]), bytes(16), struct.pack(">IQ", 8000, 8), bytes(4))
+    moov = box(b"moov", track(1, b"vide", full(b"mdhd", u32(0, 0, 12800, 0, 0)), video), box(b"uuid", bytes(16), b"own"), track(2, b"soun", long_mdhd, audio))
+    return moov, picture, sound, sizes
+
+
+@pytest.mark.parametrize("moov_first", [True, False])
+def test_boxes_of_two_tracks(moov_first):
+    payload = bytes(range(182))
+    mdat = struct.pack(">I4sQ", 1, b"mdat", 16 + len(payload)) + payload
+    head = box(b"ftyp", b"isom", bytes(4)) + box(b"free")
+    first = len(head) + 16 + (len(two_tracks(0)[0]) if moov_first else 0)
+    moov, picture, sound, sizes = two_tracks(first)
+    content = head + (moov + mdat if moov_first else mdat + moov)
+    video, audio = (t.row() for t in media.probe(content))
+    assert (video["track"], video["handler"], video["codec"], video["timescale"], video["duration"], video["width"], video["height"]) == (1, "vide", "avc1", 12800, 2560, 640, 360)
+    assert video["keyframes"] == [{"offset": picture[0], "length": 10}, {"offset": picture[1] + 30, "length": 40}] and video["n_samples"] == 5 and video["n_bytes"] == 150
+    assert (audio["codec"], audio["timescale"], audio["duration"], audio["n_samples"]) == ("twos", 8000, 8, 8)
+    assert audio["keyframes"] == [{"offset": a, "length": 16} for a in sound] and not audio["damaged"]
+    tracks = media.probe(content)
+    assert media.samples(content, tracks[0]) == payload[:30] + payload[46:116] + payload[132:182] and media.samples(content, tracks[1]) == payload[30:46] + payload[116:132]
+    if moov_first:  # the head suffices
+        assert [t.row() for t in media.probe(content[: first - 16])] == [video, audio]
+
+
+def test_fragments():
+    trak = box(b"trak", full(b"tkhd", u32(0, 0, 7, 0, 0)), box(b"mdia", full(b"mdhd", u32(0, 0, 1000, 0, 0)), full(b"hdlr", u32(0), b"vide", bytes(12)), box(b"minf", box(b"stbl", full(b"stsd", u32(1), box(b"hvc1", bytes(78))), full(b"stsz", u32(0, 0))))))
+    head = box(b"ftyp", b"iso6", bytes(4)) + box(b"moov", trak, box(b"mvex", full(b"trex", u32(7, 1, 40, 0, 0x10000))))
+    own = full(b"tfhd", u32(7), flags=0x020000)
+    run = lambda place: full(b"trun", u32(3), struct.pack(">i", place), u32(0x2000000), u32(5, 6, 7), flags=0x205)
+    moof = lambda place: box(b"moof", full(b"mfhd", u32(1)), box(b"traf", own, run(place)))
+    one = moof(len(moof(0)) + 8) + box(b"mdat", b"a" * 18)
+    same = full(b"tfhd", u32(7, 50, 9, 0x10000), flags=0x020038)
+    again = lambda place: box(b"moof", box(b"traf", same, full(b"trun", u32(4), struct.pack(">i", place), u32(0), flags=5)))
+    content = head + one + again(len(again(0)) + 8) + box(b"mdat", b"b" * 36)
+    (track,) = media.probe(content)
+    assert (track.codec, track.n_samples, track.duration, track.damaged) == ("hvc1", 7, 3 * 40 + 4 * 50, False)
+    assert media.samples(content, track) == b"a" * 18 + b"b" * 36
+    assert [content[a : a + n] for a, n in track.keyframes.tolist()] == [b"a" * 5, b"b" * 9]
+
+
+def test_damaged_files_end_defined(spark):
+    moov, *_ = two_tracks(0)
+    good = box(b"ftyp", b"isom", bytes(4)) + moov
+    r = random.Random(6)
+    for _ in range(3000):
+        broken = bytearray(good)
+        for _ in range(r.randint(1, 6)):
+            broken[r.randrange(len(broken))] = r.choice((0, 1, 127, 255, r.randrange(256)))
+        for t in media.probe(bytes(broken)):
+            t.row()
+    assert [t.damaged for t in media.probe(good + b"\0\0\0\5abcd")] == [True, True] and media.probe(good[:-1]) == []
+    hostile = store(b"x" * 192).replace(u32(192, 1), u32(192, 0xFFFFFFFF))
+    assert [t.damaged for t in media.probe(hostile)] == [True]
+    nested = b""
+    for _ in range(5000):
+        nested = box(b"moov", nested)
+    assert media.probe(nested) == [] and media.probe(box(b"moov", box(b"trak", nested)))[0].damaged
+    rows = spark.createDataFrame([(1, good, "a"), (2, None, "b"), (None, b"text", None), (3, b"", "c")], "doc_id long, media binary, `tracks` string")
+    with pytest.raises(ValueError, match="tracks"):
+        media_columns(rows)
+    got = {r.own: [t.codec for t in r.tracks] for r in media_columns(rows.withColumnRenamed("tracks", "own")).collect()}
+    assert got == {"a": ["avc1", "twos"], "b": [], None: [], "c": []}
