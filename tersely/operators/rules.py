@@ -2,7 +2,7 @@
 
 A rule file is YAML or JSON: `spec_version` (beginning with "0."), `rules`, each with `id`, `pattern`, `transform`, `invariants`.
 Patterns: frame-run, line-match, template-dedup, prefix-factor; transforms: collapse-run, delete, rewrite, dedup, factor-prefix.
-`apply_rules` folds all rules over each text in one Arrow UDF; `line_form` compiles a rule of one-line units to windows."""
+`apply_rules` folds all rules over each text in one Arrow UDF; `line_form` compiles a rule to windows over exploded lines."""
 
 from __future__ import annotations
 
@@ -224,7 +224,7 @@ def matches(line: Column, pattern: dict) -> Column:
 
 
 def line_form(lines: DataFrame, rule: Rule, key: str = "doc_id") -> DataFrame:
-    """A rule (units of one line) over exploded lines: `key, n, line`. The error check is `veto`'s."""
+    """A rule over exploded lines: `key, n, line`, which any number of rules may follow. The error check is `veto`'s."""
     if rule.pair not in PAIRS:
         raise RuleError(f"{rule.id}: no transform {rule.pair[1]} for {rule.pair[0]}")
     kind = rule.transform["kind"]
@@ -240,11 +240,11 @@ def line_form(lines: DataFrame, rule: Rule, key: str = "doc_id") -> DataFrame:
                 new = F.regexp_replace(new, v, by)
         return lines.select(key, "n", F.when(hit, new).otherwise(line).alias("line"))
     if kind == "collapse-run":
-        if int(rule.pattern.get("unit", 1)) != 1:
-            raise RuleError(f"{rule.id}: units of several lines need apply_rules")
-        before, _, after = rule.transform["replacement"].partition("{n}")
-        summary = F.concat(F.lit(before), (F.col("count") - 2).cast("string"), F.lit(after))
-        return windows.collapse_runs(lines, matches(line, rule.pattern), max(2, int(rule.transform.get("min_run", 3))), summary, True, key)
+        unit, least = max(1, int(rule.pattern.get("unit", 1))), max(2, int(rule.transform.get("min_run", 3)))
+        summary = F.replace(F.lit(rule.transform["replacement"]), F.lit("{n}"), (F.col("count") - 2).cast("string"))
+        whole = F.lead("n", unit - 1).over(windows.ordered(key)).isNotNull()  # a unit that the text cuts is none
+        size = F.when(matches(line, rule.pattern) & whole, unit).otherwise(0)
+        return windows.collapse_units(lines.withColumn("unit_size", size), F.col("unit_size"), unit, least, summary, True, key)
     if kind == "dedup":
         tpl = line
         for n in rule.pattern.get("normalize", []):
@@ -255,11 +255,11 @@ def line_form(lines: DataFrame, rule: Rule, key: str = "doc_id") -> DataFrame:
         form = F.replace(F.replace(F.lit(rule.transform.get("format", "[×{n}] {exemplar}")), F.lit("{n}"), F.size("rows").cast("string")), F.lit("{exemplar}"), F.col("rows")[0]["line"])
         folded = F.when(F.size("rows") >= max(2, int(rule.transform.get("min_run", 2))), F.array(F.struct(F.col("rows")[0]["n"].alias("n"), form.alias("line")))).otherwise(F.col("rows"))
         return out.select(key, F.explode(folded).alias("x")).select(key, "x.n", "x.line")
-    found = windows.common_prefix(lines, int(rule.pattern.get("min_lines", 4)), key).select(F.col(key).alias("k"), "prefix")
+    found = windows.common_prefix(lines, int(rule.pattern.get("min_lines", 4)), key).select(F.col(key).alias("k"), "prefix", "begin")
     told = lines.join(found, F.col(key) == F.col("k"), "left")
     header = F.replace(F.lit(rule.transform["replacement"]), F.lit("{prefix}"), F.col("prefix"))
     row = F.concat(F.lit("  "), F.substring("line", F.length("prefix") + 1, F.length("line")))
-    rows = F.when(F.col("prefix").isNull(), F.array("line")).when(F.col("n") == 0, F.array(header, row)).otherwise(F.array(row))
+    rows = F.when(F.col("prefix").isNull(), F.array("line")).when(F.col("n") == F.col("begin"), F.array(header, row)).otherwise(F.array(row))
     return told.select(key, "n", F.posexplode(rows).alias("part", "line")).select(key, (F.col("n") * 2 + F.col("part")).alias("n"), "line")
 
 

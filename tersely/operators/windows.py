@@ -40,24 +40,71 @@ def drop_passing_tests(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return told.filter(~(F.col("tests") & text.is_passing_test(F.col("line")))).select(key, "n", "line")
 
 
-def collapse_runs(lines: DataFrame, hit: Column, least: int, summary: Column, keep_last: bool, key: str = "doc_id") -> DataFrame:
-    """Runs of at least `least` lines that `hit` as the first, `summary` (of `count` and `first`), and maybe the last line."""
-    told = lines.withColumn("hit", hit)
-    runs = islands(told, ~F.col("hit") | ~F.coalesce(F.lag("hit").over(ordered(key)), F.lit(False)), key)
+def unit_starts(lines: DataFrame, size: Column, most: int, key: str = "doc_id") -> DataFrame:
+    """The lines with `size` (of the unit that a line would begin, 0 for none, at most `most`) and `first`: whether a unit or a
+    line of its own begins here, going on from the document's first line and from the end of each unit.
+
+    Going on is a machine whose state is how many lines of a unit are still to come, so each line is a function from state to
+    state. Functions of neighbours are joined in pairs, of those pairs, and so on: after t rounds a line holds what the
+    2^t lines up to it do together, by a lag over the same partitions and order, so all rounds share one exchange. Rounds are
+    only needed for the longest stretch in which the state depends on what was before: a line that no unit can reach ends it."""
+    w = ordered(key)
+    told = lines.withColumn("size", size)
+    if most < 2:
+        return told.withColumn("first", F.lit(True))
+    place = F.row_number().over(w)
+    reach = F.max(F.when(F.col("size") > 1, F.col("place") + F.col("size") - 1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    told = told.withColumn("place", place)
+    sure = F.coalesce(reach < F.col("place"), F.lit(True))  # no unit that might begin before reaches this line
+    stretches = islands(told.withColumn("sure", sure), F.col("sure"), key)
+    longest = stretches.groupBy(key, "run").agg(F.count("*").alias("lines")).agg(F.max("lines")).first()[0] or 1
+    step = F.array(F.greatest(F.col("size"), F.lit(1)) - 1, *(F.lit(s - 1) for s in range(1, most)))
+    told = told.withColumn("then", step)
+    for t in range(max(0, longest - 2).bit_length()):
+        before = F.lag("then", 1 << t).over(w)
+        told = told.withColumn("then", F.when(before.isNull(), F.col("then")).otherwise(F.transform(before, lambda s: F.col("then")[s])))
+    # A sure line's state is 0 whatever was before; others follow from the line before, whose function covers its stretch.
+    return told.withColumn("first", F.coalesce(F.lag("then").over(w)[0] == 0, F.lit(True))).drop("then", "place")
+
+
+def collapse_units(lines: DataFrame, size: Column, most: int, least: int, summary: Column, keep_last: bool, key: str = "doc_id") -> DataFrame:
+    """Runs of at least `least` units that follow one another as the first unit, `summary` (of `count` units and the `head`
+    line of the first), and maybe the last unit. `size`: lines of the unit that begins at a line, 0 for none, at most `most`."""
+    w = ordered(key)
+    told = unit_starts(lines, size, most, key).withColumn("unit", F.col("first") & (F.col("size") > 0))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # The unit that holds a line: the last that begins up to it; lines of their own hold themselves.
+    told = told.withColumn("holder", F.last(F.when(F.col("first"), F.struct("n", "unit")), True).over(upto))
+    inside = F.col("holder.unit")
+    told = told.withColumn("inside", inside)
+    runs = islands(told, ~F.col("inside") | ~F.coalesce(F.lag("inside").over(w), F.lit(False)), key)
     within = Window.partitionBy(key, "run")
-    sized = runs.withColumn("count", F.count("*").over(within)).withColumn("at", F.row_number().over(within.orderBy("n"))).withColumn("first", F.min_by("line", "n").over(within))
-    folded = F.col("hit") & (F.col("count") >= least)
-    kept = sized.filter(~folded | (F.col("at") == 1) | (F.lit(keep_last) & (F.col("at") == F.col("count"))))
-    # A folded run's first line carries the summary line with it.
-    rows = F.when(folded & (F.col("at") == 1), F.array("line", summary)).otherwise(F.array("line"))
+    count = F.count(F.when(F.col("unit"), 1)).over(within)
+    last = F.max(F.when(F.col("unit"), F.col("n"))).over(within)
+    sized = runs.withColumn("count", count).withColumn("head", F.min_by("line", "n").over(within)).withColumn("begin", F.min("n").over(within)).withColumn("last", last)
+    folded = F.col("inside") & (F.col("count") >= least)
+    in_first, in_last = F.col("holder.n") == F.col("begin"), F.col("holder.n") == F.col("last")
+    # The last line of a folded run's first unit carries the summary with it.
+    ends = folded & in_first & (F.col("n") == F.max(F.when(in_first, F.col("n"))).over(within))
+    kept = sized.withColumn("ends", ends).filter(~folded | in_first | (F.lit(keep_last) & in_last))
+    rows = F.when(F.col("ends"), F.array("line", summary)).otherwise(F.array("line"))
     return kept.select(key, "n", F.posexplode(rows).alias("part", "line")).select(key, (F.col("n") * 2 + F.col("part")).alias("n"), "line")
 
 
+def frame_size(key: str = "doc_id") -> Column:
+    """Lines of the framework frame that would begin at a line: 0 for none, 2 where a source line belongs to it."""
+    line, after = F.col("line"), F.lead("line").over(ordered(key))
+    t, body = left_trimmed(line), left_trimmed(after)
+    python = t.startswith('File "') & after.startswith("    ") & (body != "") & ~text.any_of([body.startswith(p) for p in ('File "', "at ", "from ")])
+    go = t.startswith("runtime.") & after.startswith("\t") & body.contains(".go:")
+    return F.when(~text.is_framework_frame(line), 0).when(F.coalesce(python | go, F.lit(False)), 2).otherwise(1)
+
+
 def collapse_frames(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Framework frames of one line each: runs of three or more as the first, then how many were left out."""
-    indent = F.regexp_extract("first", r"(?U)^(\s*)", 1)
+    """Runs of three framework frames or more as the first, then how many were left out."""
+    indent = F.regexp_extract("head", r"(?U)^(\s*)", 1)
     summary = F.concat(indent, F.lit("... "), (F.col("count") - 1).cast("string"), F.lit(f" {fixed.OMITTED}"))
-    return collapse_runs(lines, text.is_framework_frame(F.col("line")), fixed.FRAME_RUN, summary, False, key)
+    return collapse_units(lines.withColumn("frame", frame_size(key)), F.col("frame"), 2, fixed.FRAME_RUN, summary, False, key)
 
 
 def merge_prefixes(lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -85,12 +132,13 @@ def shared(a: Column, b: Column) -> Column:
 
 
 def common_prefix(lines: DataFrame, least_lines: int = 4, key: str = "doc_id") -> DataFrame:
-    """`key, lines, prefix`: what all lines of a document begin with, if there are enough lines and two characters of it.
+    """`key, lines, begin, prefix`: what all lines of a document, the first numbered `begin`, begin with, if there are enough
+    lines and two characters of it.
 
     Of strings in order, the common prefix of all is that of the least and the greatest."""
-    ends = lines.groupBy(key).agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("lines"))
+    ends = lines.groupBy(key).agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("lines"), F.min("n").alias("begin"))
     out = ends.withColumn("size", shared(F.col("a"), F.col("b")))
-    return out.filter((F.col("lines") >= least_lines) & (F.col("size") >= 2)).select(key, "lines", F.substring("a", F.lit(1), F.col("size")).alias("prefix"))
+    return out.filter((F.col("lines") >= least_lines) & (F.col("size") >= 2)).select(key, "lines", "begin", F.substring("a", F.lit(1), F.col("size")).alias("prefix"))
 
 
 def best_prefix(lines: DataFrame, key: str = "doc_id") -> DataFrame:

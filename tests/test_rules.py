@@ -30,12 +30,12 @@ def test_each_pair_in_both_forms(spark, rule, before, after):
     assert fold("none", [(rule, compiled(rule))]) == ("none", [], [])
 
 
-def test_units_of_two_lines():
+def test_units_of_two_lines(spark):
     rule = Rule("u", {**FRAMES.pattern, "unit": 2}, FRAMES.transform)
     rows = [y for i in range(4) for y in (f"at lib.{i}", f"  code {i}")]
     assert fold("\n".join(["head", *rows, "tail"]), [(rule, compiled(rule))])[0] == "\n".join(["head", *rows[:2], "[2 left out]", *rows[-2:], "tail"])
-    with pytest.raises(RuleError):
-        line_form(None, rule)
+    docs = spark.createDataFrame([(1, "\n".join(["head", *rows, "tail"]))], "doc_id long, text string")
+    assert assemble(line_form(explode_lines(docs), rule)).first().text == fold("\n".join(["head", *rows, "tail"]), [(rule, compiled(rule))])[0]
 
 
 def test_a_rule_that_loses_errors_is_rejected(spark):
