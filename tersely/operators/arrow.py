@@ -72,13 +72,3 @@ def layer2(text: Column) -> Column:
 
     return run(text)
 
-
-def line_diff(before: Column, after: Column, context: int = 3) -> Column:
-    """Unified diff of two texts' lines."""
-    import difflib
-
-    @F.pandas_udf("string")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(difflib.unified_diff(kernels.lines(x or ""), kernels.lines(y or ""), "before", "after", n=context, lineterm="")) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return run(before, after)

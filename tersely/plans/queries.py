@@ -14,6 +14,7 @@ from tersely.functions import tokens
 from tersely.functions.lines import assemble, explode_lines, lines_of
 from tersely.operators import arrow, benchmarks, cache, context, metrics, reports, windows
 from tersely.operators.rules import Rule, apply_rules, line_form
+from tersely.plans import traces
 from tersely.plans.compaction import compact, discover
 
 
@@ -261,7 +262,6 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prefix_factor": line_query(None, lambda t: assemble(t).select("doc_id", arrow.factor_prefix(text).alias("text"))),
         "suffix_factor": line_query(None, lambda t: assemble(t).select("doc_id", arrow.factor_suffix(text).alias("text"))),
         "rules_fold": line_query(typed(STACK, "ValueError: x"), lambda t: assemble(t).select("doc_id", apply_rules(text, [list(RULES.values())]).alias("r")).select("doc_id", "r.output", *(F.array_join(f"r.{c}", ",").alias(c) for c in ("applied", "rejected")))),
-        "line_diff": on_documents(arrow.line_diff(text, arrow.block_dedup(text)).alias("diff")),
         "token_count": lambda s, d: documents(s, d).select("doc_id", tokens.token_count(text, vocabulary()).alias("tokens")),
         "pipeline_compress": compaction,
         "lines_per_document": on_documents(F.size(lines_of(text)).cast("long").alias("lines")),
@@ -275,7 +275,7 @@ NAMES = """
     session_summary summary_window history_topk records_since max_record_id prune_preview pruned winning_layer command_top8
     layer_distribution weekly_series weighted_ratio latency_stats model_speed cache_key cache_lookup_ttl cache_stale cache_upsert
     intent_recent intent_decay intent_format meta_gate meta_missing meta_category usage_rollup layer_tally ab_delta format_average
-    format_pivot discover_top10 tail_stream block_dedup prefix_factor suffix_factor rules_fold line_diff token_count pipeline_compress
+    format_pivot discover_top10 tail_stream block_dedup prefix_factor suffix_factor rules_fold token_count pipeline_compress
     lines_per_document flagged_runs gain gain_chart graph_chart graph_summary history_table layer_steps state_view metrics_json floor_check text_cap
     text_helpers block_dedup_logs
 """.split()
@@ -285,4 +285,4 @@ def lazily(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: catalogue()[name](spark, sf_dir)
 
 
-QUERIES = {name: lazily(name) for name in NAMES}
+QUERIES = {name: lazily(name) for name in NAMES} | traces.QUERIES

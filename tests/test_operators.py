@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tersely.functions import fixed
 from tersely.functions import text as x
 from tersely.functions.lines import assemble, explode_lines, lines_of
-from tersely.operators import arrow, kernels, windows
+from tersely.operators import arrow, diff, kernels, windows
 
 SAMPLES = [
     "", "\n", "a", "a\n", "a\r\nb\r\n", "a\n\nb\n\n\n  \n", "x\r", "\n\n",
@@ -139,7 +139,7 @@ def test_arrow_forms_keep_nulls(spark):
     for step in (arrow.template_dedup, arrow.block_dedup, arrow.factor_prefix, arrow.factor_suffix, arrow.shorten_paths, arrow.collapse_frames):
         assert frame.select("id", step(F.col("t")).alias("o")).filter("o is null").count() == 1
     assert frame.select("id", arrow.layer1(F.col("t")).alias("o")).filter("o.output is null").count() == 1
-    assert frame.filter("id = 3").select(arrow.line_diff(F.col("t"), F.lit("a\nb"))).first()[0].count("\n-") == 2
+    assert frame.filter("id = 3").select(diff.line_diff(F.col("t"), F.lit("a\nb"))).first()[0].count("\n-") == 2
 
 
 LINE = st.one_of(st.from_regex(r"[a-zA-Z0-9 /.:_-]{1,80}", fullmatch=True), st.just("WARN retry 3"), st.just("test a::b ... ok"), st.just(""), st.just("src/a.rs:10:5: error: bad"), st.just("ERROR: ValueError: x"))
