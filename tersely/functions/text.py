@@ -29,9 +29,24 @@ def replaced(text: Column, steps: tuple, unicode: bool) -> Column:
     return functools.reduce(lambda c, s: F.regexp_replace(c, dialect(s[0], unicode), s[1]), steps, text)
 
 
+#: The template steps that need two numbers joined by a dot, and those that need a long hexadecimal run (or its placeholder).
+DOTTED_STEPS, HEX_STEPS = (4, 5), (1, 2, 3)
+
+
 def template(line: Column, unicode: bool = True) -> Column:
-    """A line with its volatile parts (times, ids, versions, numbers) replaced by placeholders."""
-    return replaced(line, fixed.TEMPLATE_STEPS, unicode)
+    """A line with its volatile parts (times, ids, versions, numbers) replaced by placeholders.
+
+    Most lines have nothing that a step could replace; three cheap searches tell which steps are worth their patterns."""
+    digits = line.rlike(dialect(r"\d", unicode))
+    dotted = line.rlike(dialect(r"\d\.\d", unicode))
+    hexes = line.rlike("[0-9a-fA-F]{8}") | line.contains("<HEX>-")
+
+    def without(*steps: int) -> Column:
+        return replaced(line, tuple(s for i, s in enumerate(fixed.TEMPLATE_STEPS) if i not in steps), unicode)
+
+    some = F.when(dotted, without(*HEX_STEPS)).otherwise(without(*HEX_STEPS, *DOTTED_STEPS))
+    with_hexes = F.when(dotted, without()).otherwise(without(*DOTTED_STEPS))
+    return F.when(hexes, with_hexes).when(digits | line.startswith("> Task :"), some).otherwise(line)
 
 
 def opaque(text: Column, unicode: bool = True) -> Column:
@@ -95,16 +110,17 @@ def is_cargo_progress(line: Column) -> Column:
 
 
 def is_progress(line: Column) -> Column:
-    t = F.regexp_replace(line, r"^\r+", "")
+    t = F.when(line.startswith("\r"), F.regexp_replace(line, r"^\r+", "")).otherwise(line)
     return ((t == "") & line.contains("\r")) | any_of([t.contains(p) for p in fixed.PROGRESS]) | is_cargo_progress(t)
 
 
 def is_wavy_underline(line: Column) -> Column:
-    return line.rlike(r"(?U)^[~^\s]+$") & (F.regexp_count(line, F.lit(r"[~^]")) >= 3)
+    found = line.rlike(r"(?U)^[~^\s]+$") & (F.regexp_count(line, F.lit(r"[~^]")) >= 3)
+    return F.when(line.contains("~") | line.contains("^"), found).otherwise(False)
 
 
 def is_diff_metadata(line: Column) -> Column:
-    return (line.startswith("index ") & F.substring(line, 7, 20).contains("..")) | line.rlike(r"^--- (?:a/|/dev/null$)|^\+\+\+ (?:b/|/dev/null$)")
+    return (line.startswith("index ") & F.substring(line, 7, 20).contains("..")) | any_of([line.startswith(f"{s} {p}/") | (line == f"{s} /dev/null") for s, p in (("---", "a"), ("+++", "b"))])
 
 
 def is_noise(line: Column) -> Column:
@@ -116,15 +132,22 @@ def is_marker(line: Column) -> Column:
 
 
 def is_framework_frame(line: Column) -> Column:
-    """By the table of families; a Ruby frame also by its file."""
-    t = left_trimmed(line)
+    """By the table of families; a Ruby frame also by its file.
+
+    Families with starts are looked at only for lines that one anchored pattern, the first characters of all starts, lets through."""
+    t = F.when(line.rlike(r"(?U)^\s"), left_trimmed(line)).otherwise(line)
 
     def any_family(families: tuple) -> Column:
         return any_of([any_of([t.startswith(s) for s in starts] or [F.lit(True)]) & any_of([t.contains(p) for p in parts] or [F.lit(True)]) for _, starts, parts in families])
 
-    ruby = t.contains(".rb:") & any_of([t.contains(p) for p in fixed.RUBY_PARTS])
+    begun, free = ([f for f in fixed.FRAME_FAMILIES if bool(f[1]) is b] for b in (True, False))
+    heads = {s.split(" ")[0] + " " if " " in s else s for _, starts, _ in begun for s in starts}
+    may = line.rlike(rf"(?U)^\s*+(?:{'|'.join(map(re.escape, sorted(heads)))})")
+    ruby = F.when(line.contains(".rb:"), any_of([t.contains(p) for p in fixed.RUBY_PARTS])).otherwise(False)
     users = any_of([t.startswith(u) for u in fixed.USER_FRAMES])
-    return ruby | F.when(users, any_family(fixed.BEFORE_USER_FRAMES)).otherwise(any_family(fixed.FRAME_FAMILIES))
+    before = [f for f in fixed.BEFORE_USER_FRAMES if not f[1]]
+    by_start = F.when(may, any_family(tuple(begun))).otherwise(False)  # no user's frame has such a start
+    return ruby | by_start | any_family(tuple(before)) | (any_family(tuple(f for f in free if f not in before)) & ~users)
 
 
 def is_test_output(text: Column) -> Column:
@@ -170,11 +193,12 @@ def share_over(text: Column, pattern: str, percent: int) -> Column:
 
 
 def is_diff(text: Column) -> Column:
-    return any_of([text.startswith(p) for p in ("diff --git", "--- ", "+++ ")]) | (line_starts(text, "@@ ") >= 2)
+    return any_of([text.startswith(p) for p in ("diff --git", "--- ", "+++ ")]) | F.when(text.contains("@@ "), line_starts(text, "@@ ") >= 2).otherwise(False)
 
 
 def is_log(text: Column) -> Column:
-    return share_over(text, "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", 30) | share_over(text, "|".join(re.escape(v) for v in fixed.LEVELS), 30)
+    dated, marked = r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", "|".join(re.escape(v) for v in fixed.LEVELS)
+    return share_over(text, dated, 30) | F.when(any_of([text.contains(v) for v in fixed.LEVELS]), share_over(text, marked, 30)).otherwise(False)
 
 
 def detect(text: Column) -> Column:

@@ -1,5 +1,6 @@
 """Line operators: literal cases, the kernels against the window forms, and invariants."""
 
+import random
 import re
 
 import pytest
@@ -39,6 +40,34 @@ def test_lines_are_the_same_in_both_forms(docs):
     assert got == {i: kernels.lines(t) for i, t in enumerate(SAMPLES)}
 
 
+def random_lines(n, seed):
+    """Lines of literals that the expressions look for, their parts, and what volatile parts are made of."""
+    r = random.Random(seed)
+    literals = [y for _, starts, parts in fixed.FRAME_FAMILIES for y in starts + parts] + [*fixed.USER_FRAMES, *fixed.PROGRESS, *fixed.CARGO_VERBS, *fixed.MARKER_STARTS, fixed.MARKER_PART]
+    volatile = ["2024-01-02T03:04:05.678Z", "2024-01-02 03:04:05,1+01:00", "123e4567-e89b-12d3-a456-426614174000", "deadbeef", "0123456789ABCDEF", "<HEX>-abc12", "deadbeefcafe-x9z8y", "react v18.2.0", "@a/b 1.2.3-rc.1", "10.0.0.1", "v1.2", "7", "x9", "1.5s", "> Task :app:x", "UP-TO-DATE", "٣", "é7", "--- a/x", "+++ /dev/null", "--- /dev/null", "index 12..34", "index abc", "~~^", "^", ".rb:12", "\r", "\t", "  ", " ", "(", "[", "at ", "from ", "a", "word"]
+    out = []
+    for _ in range(n):
+        pieces = r.choices(volatile, k=r.randint(0, 4)) + r.choices(literals, k=r.randint(0, 2))
+        r.shuffle(pieces)
+        cut = r.choice([0, 0, 0, 1, 2])
+        out.append((r.choice(["", "", " ", "   ", "\t"]) + r.choice(["", " "]).join(y[cut if r.random() < 0.2 else 0 :] for y in pieces)).replace("\n", ""))
+    return out
+
+
+@pytest.mark.parametrize("unicode", [True, False])
+def test_guarded_expressions_miss_nothing(spark, unicode):
+    rows = random_lines(6000, 1 + unicode)
+    line = F.col("line")
+    plain = x.replaced(line, fixed.TEMPLATE_STEPS, unicode)  # all steps on every line
+    frame = spark.createDataFrame([(y,) for y in rows], "line string").repartition(4)
+    told = frame.select("line", x.template(line, unicode).alias("t"), plain.alias("p"), x.is_framework_frame(line).alias("f"), x.is_progress(line).alias("g"), x.is_noise(line).alias("n")).collect()
+    assert len(told) == len(rows) and not any(y.startswith(fixed.USER_FRAMES) for _, starts, _ in fixed.FRAME_FAMILIES for y in starts)
+    for r in told:
+        assert r.t == r.p and r.f == kernels.framework_frame(r.line) and r.g == kernels.progress(r.line) and r.n == kernels.noise(r.line), r
+        assert not unicode or "\r" in r.line or r.t == kernels.template(r.line), r  # a final \r is a line end to one engine only
+    assert min(sum(r.t != r.line for r in told), sum(r.f for r in told), sum(r.g for r in told), sum(r.n for r in told)) > 100
+
+
 @pytest.mark.parametrize(
     ("window", "kernel"),
     [
