@@ -1,12 +1,12 @@
 """Quality rules: base rules of a document, and line frequency across documents.
 
 Lines are normalised (lower case, digits as 0, single spaces) and hashed. For each host and line, the documents that hold
-the line are counted (partly before the shuffle). Lines above the limit are removed, and documents of which too few words
-are left are rejected.
+the line are counted (partly before the shuffle). Lines in more than `max_documents` documents and more than `max_percent` of
+the host's documents are removed, and documents of which too few words are left are rejected.
 
 Words are runs of bytes other than ASCII white space. Null and empty texts have none (and fail the base rules); a null
-host is a host of its own; a null doc_id is carried along; repeated rows give repeated results; an empty table gives an
-empty one; other columns are left alone.
+host is a host of its own; a null doc_id is carried along; rows equal in id, host and text give equal results, and each counts
+as a document; an empty table gives an empty one; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tersely.llm.common import column_bytes, durable, per_batch, quoted
 from tersely.llm.rolling import K_TRIPLE, mix
 
-#: Documents of a host that may hold a line.
-MAX_DOCUMENTS = 100
+#: Documents of any host, and percent of a host's documents, that may hold a line.
+MAX_DOCUMENTS, MAX_PERCENT = 10, 5
 #: Percent of a document's words that must be left.
 MIN_LEFT = 30
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -70,7 +70,7 @@ def stats(text: bytes) -> tuple[list[int], list[tuple[int, int]]]:
 
 
 def apply_rules(
-    docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", cleaned: bool = False
+    docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT, max_percent: int = MAX_PERCENT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", cleaned: bool = False
 ) -> DataFrame:
     """One row per document: the base figures, `base_failed`, words in removed lines, `kept`.
 
@@ -94,10 +94,14 @@ def apply_rules(
     base = durable(inputs.mapInArrow(per_batch(lambda: step), SCHEMA + (", text string" if cleaned else "")), "lines")
     lines = base.select("doc_id", "host", "content", F.explode("lines").alias("line")).select("doc_id", "host", "content", "line.h", "line.words")
     # A document's lines are distinct, so rows are documents.
-    frequent = durable(lines.groupBy("host", "h").agg(F.count("*").alias("documents")).filter(F.col("documents") > max_documents).select(F.col("host").alias("at"), F.col("h").alias("line")), "frequent")
+    held = lines.groupBy("host", "h").agg(F.count("*").alias("documents")).filter(F.col("documents") > max_documents)
+    hosts = base.groupBy(F.col("host").alias("at")).agg(F.count("*").alias("all"))
+    over = held.join(hosts, F.col("host").eqNullSafe(F.col("at"))).filter(100 * F.col("documents") > max_percent * F.col("all"))
+    frequent = durable(over.select("at", F.col("h").alias("line")), "frequent")
     hit = lines.join(frequent, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("at")))
-    removed = hit.groupBy(F.col("doc_id").alias("id"), F.col("content").alias("ch")).agg(F.collect_set(F.struct("h", "words")).alias("gone"))
-    out = base.join(removed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("ch")), "left")
+    removed = hit.groupBy(F.col("doc_id").alias("id"), F.col("host").alias("at"), F.col("content").alias("ch")).agg(F.collect_set(F.struct("h", "words")).alias("gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("host").eqNullSafe(F.col("at")) & (F.col("content") == F.col("ch"))
+    out = base.join(removed, same, "left")
     lost = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("n_line_words", lost).withColumn("base_failed", failed)

@@ -135,19 +135,20 @@ FROM kept k JOIN placed p USING (conv_id) GROUP BY k.conv_id, k.n, k.n_copies
 
 ORACLE_SQL["op10_quality_rules"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
-windows AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)),
-again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1),
-repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+w AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+windows AS (SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
 lines AS (SELECT r, doc_id, source, line FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 norm AS (SELECT r, doc_id, source, array_to_string(regexp_extract_all(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[^\x20\x09-\x0D]+'), ' ') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
-frequent AS (SELECT source, line FROM norm GROUP BY source, line HAVING count(DISTINCT r) > 100),
-lost AS (SELECT doc_id, sum(words)::BIGINT AS n FROM norm JOIN frequent f ON norm.line = f.line AND norm.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
+hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+frequent AS (SELECT norm.source, line FROM norm JOIN hosts h ON h.source IS NOT DISTINCT FROM norm.source GROUP BY norm.source, line HAVING count(DISTINCT r) > 10 AND 100 * count(DISTINCT r) > 5 * any_value(h.n)),
+lost AS (SELECT r, sum(words)::BIGINT AS n FROM norm JOIN frequent f ON norm.line = f.line AND norm.source IS NOT DISTINCT FROM f.source GROUP BY r),
 figures AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_line_words
-  FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id))
+  FROM w LEFT JOIN dups USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_line_words) >= 30 * n_words AS kept
 FROM figures

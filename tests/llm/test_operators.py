@@ -404,6 +404,25 @@ def test_exact_copies_are_documents(spark):
     assert quality_rules.apply_rules(frame, max_documents=50).filter("kept").count() == 50
 
 
+def test_line_frequency_is_by_host(spark):
+    text = "one line of words\n" + " ".join(f"w{k}" for k in range(60))
+    for ids in ([None] * 101, list(range(101))):
+        rows = [(i, text, "a") for i in ids] + [(ids[0], text, "b"), (ids[0], text, None)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        got = Counter((r.n_line_words, r.kept) for r in quality_rules.apply_rules(frame).collect())
+        assert got == {(64, False): 101, (0, True): 2}
+
+
+def test_lines_of_large_hosts_need_a_share(spark):
+    line, filler = "this line stands in eleven documents or more", lambda i: " ".join(f"w{i}x{k}" for k in range(60)).translate(str.maketrans("0123456789", "abcdefghij"))
+    rows = [(i, f"{line}\n{filler(i)}" if i % 400 < n else filler(i), host) for host, first, n in (("small", 0, 11), ("large", 400, 20), ("over", 800, 21)) for i in range(first, first + (200 if host == "small" else 400))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = Counter((r.doc_id // 400, r.n_line_words) for r in quality_rules.apply_rules(frame).filter("n_line_words > 0").collect())
+    assert got == {(0, 8): 11, (2, 8): 21}  # 11 of 200 and 21 of 400 are over 5 %, 20 of 400 aren't
+    depleted = spark.createDataFrame([(i, "\n".join([f"{line} {c}" for c in "abcdefgh"] + [f"own{i}"]), "h") for i in range(11)] + [(99, filler(9), "h")], "doc_id long, text string, source string")
+    assert {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.apply_rules(depleted).collect()} == {**{i: (False, False) for i in range(11)}, 99: (False, True)}
+
+
 def test_quality_rules_edges(spark):
     rows = quality_rules.apply_rules(edge_table(spark)).collect()
     assert len(rows) == len(edge_rows()) and all(r.base_failed and not r.kept for r in rows if r.doc_id in (2, 3, 4))
