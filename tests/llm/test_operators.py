@@ -419,7 +419,7 @@ def test_lines_of_large_hosts_need_a_share(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     got = Counter((r.doc_id // 400, r.n_line_words) for r in quality_rules.apply_rules(frame).filter("n_line_words > 0").collect())
     assert got == {(0, 8): 11, (2, 8): 21}  # 11 of 200 and 21 of 400 are over 5 %, 20 of 400 aren't
-    depleted = spark.createDataFrame([(i, "\n".join([f"{line} {c}" for c in "abcdefgh"] + [f"own{i}"]), "h") for i in range(11)] + [(99, filler(9), "h")], "doc_id long, text string, source string")
+    depleted = spark.createDataFrame([(i, "\n".join([" ".join(c + x for x in "klmnopqrs") for c in "abcdefgh"] + [f"own{i}"]), "h") for i in range(11)] + [(99, filler(9), "h")], "doc_id long, text string, source string")
     assert {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.apply_rules(depleted).collect()} == {**{i: (False, False) for i in range(11)}, 99: (False, True)}
 
 
