@@ -1,6 +1,7 @@
 """Each operator against brute force, and on edge cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -298,6 +299,66 @@ def test_lexing_of_labelled_cases(text, found):
     assert [text[a:b] for a, b in secrets.lexed(text)] == [f.replace("%s", value) for f in found]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('db_pwd = "%s" "Pq99aaQ7"', ["%s", "Pq99aaQ7"]), ('x, db_pwd = "hello", "%s"', ["%s"]), ('db_pwd, x = "%s", "hello"', ["%s"]), ('cfg.set("db_pwd", "%s")', ["%s"]), ('os.putenv("DB_PWD", "%s")', ["%s"]), ("set db_pwd %s\n", ["%s"]),
+        ('login("x", user, db_pwd="%s")', ["%s"]), ('auth_url = "https://example.com/login/abc9"', []), ('cookie_name = "SESSIONID_x9"', []), (" " * 300 + "db_pwd: %s\n", ["%s"]), ("db_pwd = f(" + "a, " * 40_000 + '"%s")', ["%s"]),
+        ("\n".join(f"c{i} = c{i + 1}" for i in range(1000)) + '\nc1000 = "%s"\nmy_pwd = c0', ["%s"]), ('a = b\nb = a\nb = "%s"\nmy_pwd = b', ["%s"]), ('a_token_x = a\na = b\nb = a\nb = "%s"\nmy_pwd = b', ["%s"]),
+        ('pwd = f(g("%s"), h)', ["%s"]), ("pwd = f('it is', g(\"%s\"))", ["it is", "%s"]), ('s = \'db_pwd = f("%s")\'', ["%s"]), ('pwd = f("%s"', ["%s"]), (" pwd: |\n x: %s\n", []),
+    ],
+)
+def test_lexing_without_limits(text, found):
+    value = "Zx81kdPq99aa"
+    text = text.replace("%s", value)
+    assert [text[a:b] for a, b in secrets.lexed(text)] == [f.replace("%s", value) for f in found]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_references_against_a_fixed_point(seed):
+    """Random programs; which literals a sensitive name reaches is found by adding to sets until nothing changes."""
+    r = random.Random(seed)
+    plain, sensitive = [f"v{i}" for i in range(r.randint(1, 12))], ["db_pwd", "my_secret", "auth_key"]
+    lines, at, sets = [], 0, []
+    for target in r.choices(plain + sensitive, k=r.randint(1, 30)) + plain:  # every name is set at least once
+        parts = [(r.choice(plain), None) if r.random() < 0.6 else (None, "".join(r.choices("abcdefXYZ0123456789", k=9)) + "aB3") for _ in range(r.randint(1, 3))]
+        line, spans, at_in = f"{target} = ", [], len(target) + 3
+        for i, (name, literal) in enumerate(parts):
+            piece = name or f'"{literal}"'
+            if literal:
+                spans.append((at + at_in + 1, at + at_in + 1 + len(literal)))
+            line += (" + " if i else "") + piece
+            at_in += len(piece) + 3
+        sets.append((target, spans, [n for n, _ in parts if n]))
+        lines.append(line)
+        at += len(line) + 1
+    known = {t for t, *_ in sets}
+    reach: dict[str, set] = {t: set() for t in known}
+    own = [set(spans) for _, spans, *_ in sets]
+    text = "\n".join(lines)
+    for _ in range(len(sets) + 1):
+        for (target, _, names), mine in zip(sets, own, strict=True):
+            reach[target] |= mine.union(*(reach[n] for n in names if n in known))
+    expected = set()
+    for (target, _, names), mine in zip(sets, own, strict=True):
+        if target in sensitive:
+            expected |= mine.union(*(reach[n] for n in names if n in known))
+    assert set(secrets.lexed(text)) == expected, text
+
+
+def test_lexing_takes_time_in_proportion():
+    import time
+
+    texts = [
+        "pwd = b\n" * 8000 + 'b = "Zx81kdPq99aa"\n' * 8000, " pwd: b\n b: |\n" * 8000, "x=f(" * 30_000 + '"Zx81kdPq99aa"' + ")" * 30_000, 'x=f("abc1d", ' * 30_000, "'" + 'x=f("a") ' * 30_000 + "'",
+        " " * 200_000 + "db_pwd: Zx81kdPq99aa " + "x=1 " * 50_000, "\n".join(f'c{i + 1} = c{i} + "lit{i}"' for i in range(8000)) + "\nmy_pwd = c8000", 'x = """ ' * 50_001, "password=Zx81kdPq99aa " * 20_000,
+    ]
+    for text in texts:
+        start = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - start < 20, text[:40]
+
+
 def test_secret_edges(spark):
     rows = secrets.find_secrets(edge_table(spark)).collect()
     assert len(rows) == len(edge_rows()) and all(r.spans == "" for r in rows)
