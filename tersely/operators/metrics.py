@@ -33,8 +33,8 @@ def migrated(records: DataFrame) -> DataFrame:
     return records.withColumn("output_type", F.when(F.col("output_type").isin(*TYPES), F.col("output_type")).otherwise("generic"))
 
 
-def session_summary(records: DataFrame) -> DataFrame:
-    """One row: counts, sums, the mean of clamped ratios, savings by layer and runs by layer (old records count by layer_used)."""
+def summary_parts(records: DataFrame) -> DataFrame:
+    """One row of sums; `joined_parts` adds up such rows, `finished_parts` makes the session summary of the last."""
     known = F.col("tokens_after_l1").isNotNull() & F.col("tokens_after_l2").isNotNull()
     whole, layer = saved("original_tokens", "compressed_tokens"), F.col("layer_used")
     own = F.when(layer == 1, 1).when(layer == 3, 3).otherwise(2)
@@ -47,12 +47,31 @@ def session_summary(records: DataFrame) -> DataFrame:
         zero(F.sum("compressed_tokens")).alias("total_compressed_tokens"),
         zero(F.sum(whole)).alias("total_tokens_saved"),
         *(zero(F.sum(F.when(known, step).when(own == i, whole).otherwise(0))).alias(f"total_saved_l{i}") for i, step in enumerate(steps, 1)),
-        F.round(F.coalesce(F.avg(ratio()), F.lit(0.0)), 9).alias("average_ratio"),
+        F.coalesce(F.sum(ratio()), F.lit(0.0)).alias("ratios"),
+        F.count(ratio()).alias("rated"),
         *(zero(F.sum(F.when(place == i, 1).otherwise(0))).alias(f"layer_{i}") for i in (1, 2, 3)),
         zero(F.sum(F.col("pre_filtered").cast("int"))).alias("pre_filtered_count"),
     )
 
 
+PARTS = ("total_compressions", "total_original_tokens", "total_compressed_tokens", "total_tokens_saved", "total_saved_l1", "total_saved_l2", "total_saved_l3", "ratios", "rated", "layer_1", "layer_2", "layer_3", "pre_filtered_count")
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    return parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double" if c == "ratios" else "long").alias(c) for c in PARTS))
+
+
+def finished_parts(parts: DataFrame) -> DataFrame:
+    """Counts, sums, the mean of clamped ratios, savings by layer and runs by layer; other columns stay behind them."""
+    mean = F.round(F.coalesce(F.try_divide(F.col("ratios"), F.col("rated").cast("double")), F.lit(0.0)), 9).alias("average_ratio")
+    return parts.select(*(mean if c == "ratios" else F.col(c) for c in PARTS if c != "rated"), *(c for c in parts.columns if c not in PARTS))
+
+
+def session_summary(records: DataFrame) -> DataFrame:
+    """One row: counts, sums, the mean of clamped ratios, savings by layer and runs by layer (old records count by layer_used)."""
+    return finished_parts(summary_parts(records))
+
+
 def within(records: DataFrame, days: int, now: Column, column: str = "created_at") -> DataFrame:
     return records.filter(F.col(column) >= now - F.make_dt_interval(F.lit(days)))
 

@@ -54,12 +54,31 @@ def layers(records: DataFrame) -> DataFrame:
     return records.select("id", F.explode(F.array_compact(F.array(*steps))).alias("step")).select("id", "step.*")
 
 
+def entry(table: DataFrame, key: str) -> Column:
+    return F.struct(key, *(c for c in table.columns if c != key))
+
+
+def latest(table: DataFrame, key: str) -> DataFrame:
+    """`of`: one row with the last rows of a table, in order. Each task keeps its last ones, so few rows move."""
+    return table.orderBy(F.desc(key)).limit(LATEST).agg(F.array_sort(F.collect_list(entry(table, key))).alias("of"))
+
+
+def latest_kind(table: DataFrame, key: str) -> str:
+    """The type of `of`."""
+    return table.select(F.array(entry(table, key)).alias("of")).schema["of"].dataType.simpleString()
+
+
+def latest_of(parts: DataFrame, name: str, key: str) -> DataFrame:
+    """The last entries of a few arrays of them."""
+    entries = parts.select(F.explode(name).alias("x")).orderBy(F.desc(f"x.{key}")).limit(LATEST)
+    return entries.agg(F.array_sort(F.collect_list("x")).alias(name))
+
+
 def state(records: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
     """One row: the session summary, the last three records and, where given, the warnings (`at, message`, the last three)."""
-    last = lambda table, key: table.orderBy(F.desc(key)).limit(LATEST).agg(F.array_sort(F.collect_list(F.struct(key, *(c for c in table.columns if c != key)))).alias("of"))
-    out = metrics.session_summary(records).withColumn("k", F.lit(1)).join(last(records, "id").select(F.lit(1).alias("k"), F.col("of").alias("recent")), "k")
+    out = metrics.session_summary(records).withColumn("k", F.lit(1)).join(latest(records, "id").select(F.lit(1).alias("k"), F.col("of").alias("recent")), "k")
     if warnings is not None:
-        out = out.join(last(warnings, "at").select(F.lit(1).alias("k"), F.col("of").alias("warns")), "k")
+        out = out.join(latest(warnings, "at").select(F.lit(1).alias("k"), F.col("of").alias("warns")), "k")
     return out.drop("k")
 
 

@@ -159,14 +159,14 @@ def delta(name: str) -> str:
 
 def oracle() -> dict[str, str]:
     from tersely.plans import queries as q
-    from tersely.plans import traces
+    from tersely.plans import stores, traces
 
     stack = kinds(q.STACK, "plain")
     total = " + ".join(USAGE)
     extra = "text || ' eyJabcdefghij.klmnopqrstuv.wxyzabcdefghi ?a=1&b=2&c=3&d=4&e=5&f=6 ' || sha256(text)"
     frame = "(starts_with(ltrim(line), 'at org.springframework.') OR (starts_with(ltrim(line), 'at ') AND contains(line, 'node:internal/')))"
     short = r"regexp_replace(p, '((?::[0-9]+)*)$', '')"
-    return traces.sql() | {
+    out = {
         "compact_logs": f"""{dedup(event_lines())}, before AS (SELECT doc_id, count(*) AS lines_before, sum(strlen(line))::BIGINT AS bytes_before FROM lines GROUP BY doc_id),
 after AS (SELECT doc_id, count(*) AS lines_after, sum(strlen(CASE WHEN c > 1 THEN '[×' || c || '] ' || first ELSE first END))::BIGINT AS bytes_after FROM grouped GROUP BY doc_id)
 SELECT *, round((bytes_before - bytes_after) / bytes_before::DOUBLE, 9) AS ratio FROM before JOIN after USING (doc_id)""",
@@ -287,3 +287,4 @@ SELECT {', '.join(delta(n) for n in ("turns", *USAGE, "total", "cost"))}, CASE W
 SELECT CASE WHEN coalesce(source, '') = '' THEN 'unknown' ELSE source[:40] END AS command, floor(tokens * 0.7::DOUBLE + 0.5)::BIGINT AS estimated FROM t WHERE tokens > 100 ORDER BY estimated DESC, command LIMIT 10""",
         "tail_stream": f"WITH {RECORDS} SELECT id, command FROM records WHERE id > 100 AND (command = 'cmd3' OR command ILIKE 'cmd3 %')",
     }
+    return out | traces.sql() | stores.sql(out)

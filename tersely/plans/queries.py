@@ -14,7 +14,7 @@ from tersely.functions import tokens
 from tersely.functions.lines import assemble, explode_lines, lines_of
 from tersely.operators import arrow, benchmarks, cache, context, metrics, reports, windows
 from tersely.operators.rules import Rule, apply_rules, line_form
-from tersely.plans import traces
+from tersely.plans import stores, traces
 from tersely.plans.compaction import compact, discover
 
 
@@ -145,20 +145,6 @@ def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.concat(F.regexp_replace("text", "\n", "\n\n  \n"), F.lit("\n\n \n")).alias("text"))
 
 
-def tail_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record stream, run over what there is: its rows, gathered by foreachBatch in a folder under the checkpoint's."""
-    import uuid
-
-    from tersely.session import shared_folder
-    from tersely.streaming.tail import record_stream, tail
-
-    base = f"{shared_folder(spark)}/tail-{uuid.uuid4().hex}"
-    records(spark, sf_dir).write.parquet(f"{base}/records")
-    query = tail(record_stream(spark, f"{base}/records"), f"{base}/cursor", lambda rows: rows.write.mode("append").parquet(f"{base}/out"), after=100, command="cmd3", once=True)
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("id", "command")
-
-
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = documents(spark, sf_dir).select("doc_id", F.col("text").alias("output"), F.col("source").alias("command"))
     return compact(requests, [list(RULES.values())], vocabulary())
@@ -256,7 +242,6 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_cap": on_documents(x.capped(text, 101).alias("text")),
         "text_helpers": on_documents(reports.padded(F.concat(F.lit("\x1b[1m"), F.substring("source", 1, 9), F.lit("\x1b[0m")), 12).alias("padded"), reports.thousands(F.col("doc_id") * 1234).alias("number"), reports.uptime(F.col("doc_id") * 97).alias("uptime")),
         "discover_top10": lambda s, d: discover(documents(s, d).select(F.col("source").alias("command"), F.col("text").alias("output"))),
-        "tail_stream": tail_once,
         "block_dedup": lambda s, d: documents(s, d).select("doc_id", arrow.block_dedup(text).alias("text")),
         "block_dedup_logs": line_query(typed(BLOCKS, "INFO idle"), lambda t: assemble(t).select("doc_id", arrow.block_dedup(text).alias("text"))),
         "prefix_factor": line_query(None, lambda t: assemble(t).select("doc_id", arrow.factor_prefix(text).alias("text"))),
@@ -275,7 +260,7 @@ NAMES = """
     session_summary summary_window history_topk records_since max_record_id prune_preview pruned winning_layer command_top8
     layer_distribution weekly_series weighted_ratio latency_stats model_speed cache_key cache_lookup_ttl cache_stale cache_upsert
     intent_recent intent_decay intent_format meta_gate meta_missing meta_category usage_rollup layer_tally ab_delta format_average
-    format_pivot discover_top10 tail_stream block_dedup prefix_factor suffix_factor rules_fold token_count pipeline_compress
+    format_pivot discover_top10 block_dedup prefix_factor suffix_factor rules_fold token_count pipeline_compress
     lines_per_document flagged_runs gain gain_chart graph_chart graph_summary history_table layer_steps state_view metrics_json floor_check text_cap
     text_helpers block_dedup_logs
 """.split()
@@ -285,4 +270,4 @@ def lazily(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: catalogue()[name](spark, sf_dir)
 
 
-QUERIES = {name: lazily(name) for name in NAMES} | traces.QUERIES
+QUERIES = {name: lazily(name) for name in NAMES} | traces.QUERIES | stores.QUERIES

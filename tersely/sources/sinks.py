@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tersely.sources.snapshots import Files
+
 BENCH_COLUMNS = (
     "fixture", "bytes_in", "tokens_before", "tokens_after_l1", "tokens_after_l2", "tokens_after_l3", "tokens_after", "layer_used", "ratio",
     "latency_ms_total", "latency_ms_l1", "latency_ms_l2", "latency_ms_l3", "http_status", "error",
@@ -16,9 +18,29 @@ def append_records(records: DataFrame, path: str) -> None:
 
 
 def replace_table(table: DataFrame, path: str) -> None:
-    """Write a table beside the one it replaces, then over it; for tables made from what is at `path`."""
+    """Write a table beside the plain folder it replaces, then put it in its place by renaming; for tables made from what is at
+    `path`. A crash leaves the old table, or no table and a whole one beside it, which `recover` puts in place.
+    (`sources.snapshots.Table` has no such gap.)"""
+    spark = table.sparkSession
+    recover(spark, path)
+    files = Files(spark, path)
     table.write.mode("overwrite").parquet(f"{path}.next")
-    table.sparkSession.read.parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+    files.remove(f"{path}.old")
+    if files.fs.exists(files.at(path)):
+        files.rename(path, f"{path}.old")
+    files.rename(f"{path}.next", path)
+    files.remove(f"{path}.old")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash of `replace_table`: the new table, if it was whole, else the old one."""
+    files = Files(spark, path)
+    if files.fs.exists(files.at(path)):
+        return
+    for beside in (f"{path}.next", f"{path}.old"):
+        if files.fs.exists(files.at(f"{beside}/_SUCCESS")):
+            files.rename(beside, path)
+            return
 
 
 def audit(results: DataFrame, path: str) -> None:
@@ -41,10 +63,12 @@ def usage_csv(usage: DataFrame, path: str) -> None:
     usage.withColumn("turn", F.coalesce(F.col("turn").cast("string"), F.lit("TOTAL"))).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(table: DataFrame, title: str) -> str:
-    """A small result as a Markdown table; meant for reports of a few rows."""
-    rows = [table.columns, ["---"] * len(table.columns), *([("-" if v is None else str(v)) for v in r] for r in table.collect())]
-    return f"## {title}\n\n" + "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
+def markdown(table: DataFrame, title: str, most: int = 1000) -> str:
+    """A result as a Markdown table of at most so many rows; what was left out is said below it."""
+    found = table.limit(most + 1).collect()
+    rows = [table.columns, ["---"] * len(table.columns), *([("-" if v is None else str(v)) for v in r] for r in found[:most])]
+    rest = f"\nOnly the first {most} rows are shown.\n" if len(found) > most else ""
+    return f"## {title}\n\n" + "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n" + rest
 
 
 def responses(results: DataFrame) -> DataFrame:
