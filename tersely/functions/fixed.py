@@ -66,5 +66,13 @@ MAX_INPUT_BYTES, HARD_CAP_BYTES, INFERENCE_TOKENS = 100_000, 10_000_000, 300
 INTENT_TAGS = ("command-name", "command-message", "command-args", "local-command-stdout", "local-command-stderr")
 INTENT_CHARS, INTENT_BUDGETS, INTENT_LEAST = 500, (0.60, 0.25, 0.10, 0.03, 0.02), 20
 
+#: What stands before and behind an intent in a prompt, by form.
+CONTEXT_FORMS = {
+    "prefix": ('CONTEXT: The user\'s most recent request was: "', '". Summarize the tool output focusing on information relevant to that request.\n\n'),
+    "xml": ("<user_intent>", "</user_intent>\n\n"),
+    "goal": ("User goal: ", " — extract only information that advances this goal.\n\n"),
+    "json": ('{"user_intent": "', '"}\n\n'),
+}
+
 PROSE_STARTS = ("note:", "note ", "please", "if the", "if you", "assumption:", "replace ", "the above", "i have", "the duration", "actual duration")
 PROSE_PARTS = ("not provided", "not available", "not specified", "not present", "not found", "not given", "not applicable", "n/a", "unknown")

@@ -56,9 +56,27 @@ def user_messages(events: DataFrame, session: str = "session") -> DataFrame:
     return users.select(session, "n", "turns_ago", "intent", (F.row_number().over(Window.partitionBy(session).orderBy(F.desc("n"))) - 1).alias("age")).drop("n")
 
 
+def newest_messages(events: DataFrame, most: int, session: str = "session") -> DataFrame:
+    """The rows of `user_messages` of age below `most`, for sessions of any length.
+
+    Each task keeps its newest messages of a session, and counts the assistant's turns by how many of the session's newest
+    messages they follow, so no task sorts a whole session."""
+    own = events.filter("NOT is_meta")
+    users = own.filter("type = 'user'").select(session, "n", clean_intent(F.col("text")).alias("intent")).filter("intent is not null")
+    top = users.withColumn("age", F.row_number().over(Window.partitionBy(session).orderBy(F.desc("n"))) - 1).filter(F.col("age") < most)
+    asked = top.groupBy(session).agg(F.collect_list("n").alias("asked")).withColumnRenamed(session, "of")
+    turns = own.filter("type = 'assistant'").select(F.col(session).alias("s"), F.col("n").alias("at")).join(asked, F.col("s").eqNullSafe(F.col("of")))
+    # A turn after m of the newest messages comes after those of age m - 1 and more, counted from the oldest of them.
+    passed = turns.select("of", (F.size("asked") - F.size(F.filter("asked", lambda n: n < F.col("at")))).alias("youngest")).groupBy("of", "youngest").agg(F.count("*").alias("turns"))
+    counts = passed.groupBy("of").agg(F.collect_list(F.struct("youngest", "turns")).alias("counts"))
+    told = top.join(counts, F.col(session).eqNullSafe(F.col("of")), "left")
+    later = F.aggregate(F.filter("counts", lambda c: c["youngest"] <= F.col("age")), F.lit(0).cast("long"), lambda total, c: total + c["turns"])
+    return told.select(session, F.coalesce(later, F.lit(0).cast("long")).alias("turns_ago"), "intent", "age")
+
+
 def intent(events: DataFrame, most: int = 3, session: str = "session") -> DataFrame:
     """`session, intent, turns_ago`: the newest message, or up to five with budgets, the oldest first."""
-    messages = user_messages(events, session)
+    messages = newest_messages(events, max(1, min(most, len(fixed.INTENT_BUDGETS))), session)
     if most <= 1:
         return messages.filter("age = 0").select(session, "intent", "turns_ago")
     few = messages.filter(F.col("age") < min(most, len(fixed.INTENT_BUDGETS)))
@@ -72,14 +90,9 @@ def intent(events: DataFrame, most: int = 3, session: str = "session") -> DataFr
 
 def format_context(text: Column, form: str) -> Column:
     """The intent as the beginning of a prompt."""
-    if form == "xml":
-        return F.concat(F.lit("<user_intent>"), text, F.lit("</user_intent>\n\n"))
-    if form == "goal":
-        return F.concat(F.lit("User goal: "), text, F.lit(" — extract only information that advances this goal.\n\n"))
-    if form == "json":
-        escaped = F.replace(F.replace(text, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-        return F.concat(F.lit('{"user_intent": "'), escaped, F.lit('"}\n\n'))
-    return F.concat(F.lit('CONTEXT: The user\'s most recent request was: "'), text, F.lit('". Summarize the tool output focusing on information relevant to that request.\n\n'))
+    before, after = fixed.CONTEXT_FORMS.get(form, fixed.CONTEXT_FORMS["prefix"])
+    shown = F.replace(F.replace(text, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")) if form == "json" else text
+    return F.concat(F.lit(before), shown, F.lit(after))
 
 
 def chosen_context(explicit: Column, found: Column, enabled: bool = True) -> Column:

@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.operators import cache, metrics
+from tersely.operators import cache, context, metrics
 from tersely.session import shared_folder
+from tersely.sources import readers
 from tersely.sources.snapshots import Batches, Table, prune_all
 from tersely.streaming import tail
 
@@ -71,14 +72,32 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("hash", "output")
 
 
-QUERIES = {"tail_stream": followed, "state_stream": live, "prune_snapshots": pruned, "upsert_snapshot": upserted}
+SESSIONS = 16
+
+
+def transcript_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSONL transcripts, some in each file, and each file's newest user messages as they are read back."""
+    base = scratch(spark, "transcripts")
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    event = F.to_json(F.struct(F.col("role").alias("type"), F.lit(False).alias("isMeta"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    rows = talk.select((F.col("conv_id") % SESSIONS).alias("session"), "conv_id", "turn", event.alias("value"))
+    rows.repartition("session").sortWithinPartitions("session", "conv_id", "turn").select("session", "value").write.partitionBy("session").text(base)
+    lines = readers.transcripts(spark, base, r"session=(\d+)/")
+    return context.intent(context.parse_events(lines), 3).withColumn("session", F.col("session").cast("long"))
+
+
+QUERIES = {"transcript_intents": transcript_intents, "tail_stream": followed, "state_stream": live, "prune_snapshots": pruned, "upsert_snapshot": upserted}
 
 
 def sql(plain: dict[str, str]) -> dict[str, str]:
     """From the SQL of the plain forms."""
     from tersely.plans import oracle
 
+    messages = oracle.MESSAGES.replace("conv_id AS session, turn AS n", f"conv_id % {SESSIONS} AS session, row_number() OVER (PARTITION BY conv_id % {SESSIONS} ORDER BY conv_id, turn) AS n").replace(
+        "PARTITION BY conv_id ORDER BY turn DESC", f"PARTITION BY conv_id % {SESSIONS} ORDER BY conv_id DESC, turn DESC"
+    )
     return {
+        "transcript_intents": plain["intent_decay"].replace(oracle.MESSAGES, messages),
         "state_stream": plain["state_view"],
         "upsert_snapshot": plain["cache_upsert"],
         "prune_snapshots": f"""WITH {oracle.RECORDS}, {oracle.CACHE}, r AS (SELECT created_at::TIMESTAMP < TIMESTAMP '2001-08-01' - to_days(700) AS old FROM records), c AS (SELECT created_at < TIMESTAMP '2001-08-01' - to_days(7) AS old FROM (SELECT DISTINCT ON (hash) * FROM cache))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUEST = "output string, command string, context string, transcript_path string, cwd string"
@@ -37,10 +37,20 @@ def tool_events(spark: SparkSession, path: str, least: int = LEAST_EVENT_CHARS)
     return rows.select(output.alias("output"), F.col("tool_input.command").alias("command"), "cwd", "transcript_path").filter(F.length("output") >= least)
 
 
-def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """`session, n, value`: the lines of JSONL transcripts in their order within each file."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("session"), "value")
-    return files.select("session", F.posexplode(F.split("value", r"\r?\n")).alias("n", "value")).filter("value <> ''")
+def transcripts(spark: SparkSession, path: str, session: str = r"([^/]+)$") -> DataFrame:
+    """`session, n, value`: the lines of JSONL transcripts in their order within each file, empty ones left out. The session
+    is what the pattern finds in the file's path.
+
+    Files of any size are read in blocks by many tasks. A block's lines are counted where they lie, and each line's place is
+    its place in the block plus the lines of the file's blocks before, so no task numbers a whole file."""
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*block, F.monotonically_increasing_id().alias("at"), "value")
+    sizes = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("file").alias("f"), F.col("block").alias("b"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    placed = lines.join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    value = F.regexp_replace("value", r"\r$", "")
+    return placed.select(F.regexp_extract("file", session, 1).alias("session"), (F.col("at") + F.col("shift")).alias("n"), value.alias("value")).filter("value <> ''")
 
 
 def newest(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:

@@ -1,13 +1,15 @@
 """Tables and streams that survive a crash."""
 
+import random
+from collections import Counter
 from datetime import datetime
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tersely.operators import metrics, reports
-from tersely.sources import sinks, snapshots
+from tersely.operators import context, metrics, reports
+from tersely.sources import readers, sinks, snapshots
 from tersely.sources.snapshots import Batches, Conflict, Table, prune_all
 from tersely.streaming import tail
 
@@ -146,3 +148,27 @@ def test_plain_folders_recover(spark, tmp_path, monkeypatch):
     sinks.replace_table(records(spark, [7]), path)
     assert ids(spark.read.parquet(path)) == [7]
     assert sinks.markdown(records(spark, [1, 2, 3]).select("id"), "T", 2).endswith("Only the first 2 rows are shown.\n")
+
+
+def test_transcripts_are_numbered_across_tasks(spark, tmp_path):
+    files = {"a.jsonl": [f'{{"i": {i}}}' if i % 7 else "" for i in range(5000)], "b.jsonl": ["x\r"] * 3, "c.jsonl": []}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("".join(y + "\n" for y in lines), newline="")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        frame = readers.transcripts(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = {(r.session, r.n): r.value for r in frame.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == {(name, i): y.rstrip("\r") for name, lines in files.items() for i, y in enumerate(lines) if y}
+
+
+def test_newest_messages_are_those_of_the_whole_session(spark):
+    r = random.Random(4)
+    rows = [(s, n, r.choice(["user", "assistant", "assistant", "system"]), r.random() < 0.1, r.choice([f"say {n}", "  ", "<command-name>x</command-name>"])) for s in [*range(12), None] for n in range(r.randint(0, 60))]
+    events = spark.createDataFrame(rows, "session int, n long, type string, is_meta boolean, text string").repartition(5)
+    columns = ["session", "age", "turns_ago", "intent"]
+    for most in (1, 3, 5):
+        assert Counter(map(tuple, context.newest_messages(events, most).select(columns).collect())) == Counter(map(tuple, context.user_messages(events).filter(F.col("age") < most).select(columns).collect()))
