@@ -3,9 +3,10 @@
 Words are runs of letters and digits, in lower case. A mask selects some of the places of a window; the hash of the words
 there ignores the others, so windows that differ by a substitution at an ignored place share a seed. Documents' seeds are
 joined with the benchmark's; each hit gives a document, an item and their alignment, which is verified word by word: a
-matching word scores 1, a substituted one -SUBSTITUTION, and the best segment must score MIN_SCORE or more.
+matching word scores 1, a substituted one -SUBSTITUTION, and the best segment must score MIN_SCORE or more. Items that are too
+short for that with some words substituted are taken whole: it is enough that MIN_SHARE percent of an item's words match.
 
-Items of fewer than MIN_SCORE words are too short to tell and never match; null texts count as empty; null ids are
+Items of fewer than LEAST_WORDS words have no window and never match; null texts count as empty; null ids are
 carried; repeated rows give the same result once; empty tables give an empty one; other columns are left alone.
 Built-in functions only. The benchmark is broadcast up to BROADCAST_SEEDS and BROADCAST_BYTES of words, beyond that joined by
 shuffle. Seeds travel without words; hits bring the words of their documents back.
@@ -21,7 +22,8 @@ from tersely.llm.common import durable, keyed, quoted
 #: Places of each mask that count, from 0.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 4, 6, 8, 9))
 SUBSTITUTION = 2
-MIN_SCORE = 12
+MIN_SCORE, MIN_SHARE = 12, 75
+LEAST_WORDS = min(m[-1] for m in MASKS) + 1
 BROADCAST_SEEDS, BROADCAST_BYTES = 500_000, 16 << 20
 
 
@@ -61,7 +63,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """`doc_id, rk, item_id, score, n_matched`: the best overlap of each document with each item it contains."""
     items = benchmark.select(quoted(item_col).cast("long").alias("item_id"), F.coalesce(quoted(item_text_col).cast("string"), F.lit("")).alias("item_text"))
     items = items.withColumn("item_key", F.xxhash64("item_id", "item_text")).distinct()
-    items = items.withColumn("item_words", words_of(F.col("item_text"))).filter(F.size("item_words") >= MIN_SCORE).drop("item_text")
+    items = items.withColumn("item_words", words_of(F.col("item_text"))).filter(F.size("item_words") >= LEAST_WORDS).drop("item_text")
     known = seeded(items.select("item_key", F.size("item_words").alias("length"), F.array_join("item_words", " ").alias("t")), "t", "item_key", "length")
     known = known.select("item_key", "length", "mask", F.col("p").alias("at"), "seed")
     n_seeds, n_bytes = known.agg(F.count("*")).first()[0], items.agg(F.sum(F.octet_length(F.array_join("item_words", " ")).cast("long"))).first()[0] or 0
@@ -79,8 +81,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     parts = worded.select("doc_id", "rk", F.explode(F.transform("hits", lambda h: F.struct(h["item_key"].alias("item_key"), h["shift"].alias("shift"), beside(h).alias("part")))).alias("hit"))
     compared = parts.select("doc_id", "rk", "hit.item_key", "hit.shift", "hit.part").join(few(items), "item_key")
     own = F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("part"))
-    compared = compared.select("doc_id", "rk", "item_id", score(F.zip_with("part", own, lambda a, b: a == b)).alias("found"))
-    return compared.filter(F.col("found.best") >= MIN_SCORE).groupBy("doc_id", "rk", "item_id").agg(F.max("found.best").cast("long").alias("score"), F.max("found.matched").cast("long").alias("n_matched"))
+    compared = compared.select("doc_id", "rk", "item_id", F.size("item_words").alias("length"), F.zip_with("part", own, lambda a, b: a == b).alias("same"))
+    compared = compared.select("doc_id", "rk", "item_id", "length", F.size(F.filter("same", lambda x: x)).alias("all"), score(F.col("same")).alias("found"))
+    whole = 100 * F.col("all") >= MIN_SHARE * F.col("length")
+    return compared.filter((F.col("found.best") >= MIN_SCORE) | whole).groupBy("doc_id", "rk", "item_id").agg(F.max("found.best").cast("long").alias("score"), F.max("found.matched").cast("long").alias("n_matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:

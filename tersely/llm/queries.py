@@ -194,7 +194,7 @@ ORACLE_SQL["op8_decontamination"] = r"""
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
 places AS (SELECT doc_id AS id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
-item_places AS (SELECT item_id AS id, w, unnest(range(1, len(w) + 1)) AS p FROM items WHERE len(w) >= 12),
+item_places AS (SELECT item_id AS id, w, unnest(range(1, len(w) + 1)) AS p FROM items WHERE len(w) >= 8),
 seeds AS (
   SELECT id, p, '0 ' || w[p] || ' ' || w[p + 1] || ' ' || w[p + 3] || ' ' || w[p + 4] || ' ' || w[p + 6] || ' ' || w[p + 7] AS seed FROM places WHERE p + 7 <= len(w)
   UNION ALL SELECT id, p, '1 ' || w[p] || ' ' || w[p + 1] || ' ' || w[p + 4] || ' ' || w[p + 6] || ' ' || w[p + 8] || ' ' || w[p + 9] FROM places WHERE p + 9 <= len(w)),
@@ -205,9 +205,9 @@ hits AS (SELECT DISTINCT s.id AS doc_id, i.id AS item_id, s.p - i.p AS shift FRO
 pairs AS (SELECT h.doc_id, h.item_id, h.shift, i.p, d.w[i.p + h.shift] = i.w[i.p] AS same FROM hits h JOIN item_places i ON i.id = h.item_id JOIN d ON d.doc_id = h.doc_id WHERE i.p + h.shift BETWEEN 1 AND len(d.w)),
 sums AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER o AS s, sum(same::INT) OVER o AS m FROM pairs WINDOW o AS (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS UNBOUNDED PRECEDING)),
 now AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS UNBOUNDED PRECEDING)) AS now FROM sums),
-since AS (SELECT *, m - coalesce(max(CASE WHEN now = 0 THEN m END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS UNBOUNDED PRECEDING), 0) AS matched, max(now) OVER (PARTITION BY doc_id, item_id, shift) AS best FROM now),
-found AS (SELECT doc_id, item_id, shift, any_value(best) AS best, arg_min(matched, p) AS matched FROM since WHERE now = best GROUP BY doc_id, item_id, shift)
-SELECT doc_id, item_id, max(best)::BIGINT AS score, max(matched)::BIGINT AS n_matched FROM found WHERE best >= 12 GROUP BY doc_id, item_id
+since AS (SELECT *, m - coalesce(max(CASE WHEN now = 0 THEN m END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS UNBOUNDED PRECEDING), 0) AS matched, max(now) OVER (PARTITION BY doc_id, item_id, shift) AS best, sum(same::INT) OVER (PARTITION BY doc_id, item_id, shift) AS total FROM now),
+found AS (SELECT doc_id, item_id, shift, any_value(best) AS best, any_value(total) AS total, arg_min(matched, p) AS matched FROM since WHERE now = best GROUP BY doc_id, item_id, shift)
+SELECT doc_id, item_id, max(best)::BIGINT AS score, max(matched)::BIGINT AS n_matched FROM found JOIN items USING (item_id) WHERE best >= 12 OR 100 * total >= 75 * len(items.w) GROUP BY doc_id, item_id
 """
 
 TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"

@@ -377,13 +377,14 @@ def brute_contaminated(docs, items):
         w = words(d)
         for j, t in items:
             b = words(t)
-            for shift in range(-len(b), len(w)):
+            for shift in range(-len(b), len(w) if len(b) >= decontaminate.LEAST_WORDS else -len(b)):
                 now = best = 0
+                same = sum(0 <= q + shift < len(w) and w[q + shift] == x for q, x in enumerate(b))
                 for q, x in enumerate(b):
                     if 0 <= q + shift < len(w):
                         now = max(0, now + (1 if w[q + shift] == x else -decontaminate.SUBSTITUTION))
                         best = max(best, now)
-                if best >= decontaminate.MIN_SCORE:
+                if best >= decontaminate.MIN_SCORE or 100 * same >= decontaminate.MIN_SHARE * len(b):
                     out.add((i, j))
     return out
 
@@ -400,6 +401,26 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(table(spark, docs), bench).count() == len(docs) - 3
 
 
+def test_decontamination_recall_by_length_and_substitutions(spark):
+    """Items with random substitutions among other words. Verbatim from 8 words, a fifth of the words from 15 words on."""
+    r = random.Random(12)
+    cases = [(8, 0), (11, 0), (12, 1), (14, 1), (15, 2), (15, 3), (16, 3), (17, 3), (20, 4), (30, 6), (40, 8)]
+    items, docs, of = [], [], []
+    for case, (length, changed) in enumerate(cases):
+        for _ in range(60):
+            words = [f"w{r.randrange(5000)}" for _ in range(length)]
+            items.append(" ".join(words))
+            for at in r.sample(range(length), changed):
+                words[at] = f"x{r.randrange(5000)}"
+            docs.append(" ".join([*(f"y{r.randrange(5000)}" for _ in range(20)), *words, *(f"y{r.randrange(5000)}" for _ in range(20))]))
+            of.append(case)
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(table(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert all(d == i for d, i in got)
+    recall = {cases[c]: sum((i, i) in got for i in range(len(docs)) if of[i] == c) / 60 for c in range(len(cases))}
+    print(recall)
+    assert all(x >= (1.0 if changed == 0 else 0.9) for (length, changed), x in recall.items() if length >= 15 or changed == 0), recall
+
+
 def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     test_decontamination(spark)
