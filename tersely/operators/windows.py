@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tersely.functions import fixed, text
 from tersely.functions.lines import is_blank, islands, left_trimmed, ordered
+from tersely.session import checkpointed
 
 
 def starts_run(name: str, alone: Column, key: str) -> Column:
@@ -160,6 +163,37 @@ def best_prefix(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return first.select(key, "prefix", "saved")
 
 
+def factor_ends(lines: DataFrame, reverse: bool = False, key: str = "doc_id") -> DataFrame:
+    """All rounds of prefix factoring (of suffixes, on lines read backwards): each round picks a prefix a document, and its lines
+    leave the next one. Lines of a picked prefix, the longest one first, come under a header that stands before the first.
+
+    A round only looks at documents in which the last one found something; what rounds find is a row a document, checkpointed."""
+    line = F.reverse("line") if reverse else F.col("line")
+    base = lines.filter(~text.is_marker(F.col("line"))).select(key, "n", line.alias("line")) if reverse else lines.select(key, "n", "line")
+    rounds: list[DataFrame] = []
+    usable = base
+    while len(rounds) < fixed.CLUSTERS:
+        found = checkpointed(best_prefix(usable, key).select(F.col(key).alias("of"), "prefix", F.lit(len(rounds)).alias("round")))
+        if found.isEmpty():
+            break
+        rounds.append(found)
+        known = reduce(DataFrame.unionByName, rounds).groupBy("of").agg(F.collect_list("prefix").alias("gone"), F.max("round").alias("last")).filter(F.col("last") == len(rounds) - 1)
+        usable = base.join(known, F.col(key).eqNullSafe(F.col("of"))).filter(~F.exists("gone", lambda p: F.col("line").startswith(p))).select(key, "n", "line")
+    if not rounds:
+        return lines.select(key, "n", "line")
+    picked = F.transform(F.array_sort(F.collect_list(F.struct((-F.octet_length("prefix")).alias("o"), "round", "prefix"))), lambda x: x["prefix"])
+    own = reduce(DataFrame.unionByName, rounds).groupBy("of").agg(picked.alias("picked"))
+    told = lines.select(key, "n", "line", line.alias("turned")).join(own, F.col(key).eqNullSafe(F.col("of")), "left")
+    mine = F.when(~text.is_marker(F.col("line")), F.get(F.filter("picked", lambda p: F.col("turned").startswith(p)), F.lit(0)))
+    told = told.withColumn("mine", mine).withColumn("begin", F.min("n").over(Window.partitionBy(key, "mine")))
+    header, mark = (fixed.SUFFIX_HEADER, fixed.SUFFIX_ROW) if reverse else (fixed.PREFIX_HEADER, fixed.PREFIX_ROW)
+    rest = F.substring("turned", F.length("mine") + 1, F.length("turned"))
+    turn = F.reverse if reverse else lambda c: c
+    row = F.concat(F.lit(mark), turn(rest))
+    rows = F.when(F.col("mine").isNull(), F.array("line")).when(F.col("n") == F.col("begin"), F.array(F.concat(F.lit(f"{header} "), turn(F.col("mine")), F.lit(" ──")), row)).otherwise(F.array(row))
+    return told.select(key, "n", F.posexplode(rows).alias("part", "line")).select(key, (F.col("n") * 2 + F.col("part")).alias("n"), "line")
+
+
 def drop_lines(lines: DataFrame, test: Column, key: str = "doc_id") -> DataFrame:
     return lines.filter(~test).select(key, "n", "line")
 

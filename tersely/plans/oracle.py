@@ -287,4 +287,4 @@ SELECT {', '.join(delta(n) for n in ("turns", *USAGE, "total", "cost"))}, CASE W
 SELECT CASE WHEN coalesce(source, '') = '' THEN 'unknown' ELSE source[:40] END AS command, floor(tokens * 0.7::DOUBLE + 0.5)::BIGINT AS estimated FROM t WHERE tokens > 100 ORDER BY estimated DESC, command LIMIT 10""",
         "tail_stream": f"WITH {RECORDS} SELECT id, command FROM records WHERE id > 100 AND (command = 'cmd3' OR command ILIKE 'cmd3 %')",
     }
-    return out | traces.sql() | stores.sql(out)
+    return out | traces.sql(out) | stores.sql(out)

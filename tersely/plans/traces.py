@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tersely.functions import fixed
 from tersely.functions.lines import assemble, joined, lines_of
 from tersely.operators import diff, windows
-from tersely.operators.rules import Rule, line_form
+from tersely.operators.benchmarks import every_ruleset
+from tersely.operators.rules import Rule, line_form, load_file
 from tersely.plans import oracle
 
 #: For each family a frame, with a source line where the family has such; and frames of the user. Cases of our own.
@@ -67,7 +70,21 @@ def diff_of_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "tag").agg(F.count("*").alias("lines")).filter("tag <> 'equal'")
 
 
+def shipped_rules() -> dict[str, list[Rule]]:
+    """The rule files of the package, by name."""
+    return {f.stem: load_file(f) for f in sorted((Path(__file__).parent.parent / "rulesets").rglob("*.yaml"))}
+
+
+def ruleset_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule file against every user's trace: how many of its rules were rejected."""
+    rows = every_ruleset(assemble(trace_lines(spark, sf_dir)).withColumnRenamed("doc_id", "stem"), shipped_rules())
+    return rows.select("stem", "ruleset", F.size("rejected").cast("long").alias("rejected"))
+
+
 QUERIES = {
+    "ruleset_matrix": ruleset_matrix,
+    "prefix_factor_rounds": lambda spark, sf_dir: assemble(windows.factor_ends(plain_lines(spark, sf_dir))),
+    "suffix_factor_rounds": lambda spark, sf_dir: assemble(windows.factor_ends(plain_lines(spark, sf_dir), reverse=True)),
     "line_diff": line_diffs,
     "stage_diff": diff_of_stages,
     "stack_collapse_families": lambda spark, sf_dir: assemble(windows.collapse_frames(trace_lines(spark, sf_dir))),
@@ -121,15 +138,21 @@ def collapsed_sql() -> str:
     return walked_sql(trace_sql(), size, fixed.FRAME_RUN, "regexp_extract(l.line, '^(\\s*)', 1) || '... ' || (r.c - 1) || ' framework frames omitted'", False)
 
 
-def sql() -> dict[str, str]:
+def sql(plain: dict[str, str]) -> dict[str, str]:
+    """`plain`: the SQL of the other queries; factoring by rounds has that of the kernels."""
     hit = " OR ".join(f"contains(line, {oracle.literal(v)})" for v in UNITS["rule_frame_units2"].pattern["values"])
     units = {
         name: f"WITH RECURSIVE {walked_sql(oracle.event_lines(), f'CASE WHEN ({hit}) AND "left" >= {unit} THEN {unit} ELSE 0 END', 2, f"'... ' || (r.c - 2) || ' units of {unit} lines'", True)} {oracle.ASSEMBLED.format('shown')}"
         for name, unit in (("rule_frame_units2", 2), ("rule_frame_units3", 3))
     }
     edit = "list_transform(range(len(a)), lambda i: CASE WHEN i % 7 = 3 THEN [a[i + 1], 'new line ' || i] WHEN i % 4 = 1 THEN [] ELSE [a[i + 1]] END)"
+    names = ", ".join(map(oracle.literal, shipped_rules()))
     return {
         **units,
+        # Rules that keep errors are made so that none is ever rejected.
+        "ruleset_matrix": f"SELECT user_id AS stem, unnest([{names}]) AS ruleset, 0::BIGINT AS rejected FROM (SELECT DISTINCT user_id FROM events)",
+        "prefix_factor_rounds": plain["prefix_factor"],
+        "suffix_factor_rounds": plain["suffix_factor"],
         "stack_collapse_families": f"WITH RECURSIVE {collapsed_sql()} {oracle.ASSEMBLED.format('shown')}",
         # What is kept of the lines is a subsequence of both texts, and what is put in occurs in one of them only, so no script is shorter.
         "stage_diff": f"""WITH RECURSIVE {collapsed_sql()}, gone AS (SELECT r.doc_id, 'delete' AS tag, sum(size)::BIGINT AS lines FROM runs r WHERE c >= {fixed.FRAME_RUN} AND place > 1 GROUP BY 1),

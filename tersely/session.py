@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC timestamps and adaptive plans; the number of shuffle partitions is only a start, adaptive execution coalesces.
 SETTINGS = {
@@ -42,6 +42,14 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows with their lineage cut, in the folder that the cluster shares."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without the setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tersely.functions.lines import assemble, explode_lines
 from tersely.operators import kernels, windows
+from tersely.operators.benchmarks import every_ruleset
 from tersely.operators.rules import Rule, compiled, fold, line_form
 
 PARTS = [
@@ -61,6 +62,31 @@ def test_starts_are_those_of_a_walk(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("reverse", [False, True])
+def test_all_rounds_of_factoring(spark, reverse):
+    r = random.Random(9)
+    heads = ["/srv/app/module/alpha/", "/srv/app/module/beta_long_name/", "2024-01-01 INFO worker ", "/srv/app/module/", "ERROR in component gamma: ", "éééé ünïcödé prefix "]
+    texts = []
+    for _ in range(60):
+        own = r.sample(heads, r.randint(0, len(heads)))
+        rows = [r.choice(own) + r.choice(["x", "yy", "file.py", ""]) + str(r.randint(0, 30)) for _ in range(r.randint(0, 60))] if own else [f"{i} short" for i in range(9)]
+        rows += r.choices(["", "plain", "── common prefix: /srv ──", "↳ /srv/app/module/alpha/1"], k=r.randint(0, 4))
+        r.shuffle(rows)
+        texts.append("\n".join(y[::-1] if reverse and not kernels.marker(y) else y for y in rows) + "\nend")
+    kernel = kernels.factor_suffix if reverse else kernels.factor_prefix
+    assert sum(len(kernels.clusters([y[::-1] if reverse else y for y in kernels.lines(t)])) > 1 for t in texts) > 15
+    both(spark, texts, lambda t: windows.factor_ends(t, reverse), kernel)
+
+
+def test_rule_sets_meet_fixtures_in_one_scan(spark):
+    sets = {"a": [CHAIN[1], CHAIN[2]], "b": [Rule("bad", {"kind": "line-match", "classifier": "contains", "values": ["Error"]}, {"kind": "delete"}, ["preserve_errors"])]}
+    fixtures = spark.createDataFrame([("s1", "drop x\nv=3"), ("s2", "ValueError: x"), ("s3", None)], "stem string, text string")
+    frame = every_ruleset(fixtures, sets)
+    got = {(x.stem, x.ruleset): (x.applied, x.rejected) for x in frame.collect()}
+    assert got == {("s1", "a"): (["drop", "rewrite"], []), ("s1", "b"): ([], []), ("s2", "a"): ([], []), ("s2", "b"): ([], ["bad"]), ("s3", "a"): ([], []), ("s3", "b"): ([], [])}
+    assert frame._jdf.queryExecution().executedPlan().toString().count("Scan ") <= 1
+
+
 CHAIN = [
     Rule("frames", {"kind": "frame-run", "classifier": "starts_with", "values": ["at lib."], "unit": 2}, {"kind": "collapse-run", "min_run": 2, "replacement": "abc [{n} left out]"}),
     Rule("drop", {"kind": "line-match", "classifier": "contains", "values": ["drop"]}, {"kind": "delete"}),
