@@ -210,10 +210,10 @@ def error_signals(text: Column, unicode: bool = True) -> Column:
     return F.regexp_count(text, F.lit(dialect(fixed.ERROR_SIGNAL, unicode)))
 
 
-def route(text: Column, command: Column, max_bytes: int = fixed.MAX_INPUT_BYTES) -> Column:
+def route(text: Column, command: Column, max_bytes: int = fixed.MAX_INPUT_BYTES, excluded: tuple[str, ...] = fixed.EXCLUDED_COMMANDS) -> Column:
     """What a request meets first: rejected (too large), bypassed (excluded command) or accepted."""
     first = F.split(F.ltrim(F.coalesce(command, F.lit(""))), r"\s+")[0]
-    return F.when(F.octet_length(text) > max_bytes, "rejected").when(first.isin(*fixed.EXCLUDED_COMMANDS), "bypassed").otherwise("accepted")
+    return F.when(F.octet_length(text) > max_bytes, "rejected").when(first.isin(*excluded), "bypassed").otherwise("accepted")
 
 
 def capped(text: Column, most: int = fixed.HARD_CAP_BYTES) -> Column:

@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tersely.functions import fixed
 from tersely.functions import text as expressions
 from tersely.functions.tokens import encoder, token_count, token_estimate
 from tersely.operators import kernels
-from tersely.operators.rules import Rule, compiled, fold
+from tersely.operators.rules import Rule, compiled, fold, load_folder
 
 
 def counter(path: str | None):
@@ -19,8 +20,9 @@ def counter(path: str | None):
 PASS = "output string, l1_rules array<string>, applied array<string>, rejected array<string>, tokens_before int, tokens_after_l1 int, tokens_after_l2 int"
 
 
-def passed(text: Column, accepted: Column, rules: list[Rule], vocabulary: str | None) -> Column:
-    """Layer 1, rules, layer 2 and the counts between them, in one crossing to Python; texts not accepted are only counted."""
+def passed(text: Column, accepted: Column, rules: list[Rule], vocabulary: str | None, layers: tuple[bool, bool] = (True, True)) -> Column:
+    """Layer 1, rules, layer 2 (those that are wanted) and the counts between them, in one crossing to Python; texts not
+    accepted are only counted."""
 
     @F.pandas_udf(PASS)
     def run(texts: pd.Series, oks: pd.Series) -> pd.DataFrame:
@@ -34,9 +36,9 @@ def passed(text: Column, accepted: Column, rules: list[Rule], vocabulary: str |
             before = count(t)
             if not ok:
                 return None, [], [], [], before, None, None
-            one, _, _, fired = kernels.layer1(t)
-            ruled, applied, rejected = fold(one, steps)
-            two, rewritten = kernels.layer2(ruled)
+            one, _, _, fired = kernels.layer1(t) if layers[0] else (t, False, 0, [])
+            ruled, applied, rejected = fold(one, steps) if layers[0] else (one, [], [])
+            two, rewritten = kernels.layer2(ruled) if layers[1] else (ruled, [])
             after_one = before if one == t else count(one)
             return two, fired, [*applied, *rewritten], rejected, before, after_one, after_one if two == one else count(two)
 
@@ -46,7 +48,10 @@ def passed(text: Column, accepted: Column, rules: list[Rule], vocabulary: str |
     return run(text, accepted)
 
 
-def compact(requests: DataFrame, files: list[list[Rule]] | None = None, vocabulary: str | None = None, output: str = "output", command: str = "command") -> DataFrame:
+def compact(
+    requests: DataFrame, files: list[list[Rule]] | None = None, vocabulary: str | None = None, output: str = "output", command: str = "command",
+    max_bytes: int = fixed.MAX_INPUT_BYTES, excluded: tuple[str, ...] = fixed.EXCLUDED_COMMANDS, layers: tuple[bool, bool] = (True, True),
+) -> DataFrame:
     """Requests with `compressed, route, class, layer, pre_filtered, tokens_before, tokens_after_l1, tokens_after_l2, tokens_after,
     ratio, applied_rules`. One pass without a shuffle, and one Arrow UDF; routed-away requests keep their text (rejected ones lose it), on layer 0.
 
@@ -54,7 +59,7 @@ def compact(requests: DataFrame, files: list[list[Rule]] | None = None, vocabula
     text = F.coalesce(F.col(output), F.lit(""))
     cmd: Column = F.col(command) if command in requests.columns else F.lit(None).cast("string")
     ok = F.col("route") == "accepted"
-    done = requests.withColumn("route", expressions.route(text, cmd)).withColumn("pass", passed(text, ok, [r for f in files or [] for r in f], vocabulary))
+    done = requests.withColumn("route", expressions.route(text, cmd, max_bytes, excluded)).withColumn("pass", passed(text, ok, [r for f in files or [] for r in f], vocabulary, layers))
     before, after_one, after_two = (F.col(f"pass.tokens_{c}") for c in ("before", "after_l1", "after_l2"))
     after = F.coalesce(after_two, before)
     ratio = F.when(before > 0, F.greatest(before - after, F.lit(0)) / before).otherwise(0.0)
@@ -73,6 +78,15 @@ def compact(requests: DataFrame, files: list[list[Rule]] | None = None, vocabula
     )
 
 
+def configured(requests: DataFrame, config: dict, vocabulary: str | None = None) -> DataFrame:
+    """`compact` by settings: which commands and sizes are left alone, which layers run, where rule files lie."""
+    own = config["compression"]
+    if not own["enabled"]:
+        own = own | {"layer1_enabled": False, "layer2_enabled": False}
+    files = load_folder(own["spec_rules_path"]) if own["spec_rules_path"] else None
+    return compact(requests, files, vocabulary, max_bytes=own["max_input_chars"], excluded=tuple(config["exclusions"]["commands"]), layers=(own["layer1_enabled"], own["layer2_enabled"]))
+
+
 def discover(events: DataFrame, vocabulary: str | None = None, n: int = 10) -> DataFrame:
     """Outputs (`command, output`) that compaction has missed: the n greatest estimated savings, 70 % of the tokens."""
     tokens = counter(vocabulary)

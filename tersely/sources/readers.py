@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tersely.sources.checks import bounded, local_url, loopback, rules_path
+
 REQUEST = "output string, command string, context string, transcript_path string, cwd string"
 TOOL_EVENT = "tool_name string, tool_input struct<command:string>, tool_response struct<output:string,stdout:string>, cwd string, transcript_path string"
 RPC = "jsonrpc string, id string, method string, params string"
@@ -84,29 +86,45 @@ def merged(base: dict, over: dict) -> dict:
     return base | {k: merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
 
 
-#: Settings that the pipeline reads. Fixed values.
+#: All settings with their defaults, by section. Fixed values.
 DEFAULTS = {
-    "compression": {"max_input_chars": 100_000, "inference_threshold_tokens": 300, "context_aware": True, "spec_rules_path": None},
-    "exclusions": {"commands": ["cat", "echo", "pwd"]},
+    "daemon": {"port": 8765, "host": "127.0.0.1", "auto_start": True, "log_level": "warn"},
+    "compression": {
+        "enabled": True, "layer1_enabled": True, "layer2_enabled": True, "layer3_enabled": True, "inference_threshold_tokens": 300, "context_aware": True, "max_output_tokens": 500,
+        "preserve_first_stacktrace": True, "preserve_error_counts": True, "context_max_messages": 3, "tokenizer": "cl100k_base", "spec_rules_path": None, "max_input_chars": 100_000,
+    },
+    "model": {
+        "provider": "ollama", "model_name": "phi3:mini", "quantization": "q5_k_m", "ollama_url": "http://localhost:11434", "timeout_ms": 2000, "fallback_to_layer1_on_timeout": True, "temperature": 0.1, "backend_chain": [],
+    },
     "metrics": {"history_days": 30},
+    "exclusions": {"commands": ["cat", "echo", "pwd"], "max_input_chars": 100_000},
+    "display": {"show_compression_ratio": True, "show_layer_used": False, "show_backend": True, "color": True},
+    "telemetry": {"enabled": False},
+    "security": {"audit_log": False, "audit_log_path": "audit"},
     "l3_cache": {"enabled": True, "ttl_days": 7},
-}
+}
 
 
 def settings(path: str | None = None, project: str | None = None) -> dict:
-    """DEFAULTS under a settings file under a project's own; missing files count as empty."""
+    """DEFAULTS under a settings file under a project's own; missing files count as empty. What is out of range, would
+    listen to other machines or would send texts to them is refused."""
     out = DEFAULTS
     for p in (path, project):
         if p and Path(p).exists():
             out = merged(out, json.loads(Path(p).read_text()))
+    out = merged(out, {"compression": {"max_input_chars": out["exclusions"]["max_input_chars"], "spec_rules_path": rules_path(out["compression"]["spec_rules_path"])}})
     checked(out)
     return out
 
 
 def checked(config: dict) -> None:
     limits = config["compression"]
-    if limits["max_input_chars"] <= 0 or limits["inference_threshold_tokens"] < 0 or config["metrics"]["history_days"] < 0:
+    if limits["max_input_chars"] <= 0 or limits["inference_threshold_tokens"] < 0 or config["metrics"]["history_days"] < 0 or config["l3_cache"]["ttl_days"] < 0:
         raise ValueError("settings out of range")
+    bounded(limits["max_input_chars"], limits["inference_threshold_tokens"])
+    local_url(config["model"]["ollama_url"])
+    if not loopback(config["daemon"]["host"]):
+        raise ValueError(f"the host must be this machine, not {config['daemon']['host']}")
 
 
 def synthetic_logs(spark: SparkSession, n: int, lines: int = 40, seed: int = 7) -> DataFrame:

@@ -1,5 +1,6 @@
 """Report helpers, checks of settings, the rule command, paging, the cap."""
 
+import json
 import subprocess
 import sys
 from pathlib import Path
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tersely.functions.text import capped
 from tersely.operators import reports
-from tersely.sources import checks
+from tersely.plans.compaction import configured
+from tersely.sources import checks, readers
 from tersely.streaming import tail
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -65,3 +67,24 @@ def test_pages_hold_all_rows_in_order(spark):
 def test_text_helpers(spark):
     row = spark.range(1).select(reports.uptime(F.lit(3723)).alias("a"), reports.uptime(F.lit(59)).alias("b"), reports.padded(F.lit("\x1b[1mab\x1b[0m"), 4).alias("c"), reports.thousands(F.lit(1234567)).alias("d")).first()
     assert tuple(row) == ("1h 02m 03s", "59s", "\x1b[1mab\x1b[0m  ", "1,234,567")
+
+
+def test_settings_govern_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("TERSELY_RULES", raising=False)
+    write = lambda content: (tmp_path / "s.json").write_text(json.dumps(content)) and str(tmp_path / "s.json")
+    assert set(readers.settings()) == {"daemon", "compression", "model", "metrics", "exclusions", "display", "telemetry", "security", "l3_cache"}
+    for wrong, said in (
+        ({"exclusions": {"max_input_chars": 10_000_001}}, "max_input_chars"), ({"compression": {"inference_threshold_tokens": 100_001}}, "threshold"), ({"model": {"ollama_url": "http://example.org:1"}}, "localhost"),
+        ({"daemon": {"host": "0.0.0.0"}}, "this machine"), ({"l3_cache": {"ttl_days": -1}}, "out of range"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            readers.settings(write(wrong))
+    (tmp_path / "rules.yaml").write_text("spec_version: 0.1\nrules: [{id: q, pattern: {kind: line-match, values: [gone]}, transform: {kind: delete}}]")
+    rows = spark.createDataFrame([("a 1\na 2\ngone\nb", "ls"), ("x" * 300, "ls"), ("y", "cat z"), ("a 1\na 2", "cargo t")], "output string, command string")
+    config = readers.settings(write({"exclusions": {"commands": ["cargo"], "max_input_chars": 200}, "compression": {"spec_rules_path": str(tmp_path / "rules.yaml"), "layer2_enabled": False}}))
+    got = [(r.route, r.compressed) for r in configured(rows, config).collect()]
+    assert got == [("accepted", "[×2] a 1\nb"), ("rejected", None), ("accepted", "y"), ("bypassed", "a 1\na 2")]
+    off = configured(rows, readers.settings(write({"compression": {"enabled": False}}))).collect()
+    assert [r.compressed for r in off] == ["a 1\na 2\ngone\nb", "x" * 300, None if off[2].route == "rejected" else "y", "a 1\na 2"]
+    monkeypatch.setenv("TERSELY_RULES", str(tmp_path / "other.yaml"))
+    assert readers.settings()["compression"]["spec_rules_path"].endswith("other.yaml")
