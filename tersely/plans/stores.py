@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersely.operators import cache, context, metrics
+from tersely.operators import cache, context, metrics, reports
 from tersely.session import shared_folder
 from tersely.sources import readers
 from tersely.sources.snapshots import Batches, Table, prune_all
@@ -72,6 +72,13 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("hash", "output")
 
 
+def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session summary as a JSON report."""
+    from tersely.plans.queries import records
+
+    return reports.as_json(metrics.session_summary(records(spark, sf_dir)), kind="report", version="1")
+
+
 SESSIONS = 16
 
 
@@ -86,7 +93,7 @@ def transcript_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.intent(context.parse_events(lines), 3).withColumn("session", F.col("session").cast("long"))
 
 
-QUERIES = {"transcript_intents": transcript_intents, "tail_stream": followed, "state_stream": live, "prune_snapshots": pruned, "upsert_snapshot": upserted}
+QUERIES = {"metrics_report": metrics_report, "transcript_intents": transcript_intents, "tail_stream": followed, "state_stream": live, "prune_snapshots": pruned, "upsert_snapshot": upserted}
 
 
 def sql(plain: dict[str, str]) -> dict[str, str]:
@@ -96,7 +103,11 @@ def sql(plain: dict[str, str]) -> dict[str, str]:
     messages = oracle.MESSAGES.replace("conv_id AS session, turn AS n", f"conv_id % {SESSIONS} AS session, row_number() OVER (PARTITION BY conv_id % {SESSIONS} ORDER BY conv_id, turn) AS n").replace(
         "PARTITION BY conv_id ORDER BY turn DESC", f"PARTITION BY conv_id % {SESSIONS} ORDER BY conv_id DESC, turn DESC"
     )
+    fields = [c for c in metrics.PARTS if c not in ("ratios", "rated")]
+    fields.insert(fields.index("layer_1"), "average_ratio")
+    pairs = ", ',', ".join(f"""'"{c}":', {c}::VARCHAR""" for c in fields)
     return {
+        "metrics_report": f"""SELECT concat('{{', {pairs}, ',"kind":"report","version":"1"}}') AS value FROM ({plain["session_summary"]})""",
         "transcript_intents": plain["intent_decay"].replace(oracle.MESSAGES, messages),
         "state_stream": plain["state_view"],
         "upsert_snapshot": plain["cache_upsert"],

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tersely.functions import fixed
 from tersely.functions.lines import assemble, joined, lines_of
-from tersely.operators import diff, windows
+from tersely.operators import diff, reports, windows
 from tersely.operators.benchmarks import every_ruleset
 from tersely.operators.rules import Rule, line_form, load_file
 from tersely.plans import oracle
+from tersely.plans.compaction import compact
 
 #: For each family a frame, with a source line where the family has such; and frames of the user. Cases of our own.
 FRAMES = (
@@ -81,7 +82,15 @@ def ruleset_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stem", "ruleset", F.size("rejected").cast("long").alias("rejected"))
 
 
+def floor_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's trace through the whole pipeline, and whether it kept its errors and lost at least a quarter of its tokens."""
+    traces = assemble(trace_lines(spark, sf_dir)).select("doc_id", F.concat(F.lit("java.lang.IllegalStateException: Error: no row\n"), "text").alias("output"), F.lit("run").alias("command"))
+    done = compact(traces, list(shipped_rules().values()))
+    return reports.floors(done.select(F.col("doc_id").alias("name"), F.col("output").alias("before"), F.col("compressed").alias("after"), "ratio", F.lit(0.25).alias("floor"))).drop("ratio")
+
+
 QUERIES = {
+    "floor_traces": floor_traces,
     "ruleset_matrix": ruleset_matrix,
     "prefix_factor_rounds": lambda spark, sf_dir: assemble(windows.factor_ends(plain_lines(spark, sf_dir))),
     "suffix_factor_rounds": lambda spark, sf_dir: assemble(windows.factor_ends(plain_lines(spark, sf_dir), reverse=True)),
@@ -150,6 +159,8 @@ def sql(plain: dict[str, str]) -> dict[str, str]:
     return {
         **units,
         # Rules that keep errors are made so that none is ever rejected.
+        # Six frames of eight lines fold to two.
+        "floor_traces": "SELECT DISTINCT user_id AS name, true AS error_kept, true AS at_floor, true AS passed FROM events",
         "ruleset_matrix": f"SELECT user_id AS stem, unnest([{names}]) AS ruleset, 0::BIGINT AS rejected FROM (SELECT DISTINCT user_id FROM events)",
         "prefix_factor_rounds": plain["prefix_factor"],
         "suffix_factor_rounds": plain["suffix_factor"],
