@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersely.functions import fixed
 from tersely.functions import text as expressions
-from tersely.functions.tokens import encoder, token_count, token_estimate
+from tersely.functions.tokens import TokenCounter, ranks, token_count, token_estimate
 from tersely.operators import kernels
 from tersely.operators.rules import Rule, compiled, fold, load_folder
 
@@ -23,14 +25,15 @@ PASS = "output string, l1_rules array<string>, applied array<string>, rejected a
 def passed(text: Column, accepted: Column, rules: list[Rule], vocabulary: str | None, layers: tuple[bool, bool] = (True, True)) -> Column:
     """Layer 1, rules, layer 2 (those that are wanted) and the counts between them, in one crossing to Python; texts not
     accepted are only counted."""
+    known = ranks(vocabulary) if vocabulary else None
 
     @F.pandas_udf(PASS)
-    def run(texts: pd.Series, oks: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         steps = [(r, compiled(r)) for r in rules]
-        encode = encoder(vocabulary).encode_ordinary if vocabulary else None
+        tokens = TokenCounter(known) if known else None
 
         def count(t: str) -> int:
-            return len(encode(t)) if encode else -(-len(t) // 4)
+            return tokens.count(t) if tokens else -(-len(t) // 4)
 
         def row(t: str, ok: bool) -> tuple:
             before = count(t)
@@ -42,8 +45,9 @@ def passed(text: Column, accepted: Column, rules: list[Rule], vocabulary: str |
             after_one = before if one == t else count(one)
             return two, fired, [*applied, *rewritten], rejected, before, after_one, after_one if two == one else count(two)
 
-        out = pd.DataFrame([row(t, ok) for t, ok in zip(texts, oks, strict=True)], columns=[c.split()[0] for c in PASS.split(", ")])
-        return out.astype({c: "Int32" for c in out.columns if c.startswith("tokens")})
+        for texts, oks in batches:
+            out = pd.DataFrame([row(t, ok) for t, ok in zip(texts, oks, strict=True)], columns=[c.split()[0] for c in PASS.split(", ")])
+            yield out.astype({c: "Int32" for c in out.columns if c.startswith("tokens")})
 
     return run(text, accepted)
 

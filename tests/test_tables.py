@@ -190,3 +190,27 @@ def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     frame = spark.createDataFrame([("hello world",), ("",), (None,)], "t string").select(tokens.token_count(F.col("t"), path).alias("n"))
     assert [r.n for r in frame.collect()] == [2, 0, None]
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_token_counts_are_the_librarys(vocabulary, monkeypatch):
+    import base64
+    import random
+    import time
+
+    import tiktoken
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path(vocabulary)
+    known = {base64.b64decode(t): int(r) for t, r in (x.split() for x in open(path, "rb") if x.strip())}
+    library = tiktoken.Encoding("own", pat_str=tokens.PIECES, mergeable_ranks=known, special_tokens={})
+    counter = tokens.TokenCounter(tokens.ranks(path))
+    r = random.Random(3)
+    alphabet = ["a", "b", "the ", "ing", "tion", " ", "  ", "\n", "é", "ß", "Ж", "梦", "😀", "0", "42", "'s", "...", "_", "\x00", "x" * 30, "<|endoftext|>"]
+    texts = ["", *("".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(800)), "".join(r.choices("abcdefghij", k=5000)), "\u00a0 \t\r\n"]
+    expected = [len(library.encode_ordinary(t)) for t in texts]
+    assert [counter.count(t) for t in texts] == expected
+    monkeypatch.setattr(tokens, "SHORT", 0)  # the heap for all
+    assert [tokens.TokenCounter(tokens.ranks(path)).count(t) for t in texts] == expected
+    start = time.perf_counter()
+    assert counter.count("ab" * 100_000) > 0 and time.perf_counter() - start < 20
