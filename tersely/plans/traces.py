@@ -71,9 +71,13 @@ def diff_of_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "tag").agg(F.count("*").alias("lines")).filter("tag <> 'equal'")
 
 
+def rule_files() -> dict[str, Path]:
+    return {f.stem: f for f in sorted((Path(__file__).parent.parent / "rulesets").rglob("*.yaml"))}
+
+
 def shipped_rules() -> dict[str, list[Rule]]:
     """The rule files of the package, by name."""
-    return {f.stem: load_file(f) for f in sorted((Path(__file__).parent.parent / "rulesets").rglob("*.yaml"))}
+    return {name: load_file(f) for name, f in rule_files().items()}
 
 
 def ruleset_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +159,7 @@ def sql(plain: dict[str, str]) -> dict[str, str]:
         for name, unit in (("rule_frame_units2", 2), ("rule_frame_units3", 3))
     }
     edit = "list_transform(range(len(a)), lambda i: CASE WHEN i % 7 = 3 THEN [a[i + 1], 'new line ' || i] WHEN i % 4 = 1 THEN [] ELSE [a[i + 1]] END)"
-    names = ", ".join(map(oracle.literal, shipped_rules()))
+    names = ", ".join(map(oracle.literal, rule_files()))
     return {
         **units,
         # Rules that keep errors are made so that none is ever rejected.
