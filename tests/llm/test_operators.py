@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tests.llm.corpus import LONG, edge_rows, edge_table, empty_table, random_texts, table
 from tersely.llm import chunks, decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secrets
 from tersely.llm.chat_format import format_chats
+from tersely.llm.common import durable
 from tersely.llm.components import components
 from tersely.llm.jaccard_join import first_shingles, join_similar, linked
 from tersely.llm.substring_dedup import dedup_substrings
@@ -240,6 +242,21 @@ def test_signature_tree_finds_every_link():
     assert [forest.root(i) for i in range(len(sets))] == [expected[i] for i in range(len(sets))]
 
 
+def test_steps_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split(" ")
+        return {f for f in found if "shuffle_" in f}
+
+    before = files()
+    rows = spark.range(1000).repartition("id")  # made before the step, as all frames are
+    kept = durable(rows)
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert len(kept.collect()) == len(durable(rows).collect()) == 1000
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(100, 100 + i) for i in range(1, 50)] + [(500, 400)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
