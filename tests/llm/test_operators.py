@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.corpus import LONG, edge_rows, edge_table, empty_table, random_texts, table
-from tersely.llm import chunks, decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secrets
+from tersely.llm import chunks, decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secrets, suffix_dedup
 from tersely.llm.chat_format import format_chats
 from tersely.llm.common import durable
 from tersely.llm.components import components
@@ -78,6 +78,20 @@ def test_suffix_dedup(spark, monkeypatch, seed):
     assert got == brute_suffix([(i, t.encode()) for i, t in enumerate(texts)], 50)
 
 
+def test_suffix_dedup_by_larger_chunks_and_buckets_with_parts(spark, monkeypatch):
+    least, used = 100, []
+    monkeypatch.setattr(chunks.parts, "__defaults__", (least,))
+    monkeypatch.setattr(suffix_dedup, "FEW", 16, raising=False)
+    monkeypatch.setattr(suffix_dedup, "chunked", lambda docs, n, *names: used.append(n) or chunks.chunked(docs, n, *names))
+    texts = random_texts(60, 4)
+    got = counts(dedup_suffixes(table(spark, texts)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_suffix([(i, t.encode()) for i, t in enumerate(texts)], 50)
+    # What chunks send to buckets is a string each: of both four times as large, there are few for much text.
+    assert used[0] <= sum(len(t.encode()) for t in texts) // least // 4 + 1
+    chunks_, buckets, parts = suffix_dedup.layout(5000)
+    assert (chunks_, buckets, parts) == (1250, 625, 4)
+
+
 def test_suffix_dedup_edges(spark):
     got = counts(dedup_suffixes(edge_table(spark)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     expected = brute_suffix([(1 << 62 if i is None else i, (t or "").encode()) for i, t, *_ in edge_rows()], 50)
