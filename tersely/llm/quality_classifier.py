@@ -39,6 +39,8 @@ PENALTY, ROUNDS = 5e-5, 400
 #: Features that fewer sampled documents hold have no weight.
 FEATURE_DOCUMENTS = 4
 MEMO_ENTRIES, STEM_ENTRIES = 500_000, 100_000
+#: Entries of the sample that are summed at once.
+BLOCK = 1 << 16
 #: Turns a word's or prefix's feature into that of its being found twice or more.
 TWICE = 0x9E375
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -163,27 +165,77 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return model
 
 
+class Groups:
+    """Indices in consecutive groups, none of them empty; sums of values by group look up a block of entries at a time."""
+
+    def __init__(self, index: np.ndarray, sizes: np.ndarray):
+        self.index = index
+        ends = np.cumsum(sizes)
+        self.starts = ends - sizes
+        self.blocks: list[tuple[int, int, int, int]] = []
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, self.starts[first] + BLOCK, "right")))
+            self.blocks.append((first, last, int(self.starts[first]), int(ends[last - 1])))
+            first = last
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.starts))
+        for first, last, start, end in self.blocks:
+            out[first:last] = np.add.reduceat(values[self.index[start:end]], self.starts[first:last] - start)
+        return out
+
+
+def holders(rows: list[np.ndarray]) -> np.ndarray:
+    """Of each feature, how many rows (of distinct features) hold it."""
+    out = np.zeros(1 << BITS, dtype=np.int64)
+    for r in rows:
+        out[r] += 1
+    return out
+
+
 def fit(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-    """Weights of 2**BITS features and, last, the bias: logistic loss with an L1 penalty, by accelerated proximal steps."""
-    present, index = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    size, n = len(present), len(rows)
+    """Weights of 2**BITS features and, last, the bias: logistic loss with an L1 penalty, by accelerated proximal steps.
+
+    Rows hold distinct features. The driver has little memory beside its JVM, so the sample is kept twice only (features by row, rows
+    by feature), in the smallest numbers, and all else in blocks."""
+    held = holders(rows)
+    present = np.flatnonzero(held)
+    held, size, n = held[present], len(present), len(rows)
+    place = np.zeros(1 << BITS, dtype=np.int32)
+    place[present] = np.arange(size)
+    lengths = np.array([len(r) for r in rows])
+    index, holding = np.empty(lengths.sum(), dtype=np.int32), np.empty(lengths.sum(), dtype=np.min_scalar_type(n))
+    done, free = 0, np.cumsum(held) - held
+    for k, r in enumerate(rows):
+        index[done : done + len(r)] = own = place[r]
+        holding[free[own]] = k
+        free[own] += 1
+        done += len(r)
+    some = np.flatnonzero(lengths)
+    by_row, by_feature = Groups(index, lengths[some]), Groups(holding, held)
+
+    def row_sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[some] = by_row.sums(values)
+        return out
+
     share = min(max(float(target.mean()), 0.01), 0.99)
     weight = target / (2 * share) + (1 - target) / (2 * (1 - share))  # both classes count alike
     # A step for each feature, by a bound on the loss that holds for any speeds: features that tell the classes apart go fastest.
-    told = np.abs(np.bincount(index, weights=(weight * (share - target))[row], minlength=size)) / np.sqrt(np.bincount(index, minlength=size))
+    told = np.abs(by_feature.sums(weight * (share - target))) / np.sqrt(held)
     speed = np.maximum(told, 0.01 * told.max()) if told.any() else np.ones(size)
     fastest = speed.max(initial=1e-9)
-    load = weight * (np.bincount(row, weights=speed[index], minlength=n) + fastest)
-    rate = 4 * n * speed / np.bincount(index, weights=load[row], minlength=size)
+    load = weight * (row_sums(speed) + fastest)
+    rate = 4 * n * speed / by_feature.sums(load)
     bias_rate = 4 * n * fastest / load.sum()
     w, before, bias, bias_before, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 1.0
     for _ in range(ROUNDS):
         following = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead, bias_ahead = w + (t - 1) / following * (w - before), bias + (t - 1) / following * (bias - bias_before)
-        z = np.bincount(row, weights=ahead[index], minlength=n) + bias_ahead
+        z = row_sums(ahead) + bias_ahead
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-        step = ahead - rate * np.bincount(index, weights=error[row], minlength=size) / n
+        step = ahead - rate * by_feature.sums(error) / n
         before, w = w, np.sign(step) * np.maximum(np.abs(step) - rate * PENALTY, 0)
         bias_before, bias, t = bias, bias_ahead - bias_rate * error.mean(), following
     out = np.zeros((1 << BITS) + 1)
@@ -250,9 +302,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return None
     rows.sort(key=lambda r: (r.doc_id, r.words))
     words = [np.frombuffer(r.words, dtype=np.int32) for r in rows]
-    toxic = np.array([r.toxic == 1 for r in rows])
-    held = np.bincount(np.concatenate(words), minlength=1 << BITS)
-    abusive = np.bincount(np.concatenate([w for w, t in zip(words, toxic, strict=True) if t] or [words[0][:0]]), minlength=1 << BITS)
+    rows = [(r.figures, r.quality, r.toxic) for r in rows]
+    toxic = np.array([t == 1 for _, _, t in rows])
+    held, abusive = holders(words), holders([w for w, t in zip(words, toxic, strict=True) if t])
     terms = abusive_terms(held, abusive, toxic.mean())
 
     def patterns(batches):
@@ -269,11 +321,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     counts = np.array([c[3] for c in counted], dtype=float)
     quality = expectation_maximisation(np.array([[*v[:-1], -1 if q is None else int(q > 0)] for v, q, _, _ in counted]), counts)
     abuse = expectation_maximisation(np.array([[v[-1], -1 if t is None else int(t == 0)] for v, _, t, _ in counted]), counts)
-    mine = [vote(r.figures) for r in rows]
-    good = quality.posterior(np.array([[*v, -1 if r.quality is None else int(r.quality > 0)] for v, r in zip(mine, rows, strict=True)]))
-    clean = abuse.posterior(np.array([[int(not terms.intersection(w.tolist())), -1 if r.toxic is None else int(r.toxic == 0)] for w, r in zip(words, rows, strict=True)]))
+    good = quality.posterior(np.array([[*vote(figures), -1 if q is None else int(q > 0)] for figures, q, _ in rows]))
+    clean = abuse.posterior(np.array([[int(not terms.intersection(w.tolist())), -1 if t is None else int(t == 0)] for w, (_, _, t) in zip(words, rows, strict=True)]))
     common = held >= FEATURE_DOCUMENTS
-    w = fit([x[common[x]] for x in words], good * clean)
+    for k, x in enumerate(words):  # each goes as it is replaced
+        words[k] = x[common[x]]
+    w = fit(words, good * clean)
     return Classifier(terms, quality, abuse, {int(i): float(w[i]) for i in np.flatnonzero(w[:-1])}, float(w[-1]))
 
 

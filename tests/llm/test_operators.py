@@ -654,6 +654,64 @@ def test_expectation_maximisation_finds_accuracies():
     assert np.abs(model.accuracy() - accuracy).max() < 0.05 and abs(model.prior[1] - 0.7) < 0.05
 
 
+def plain_fit(rows, target):
+    """The scorer's weights by dense sums."""
+    q = quality_classifier
+    present = np.unique(np.concatenate(rows))
+    held = np.array([np.isin(present, r) for r in rows]).astype(float)
+    n, share = len(rows), min(max(float(target.mean()), 0.01), 0.99)
+    weight = target / (2 * share) + (1 - target) / (2 * (1 - share))
+    told = np.abs((weight * (share - target)) @ held) / np.sqrt(held.sum(axis=0))
+    speed = np.maximum(told, 0.01 * told.max())
+    load = weight * (held @ speed + speed.max())
+    rate, bias_rate = 4 * n * speed / (load @ held), 4 * n * speed.max() / load.sum()
+    w = before = np.zeros(len(present))
+    bias = bias_before = 0.0
+    t = 1.0
+    for _ in range(q.ROUNDS):
+        following = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, bias_ahead = w + (t - 1) / following * (w - before), bias + (t - 1) / following * (bias - bias_before)
+        error = weight * (1 / (1 + np.exp(-np.clip(held @ ahead + bias_ahead, -30, 30))) - target)
+        step = ahead - rate * (error @ held) / n
+        before, w = w, np.sign(step) * np.maximum(np.abs(step) - rate * q.PENALTY, 0)
+        bias_before, bias, t = bias, bias_ahead - bias_rate * error.mean(), following
+    return dict(zip(present.tolist(), w, strict=True)), bias
+
+
+def sampled_rows(n, most, features, seed=5):
+    """Rows of distinct features, some of them empty, and a target that some features tell."""
+    r = np.random.default_rng(seed)
+    rows = [np.unique(r.integers(0, features, r.integers(0, most))).astype(np.int32) * 7 for _ in range(n)]
+    return rows, np.array([0.9 if (x % 5 == 0).mean() > 0.2 else 0.1 for x in (x if len(x) else np.ones(1) for x in rows)])
+
+
+@pytest.mark.parametrize("block", [1, 50, 1 << 16])
+def test_classifier_fit_in_blocks_equals_dense_sums(monkeypatch, block):
+    monkeypatch.setattr(quality_classifier, "BLOCK", block, raising=False)
+    rows, target = sampled_rows(120, 40, 60)
+    rows[3] = rows[3][:0]
+    weights, bias = plain_fit(rows, target)
+    got = quality_classifier.fit(rows, target)
+    assert abs(got[-1] - bias) < 1e-6 and all(abs(got[f] - w) < 1e-6 for f, w in weights.items())
+    assert set(np.flatnonzero(got[:-1]).tolist()) <= set(weights)
+    assert np.isfinite(quality_classifier.fit([r[:0] for r in rows], target)).all()
+
+
+def test_classifier_fit_takes_little_memory_beside_its_rows(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(quality_classifier, "ROUNDS", 3)
+    rows, target = sampled_rows(1000, 6000, 50_000)
+    tracemalloc.start()
+    try:
+        quality_classifier.fit(rows, target)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # The limit of the driver is for JVM and Python together; bincount over whole arrays took 37 bytes an entry here.
+    assert peak < 8 * sum(map(len, rows)) + 40e6, (peak, sum(map(len, rows)))
+
+
 def test_classifier_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 1, 1), (5, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
