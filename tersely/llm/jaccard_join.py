@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tersely.llm.chunks import parts
-from tersely.llm.common import column_bytes, durable, id_text
+from tersely.llm.common import PIECE_BYTES, column_bytes, durable, id_text, pieces
 from tersely.llm.components import components
 from tersely.llm.rolling import Prefix, mix, pack, ranges, runs, unpack
 from tersely.llm.substring_dedup import Words, slices
@@ -74,7 +74,7 @@ def shingles(w: Words, n_texts: int, k: int, stream: int = 0) -> tuple[np.ndarra
 
 def per_text(texts: list[bytes], k: int) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
     """By slice of the texts: (first text, one past the last, words, text of each shingle counted from the first, hash)."""
-    for a, b in slices(texts):
+    for a, b in slices(texts, PIECE_BYTES):
         w = Words([t.translate(LOWER) for t in texts[a:b]])
         yield (a, b, w, *shingles(w, b - a, k))
 
@@ -235,13 +235,14 @@ def survey(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             owners.append((text + a).astype(np.int32))
             keys.append(((hashes >> np.uint64(32)) * np.uint64(buckets)) & ~LOW | (hashes & LOW))
         owner, key = np.concatenate(owners), np.concatenate(keys)
+        del owners, keys
         if not len(key):
             return
         order = np.argsort(key, kind="stable")
         owner, key = owner[order], key[order]
         begin, end = runs(key[1:] == key[:-1])
         key, held = key[begin], (end - begin).astype(np.int32)
-        del order
+        del order, begin, end
         yield rows(1, LOCAL, chunk=[number], blob=[pack(np.array([-1 if i is None else i for i in ids]), np.array([i is None for i in ids]), np.concatenate(sizes), held, owner)])
         bucket = (key >> np.uint64(32)).astype(np.int64)
         first, last = runs(bucket[1:] == bucket[:-1])
@@ -251,7 +252,7 @@ def survey(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, "text")):
             for i, t in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
                 ids.append(i)
                 texts.append(t)
@@ -335,7 +336,7 @@ def group_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, "text")):
             columns = [batch.column(c).to_pylist() for c in ("pivot", "i", "j", "doc_id", "block")]
             for c, i, j, d, block, text in zip(*columns, column_bytes(batch, "text"), strict=True):
                 if (c, i, j) != key:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersely.llm.common import id_text, keyed
+from tersely.llm.common import id_text, keyed, pieces
 
 #: Labelled documents that fit the scorer and the terms, at most.
 SAMPLE = 6000
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def features(batches):
         reader = Reader()
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, "text")):
             read = [reader.read(t) for t in batch.column("text").to_pylist()]
             words = [np.array(sorted({*f, *shape(g)}), dtype=np.int32).tobytes() for g, f in read]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g for g, _ in read], pa.list_(pa.float64())), pa.array(words, pa.binary())], names=["doc_id", "figures", "words"])
@@ -309,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def patterns(batches):
         reader = Reader(terms)
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, "text")):
             code = []
             for text in batch.column("text").to_pylist():
                 figures, found = reader.read(text)
@@ -355,7 +355,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, sample
 def scored(model: Classifier | None, threshold: float):
     def step(batches):
         reader = Reader(frozenset(model.weights)) if model else None
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, "text")):
             scores = [round(model.score(*reader.read(t)), 6) if model else None for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s is None or s >= threshold for s in scores], pa.bool_())], names=["doc_id", "score", "kept"])
 
@@ -368,7 +368,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, sampl
 
     def step(batches):
         reader = Reader(frozenset(model.weights))
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b, text_col)):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([model.score(*reader.read(t or "")) >= threshold for t in texts], pa.bool_()))
 
